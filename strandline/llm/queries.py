@@ -24,3 +24,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_encode
 
     return bpe_encode(table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, digests=True)
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transport import read_media, store_media
+
+    return read_media(store_media(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
