@@ -45,3 +45,22 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan_licences
 
     return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .langid import fit, identify, learning_rows
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, learning_rows())
+    return identify(docs, model).withColumn("held_out", held_out())
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out())
