@@ -260,28 +260,31 @@ def bpe_encode(
 ) -> DataFrame:
     """Encode every whole text and decode it again.
 
-    Returns ``keep`` plus ``token_ids`` (ids joined by one space) and ``decoded``
-    (bytes), or with ``digests`` only ``n_tokens`` and the SHA-256 of both. The
-    vocabulary file at ``path`` must be readable on every executor. A null text
-    is taken as empty and gives no tokens; repeated rows give repeated results;
-    an empty table gives an empty one; other columns are ignored.
+    Returns ``keep`` plus ``n_tokens``, ``token_ids`` and ``decoded`` (bytes),
+    or with ``digests`` the SHA-256 of both in place of them. The vocabulary
+    file at ``path`` must be readable on every executor. A null text is taken
+    as empty and gives no tokens; repeated rows give repeated results; an empty
+    table gives an empty one; other columns are ignored.
     """
 
     def make():
         own = codec(path, pattern)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def run(texts):
             rows = []
             for t in texts:
                 parts = own.encoded("" if t is None else t)
-                joined = " ".join([x[1] for x in parts])
-                decoded = own.decode(chain.from_iterable([x[2] for x in parts]))
+                ids = chain.from_iterable([x[2] for x in parts])
+                n = sum(x[0] for x in parts)
                 if digests:
-                    joined, decoded = (hashlib.sha256(x).hexdigest() for x in (joined.encode(), decoded))
-                rows.append((sum(x[0] for x in parts), joined, decoded))
+                    rows.append((n, sha(" ".join([x[1] for x in parts]).encode()), sha(own.decode(ids))))
+                else:
+                    ids = list(ids)
+                    rows.append((n, ids, own.decode(ids)))
             return list(zip(*rows, strict=True))
 
         return run
 
-    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens bigint, token_ids string, decoded binary"
+    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens bigint, token_ids array<int>, decoded binary"
     return annotate(df, [text], fields, make, keep)

@@ -20,6 +20,7 @@ ARROW_TYPES = {
     "double": pa.float64(),
     "boolean": pa.bool_(),
     "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
 }
 
 

@@ -276,3 +276,22 @@ def near_duplicates(
     rest = base.where("id is null or print is null").select("id", "n", F.col("id").alias("component_id"))
     out = out.unionByName(rest)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest key stays.
+
+    Rows without key stay, as nothing tells them apart. Of rows that repeat a
+    key and a text one stays; a repeated key goes only if none of its rows is
+    to be kept.
+    """
+    staging = Staging(docs.sparkSession, "one-of-each")
+    found = staging.save(near_duplicates(docs, key, text, words, percent).where("component_id is not null or n_shingles = 0"))
+    known = found.where(F.col(key).isNotNull())
+    per_key = staging.save(known.groupBy(key).agg(F.max(F.coalesce("kept", F.lit(False))).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    out = docs.join(small_side(per_key.where("not kept").select(key)), key, "left_anti").select(docs.columns)
+    repeated = per_key.where("kept").select(key)
+    if repeated.isEmpty():
+        return out
+    several = out.join(small_side(repeated), key, "left_semi").select(docs.columns)
+    return out.join(small_side(repeated), key, "left_anti").select(docs.columns).unionByName(several.dropDuplicates([key, text]))
