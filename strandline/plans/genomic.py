@@ -1,10 +1,8 @@
-"""Queries for the genomic operators over the driver tables, each with its oracle SQL."""
+"""All queries for the genomic operators, with their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import alignments  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
