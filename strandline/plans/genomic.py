@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignments  # noqa: F401
+from . import alignments, features, formats, sequences, variants  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
