@@ -10,7 +10,7 @@ from ..functions.coords import Region, parse_region
 from ..operators import alignment as ops
 from ..operators import indexing
 from .registry import query
-from .views import READ_LENGTH_SQL, SPAN_SQL, references, sql, view
+from .views import READ_LENGTH_SQL, SPAN_SQL, VIEWS, references, sql, view
 
 A = sql("alignments")
 AR = sql("alignments", "refs")
@@ -19,6 +19,11 @@ REGION = parse_region("sq2:1000-1200")
 AEND = f"pos + greatest({SPAN_SQL}, 1) - 1"
 
 
+#: For oracles: alignments with made-up offsets, 64 bytes a record.
+_COLUMNS = ", ".join(f"{VIEWS['alignments'][1][c]} AS {c}" for c in ("ref_id", "pos", "cigar", "flags"))
+_X = f"x AS (SELECT *, {AEND} AS aend FROM (SELECT l_orderkey * 64 AS b, l_orderkey * 64 + 64 AS e, {_COLUMNS} FROM lineitem))"
+
+
 def alignments(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "alignments")
 
@@ -306,7 +311,7 @@ def resolved_cigar(cigar, l_seq, cg):
     return F.when(~placeholder, cigar).when(cg.isNotNull(), cg).otherwise(F.raise_error(F.lit("long CIGAR without tag CG")))
 
 
-@query("agg10_agg11_bin_index", A + f""", x AS (SELECT ref_id, pos, {AEND} AS aend, l.l_orderkey * 64 AS b, l.l_orderkey * 64 + 64 AS e FROM (SELECT row_number() OVER () AS rn, * FROM alignments) a JOIN (SELECT row_number() OVER () AS rn, l_orderkey FROM lineitem) l USING (rn)),
+@query("agg10_agg11_bin_index", A + ", " + _X + """,
 y AS (SELECT *, CASE WHEN (pos-1)>>14 = (aend-1)>>14 THEN 4681 + ((pos-1)>>14) WHEN (pos-1)>>17 = (aend-1)>>17 THEN 585 + ((pos-1)>>17) ELSE 73 + ((pos-1)>>20) END AS bin FROM x WHERE ref_id IS NOT NULL AND pos IS NOT NULL)
 SELECT ref_id, bin::INTEGER AS bin, count(*) AS records, min(b) AS first_offset, max(e) AS last_offset FROM y GROUP BY 1, 2""")
 def bin_index(spark: SparkSession, d: str) -> DataFrame:
@@ -315,8 +320,6 @@ def bin_index(spark: SparkSession, d: str) -> DataFrame:
 
 def _offsets(spark: SparkSession, d: str) -> DataFrame:
     """Alignments with made-up offsets: 64 bytes a record."""
-    from .views import VIEWS
-
     columns = VIEWS["alignments"][1]
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
         *[F.expr(columns[c]).alias(c) for c in ("ref_id", "pos", "cigar", "flags")], (F.col("l_orderkey") * 64).alias("begin"), (F.col("l_orderkey") * 64 + 64).alias("end")
@@ -324,7 +327,6 @@ def _offsets(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("aend", records.alignment_end(F.col("pos"), F.col("cigar"))).withColumn("unmapped", records.has(F.col("flags"), "unmapped"))
 
 
-_X = "x AS (SELECT ref_id, pos, flags, aend, l_orderkey * 64 AS b, l_orderkey * 64 + 64 AS e FROM (SELECT l_orderkey, a.*, " + AEND + " AS aend FROM (SELECT row_number() OVER () AS rn, * FROM alignments) a JOIN (SELECT row_number() OVER () AS rn, l_orderkey FROM lineitem) l USING (rn)))"
 
 
 @query("agg10_reference_stats", A + ", " + _X + " SELECT ref_id, count(*) FILTER (flags & 4 = 0) AS mapped, count(*) FILTER (flags & 4 <> 0) AS unmapped, min(b) AS first_offset, max(e) AS last_offset FROM x GROUP BY 1")
