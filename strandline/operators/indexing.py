@@ -43,7 +43,8 @@ def coalesce_intervals(rows: DataFrame, keys: list[str], start: str, end: str, g
     w = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("island", F.when(F.col(start) <= before + gap, 0).otherwise(1))
-    numbered = marked.withColumn("island", F.sum("island").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # by range: equal intervals share a number, in whatever order they come
+    numbered = marked.withColumn("island", F.sum("island").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("island")
 
 

@@ -341,7 +341,7 @@ def count_from_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg16_agg17_bin_chunks", A + ", " + _X + """, y AS (SELECT *, CASE WHEN (pos-1)>>14 = (aend-1)>>14 THEN 4681 + ((pos-1)>>14) WHEN (pos-1)>>17 = (aend-1)>>17 THEN 585 + ((pos-1)>>17) ELSE 73 + ((pos-1)>>20) END AS bin FROM x WHERE ref_id IS NOT NULL AND pos IS NOT NULL),
 m AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY ref_id, bin ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS island FROM y),
-n AS (SELECT *, sum(island) OVER (PARTITION BY ref_id, bin ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m)
+n AS (SELECT *, sum(island) OVER (PARTITION BY ref_id, bin ORDER BY b, e RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m)
 SELECT ref_id, bin::INTEGER AS bin, min(b) AS "begin", max(e) AS "end", count(*) AS merged FROM n GROUP BY ref_id, bin, g""")
 def bin_chunks(spark: SparkSession, d: str) -> DataFrame:
     return indexing.bin_chunks(_offsets(spark, d))

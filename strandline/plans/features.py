@@ -97,7 +97,7 @@ def interval_join_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg17_merge_intervals", B + """, m AS (SELECT *, CASE WHEN start_ <= max(end_) OVER w THEN 0 ELSE 1 END AS island FROM bed WINDOW w AS (PARTITION BY chrom ORDER BY start_, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-n AS (SELECT *, sum(island) OVER (PARTITION BY chrom ORDER BY start_, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m) SELECT chrom, min(start_) AS start_, max(end_) AS end_, count(*) AS merged FROM n GROUP BY chrom, g""")
+n AS (SELECT *, sum(island) OVER (PARTITION BY chrom ORDER BY start_, end_ RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m) SELECT chrom, min(start_) AS start_, max(end_) AS end_, count(*) AS merged FROM n GROUP BY chrom, g""")
 def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     return indexing.coalesce_intervals(bed(spark, d).select("chrom", "start_", "end_"), ["chrom"], "start_", "end_")
 
