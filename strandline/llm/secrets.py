@@ -62,14 +62,14 @@ def windows(s: str, window: int, least: float) -> Iterator[tuple[int, int]]:
     most = window * (math.log2(window) - least) + 1e-9
     begin = end = -1
     for i, c in enumerate(s):
+        if i >= window:
+            gone = s[i - window]
+            n = counts[gone]
+            total += weights[n - 1] - weights[n]
+            counts[gone] = n - 1
         n = counts[c]
         total += weights[n + 1] - weights[n]
         counts[c] = n + 1
-        if i >= window:
-            c = s[i - window]
-            n = counts[c]
-            total += weights[n - 1] - weights[n]
-            counts[c] = n - 1
         if i >= window - 1 and total <= most:
             start = i - window + 1
             if begin >= 0 and start <= end:
