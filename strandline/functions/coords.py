@@ -115,8 +115,11 @@ def bins_of(start: Column, end: Column, min_shift: int = MIN_SHIFT, depth: int =
 
 
 def region_bins(region: Region, min_shift: int = MIN_SHIFT, depth: int = DEPTH) -> list[int]:
-    """The bins of one region, for pruning."""
-    start, end = (region.start or 1) - 1, min(region.end or max_position(min_shift, depth), max_position(min_shift, depth)) - 1
+    """The bins of one region, for pruning; an error for positions that the index can't hold."""
+    most = max_position(min_shift, depth)
+    if max(region.start or 1, region.end or 1) > most:
+        raise ValueError(f"positions end at {most}")
+    start, end = (region.start or 1) - 1, (region.end or most) - 1
     if start > end:
         return []
     out = []
