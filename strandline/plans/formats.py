@@ -255,3 +255,79 @@ def indexed_rows(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_lines(view(spark, d, "bed").select(line), path, ["#name\tchrom\tstart\tend"])
     rows = text.indexed_rows(text.lines(spark, path), 2, 3, 4, zero_based=True)
     return rows.where("ref_name = 'view' and start <= 700 and end >= 600").select(F.col("ref_name").alias("chrom"), F.col("start").alias("start_"), F.col("end").alias("end_"))
+
+
+@query("flt14_flt15_agg21_bcf_sieve", "SELECT count(*) AS records, 0::BIGINT AS wrong FROM orders WHERE o_orderkey < 400")
+def bcf_sieve(spark: SparkSession, d: str) -> DataFrame:
+    """Records found in bytes without their offsets, by task, against the offsets they were written at."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 400").select(F.col("o_orderkey").alias("k"))
+    lines = VCF_HEADER
+
+    def run(batches):
+        import pyarrow as pa
+
+        header, strings, contigs = bcf.Header(lines), bcf.string_map(lines), bcf.contig_map(lines)
+        found = wrong = 0
+        for b in batches:
+            data, starts = b"", []
+            for k in b.column(0).to_pylist():
+                starts.append(len(data))
+                data += bcf.encode({"chrom": f"chr{1 + k % 22}", "pos": k + 1, "ref": "AC", "alts": ["G"], "qual": 1.5, "filters": ["q10"], "info": {"DP": str(k)}, "gts": ["0|1"]}, strings, contigs, {"DP": "Integer"})
+            got, _ = bcf.record_starts(data, 1, header)
+            found += len(got)
+            wrong += len(set(got) ^ set(starts))
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64()), pa.array([wrong], pa.int64())], names=["found", "wrong"])
+
+    return rows.mapInArrow(run, "found bigint, wrong bigint").agg(F.sum("found").alias("records"), F.sum("wrong").alias("wrong"))
+
+
+@query("cdc01_cdc06_block_codecs", "SELECT method, count(*) AS n, true AS same FROM documents, (VALUES ('rans0'), ('rans1'), ('gzip'), ('bzip2'), ('lzma')) v(method) WHERE doc_id < 100 GROUP BY 1")
+def block_codecs(spark: SparkSession, d: str) -> DataFrame:
+    """Texts through every codec and back, compared whole."""
+    methods = ["rans0", "rans1", "gzip", "bzip2", "lzma"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 100").select("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from ..sources import codecs
+
+        for b in batches:
+            rows = [(m, codecs.decompress(m, codecs.compress(m, t.encode())) == t.encode()) for t in b.column(0).to_pylist() for m in methods]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["method", "same"])
+
+    return docs.mapInArrow(run, "method string, same boolean").groupBy("method").agg(F.count("*").alias("n"), F.bool_and("same").alias("same"))
+
+
+@query("src43_reference_repository", sql("reads") + ", w AS (SELECT 'd' || (event_id % 40)::VARCHAR AS name, 1 + event_id % 50 AS s, 10 + event_id % 50 AS e FROM events) SELECT w.name, w.s AS start_, substr(r.sequence, w.s, 10) AS bases FROM w JOIN reads r ON r.name = w.name WHERE length(r.sequence) >= w.e")
+def reference_repository(spark: SparkSession, d: str) -> DataFrame:
+    """Subsequences of named references for many intervals at once: one join on the name."""
+    wanted = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("d"), F.col("event_id") % 40).alias("name"), (1 + F.col("event_id") % 50).alias("s"), (10 + F.col("event_id") % 50).alias("e"))
+    joined = wanted.join(view(spark, d, "reads").select("name", "sequence"), "name")
+    return joined.select("name", F.col("s").alias("start_"), records.subsequence(F.col("sequence"), F.col("s"), F.col("e")).alias("bases")).where("bases is not null")
+
+
+@query("qry03_container_query", AR + ", x AS (SELECT a.*, cast(substr(name, 2) AS BIGINT) % 50 AS container FROM alignments a), c AS (SELECT DISTINCT container FROM x WHERE ref_id = 2 AND pos BETWEEN 1000 AND 1200) SELECT x.name, x.pos FROM x JOIN c USING (container) WHERE ref_id = 2 AND pos BETWEEN 1000 AND 1200")
+def container_query(spark: SparkSession, d: str) -> DataFrame:
+    """Containers are chosen once by their index rows, however many slices of them match; records then decide."""
+    x = view(spark, d, "alignments").withColumn("container", F.substring("name", 2, 20).cast("bigint") % 50).withColumn("slice", F.col("container") * 10 + F.col("flags") % 10)
+    index = x.groupBy("container", "slice", "ref_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    chosen = index.where("ref_id = 2 and first <= 1200 and last >= 1000").select("container").distinct()
+    return x.join(chosen, "container", "left_semi").where("ref_id = 2 and pos between 1000 and 1200").select("name", "pos")
+
+
+@query("srt02_fn25_chunk_order", "SELECT l_orderkey * 64 AS chunk, 18 + l_partkey % 500 + 8 AS framed, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_tax, l_discount) AS k FROM lineitem WHERE l_suppkey < 3")
+def chunk_order(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_discount")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey < 3")
+    return rows.select((F.col("l_orderkey") * 64).alias("chunk"), (F.lit(bgzf.framed_size(0)) + F.col("l_partkey") % 500).alias("framed"), F.row_number().over(w).cast("bigint").alias("k"))
+
+
+@query("fn09_feature_span", AR + ", x AS (SELECT name, length(sequence) AS n, coalesce(list_sum(regexp_extract_all(cigar, '(\\d+)[DN]', 1)::BIGINT[]), 0) AS added, coalesce(list_sum(regexp_extract_all(cigar, '(\\d+)[IS]', 1)::BIGINT[]), 0) AS taken FROM alignments) SELECT name, (n + added - taken)::BIGINT AS span FROM x")
+def feature_span(spark: SparkSession, d: str) -> DataFrame:
+    """Span from the read length and the features that add to it or take from it."""
+    ops_ = records.cigar_ops(F.col("cigar"))
+    delta = F.aggregate(ops_, F.lit(0).cast("bigint"), lambda a, o: a + F.when(o["op"].isin("D", "N"), o["len"]).when(o["op"].isin("I", "S"), -o["len"]).otherwise(0))
+    return view(spark, d, "alignments").select("name", (F.length("sequence") + delta).alias("span"))

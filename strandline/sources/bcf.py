@@ -181,6 +181,35 @@ def decode(data: bytes, at: int, header: Header) -> tuple[tuple, int]:
     return row, 8 + shared + indiv
 
 
+def plausible(data: bytes, at: int, samples: int, contigs: int) -> bool:
+    """Whether a record may begin at ``at``: its number of samples, contig and sizes agree."""
+    if at + 32 > len(data):
+        return False
+    shared, indiv, chrom, pos, rlen, _, n_info_allele, n_fmt_sample = struct.unpack_from("<IIiiiIII", data, at)
+    if shared < 24 or not 0 <= chrom < contigs or pos < -1 or rlen < 0 or n_fmt_sample & 0xFFFFFF != samples:
+        return False
+    return n_info_allele >> 16 > 0 and (indiv > 0) == (n_fmt_sample >> 24 > 0)
+
+
+def record_starts(data: bytes, samples: int, header: Header) -> tuple[list[int], int]:
+    """(places where records begin, places that the sieve let through): a candidate counts if it decodes whole and
+    the next record, or the end, follows it."""
+    passed = [at for at in range(max(0, len(data) - 31)) if plausible(data, at, samples, len(header.contigs))]
+    ends: dict[int, int] = {}
+    for at in passed:
+        try:
+            _, size = decode(data, at, header)
+        except (BcfError, KeyError, IndexError, struct.error, UnicodeDecodeError, ValueError):
+            continue
+        ends[at] = at + size
+    # tiles from the end: a chain of records must run through to it
+    good = {len(data)}
+    for at in sorted(ends, reverse=True):
+        if ends[at] in good:
+            good.add(at)
+    return sorted(good - {len(data)}), len(passed)
+
+
 def write_typed(kind: int, body: bytes, n: int) -> bytes:
     if n < 15:
         return bytes([n << 4 | kind]) + body

@@ -251,3 +251,21 @@ def test_written_headers_open_every_file(spark, tmp_path):
     sinks.write_lines(spark.range(6).selectExpr("cast(id as string) v").repartition(3), f"file://{tmp_path}/t", ["#h"])
     files = [f for f in os.listdir(tmp_path / "t") if f.startswith("part-")]
     assert len(files) == 3 and all((tmp_path / "t" / f).read_text().startswith("#h\n") for f in files)
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_rans(order):
+    from strandline.sources.codecs import CodecError, rans_decode, rans_encode
+
+    r = random.Random(order)
+    for data in (b"", b"a", b"abc", b"aaaa", b"noodles", bytes(range(256)) * 3, r.randbytes(2000), b"ab" * 999 + b"c", b"\0" * 50, bytes(r.choice(b"ACGT\0") for _ in range(5001))):
+        assert rans_decode(rans_encode(data, order)) == data
+    with pytest.raises(CodecError):
+        rans_decode(rans_encode(b"abcabcabc", order)[:-3])
+
+
+def test_integers_of_containers():
+    from strandline.sources.codecs import itf8, read_itf8
+
+    for v in (0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 268435455, 268435456, 2147483647, -1, -2147483648):
+        assert read_itf8(itf8(v) + b"x", 0) == (v, len(itf8(v)))
