@@ -23,12 +23,14 @@ from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 from pyspark.sql import DataFrame
 
 from .common import annotate
 
-#: Pieces whose encodings a worker remembers; the store is emptied when full.
-PIECE_CACHE = 400_000
+#: Pieces whose encodings a worker remembers, in two halves: when the newer half is full it becomes
+#: the older one, so that what is met again and again stays.
+PIECE_CACHE = 500_000
 #: Longer pieces are not remembered.
 PIECE_BYTES = 64
 
@@ -80,6 +82,10 @@ class PrefixBpe:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.matcher = ahocorasick.Automaton()
+        for t, r in ranks.items():
+            self.matcher.add_word(t.decode("latin-1"), (len(t), r))
+        self.matcher.make_automaton()
         self._edges: dict[int, tuple | None] = {}
         self._apart: dict[tuple[int, int], bool] = {}
 
@@ -139,23 +145,25 @@ class PrefixBpe:
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> None:
         """Compute the last tokens of the prefixes of ``data`` that ``last`` doesn't have yet."""
-        rank, longest, known = self.ranks.get, self.longest, self._apart.get
-        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            for start in range(max(0, end - longest), end):
-                token = rank(data[start:end])
-                if token is None:
-                    continue
-                if start:
-                    ok = known((last[start - 1], token))
-                    if ok is None:
-                        ok = self.apart(last[start - 1], token)
-                else:
-                    ok = self.edges(token) is not None
-                if ok:
-                    last.append(token)
-                    break
+        known, stop, done = self._apart.get, len(data) if stop is None else stop, len(last)
+        begin = max(0, done - self.longest)
+        # every token that ends at a place, place by place
+        for at, (size, token) in self.matcher.iter(data[begin:stop].decode("latin-1")):
+            end = begin + at + 1
+            if end <= done:
+                continue
+            if end > size:
+                before = last[end - size - 1]
+                ok = known((before, token))
+                if ok is None:
+                    ok = self.apart(before, token)
             else:
-                raise ValueError("the vocabulary lacks a single byte")
+                ok = self.edges(token) is not None
+            if ok:
+                last.append(token)
+                done = end
+        if done < stop:
+            raise ValueError("the vocabulary lacks a single byte")
 
     def walk(self, last: Sequence[int], end: int | None = None) -> list[int]:
         out, at = [], len(last) if end is None else end
@@ -223,6 +231,7 @@ class TextCodec:
         self.split_narrow = re.compile(narrow).findall if narrow else self.split
         self.wide = re.compile("[^\x00-\u024f]").search
         self._pieces: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        self._older: dict[str, tuple[int, str, tuple[int, ...]]] = {}
 
     def pieces(self, text: str) -> list[str]:
         return self.split(text) if self.wide(text) else self.split_narrow(text)
@@ -233,11 +242,14 @@ class TextCodec:
         for piece in self.pieces(text):
             got = known.get(piece)
             if got is None:
-                ids = tuple(self.bpe.encode_piece(piece.encode()))
-                got = (len(ids), " ".join(map(str, ids)), ids)
+                got = self._older.get(piece)
+                if got is None:
+                    ids = tuple(self.bpe.encode_piece(piece.encode()))
+                    got = (len(ids), " ".join(map(str, ids)), ids)
                 if len(piece) <= PIECE_BYTES:
-                    if len(known) >= PIECE_CACHE:
-                        known.clear()
+                    if len(known) >= PIECE_CACHE // 2:
+                        self._older = known
+                        self._pieces = known = {}
                     known[piece] = got
             out.append(got)
         return out
