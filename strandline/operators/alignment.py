@@ -130,18 +130,21 @@ def depth_reads(alignments: DataFrame) -> DataFrame:
 
 
 def _segments(cigar: Column) -> Column:
-    """array<struct<off, len>> of M, = and X runs by their offset on the reference, in one pass over the operations."""
+    """array<struct<off, len, w>> of the runs on the reference by their offset, in one pass over the operations.
+
+    M, = and X weigh 1, D and N weigh 0.
+    """
     from ..functions.records import cigar_ops
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<off:bigint,len:bigint>>").alias("found"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<off:bigint,len:bigint,w:bigint>>").alias("found"))
 
     def step(state, op):
         covers = op["op"].isin("M", "=", "X")
         moves = op["op"].isin("M", "=", "X", "D", "N")
-        more = F.array(F.struct(state["at"].alias("off"), op["len"].alias("len")))
+        more = F.array(F.struct(state["at"].alias("off"), op["len"].alias("len"), covers.cast("bigint").alias("w")))
         return F.struct(
             F.when(moves, state["at"] + op["len"]).otherwise(state["at"]).alias("at"),
-            F.when(covers, F.concat(state["found"], more)).otherwise(state["found"]).alias("found"),
+            F.when(moves, F.concat(state["found"], more)).otherwise(state["found"]).alias("found"),
         )
 
     return F.aggregate(cigar_ops(cigar), start, step, lambda s: s["found"])
@@ -150,17 +153,19 @@ def _segments(cigar: Column) -> Column:
 def depth(alignments: DataFrame, region_start: int | None = None, region_end: int | None = None) -> DataFrame:
     """Depth at every position that a read spans, 0 where reads only skip or delete; (ref_id, position, depth).
 
-    Every read adds its covered positions with weight 1 and the rest of its span with 0, so that a
-    partial sum combines before the shuffle and no sort is needed.
+    Runs are expanded to positions with their weight, and sums combine before the shuffle; no sort is
+    needed. A read whose CIGAR covers nothing counts 0 at its start.
     """
-    reads = depth_reads(alignments).select("ref_id", "pos", "cigar", alignment_end(F.col("pos"), F.col("cigar")).alias("aend"))
-    lo = F.col("pos") if region_start is None else F.greatest("pos", F.lit(region_start))
-    hi = F.col("aend") if region_end is None else F.least("aend", F.lit(region_end))
-    reads = reads.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("runs", _segments(F.col("cigar")))
-    at = reads.select("ref_id", "pos", "runs", F.explode(F.sequence("lo", "hi")).alias("position"))
-    off = F.col("position") - F.col("pos")
-    covered = F.exists("runs", lambda r: (off >= r["off"]) & (off < r["off"] + r["len"]))
-    return at.groupBy("ref_id", "position").agg(F.sum(covered.cast("bigint")).alias("depth"))
+    runs = _segments(F.col("cigar"))
+    nothing = F.array(F.struct(F.lit(0).cast("bigint").alias("off"), F.lit(1).cast("bigint").alias("len"), F.lit(0).cast("bigint").alias("w")))
+    spanned = F.exists(runs, lambda r: r["len"] > 0)
+    rows = depth_reads(alignments).select("ref_id", "pos", F.explode(F.when(spanned, runs).otherwise(nothing)).alias("r")).where("r.len > 0")
+    lo, hi = F.col("pos") + F.col("r.off"), F.col("pos") + F.col("r.off") + F.col("r.len") - 1
+    lo = lo if region_start is None else F.greatest(lo, F.lit(region_start))
+    hi = hi if region_end is None else F.least(hi, F.lit(region_end))
+    rows = rows.select("ref_id", lo.alias("lo"), hi.alias("hi"), F.col("r.w").alias("w")).where("lo <= hi")
+    at = rows.select("ref_id", "w", F.explode(F.sequence("lo", "hi")).alias("position"))
+    return at.groupBy("ref_id", "position").agg(F.sum("w").alias("depth"))
 
 
 def depth_runs(alignments: DataFrame) -> DataFrame:
@@ -175,7 +180,7 @@ def depth_runs(alignments: DataFrame) -> DataFrame:
     reads = depth_reads(alignments).select("ref_id", "pos", F.explode(_segments(F.col("cigar"))).alias("run"))
     s, e = F.col("pos") + F.col("run.off"), F.col("pos") + F.col("run.off") + F.col("run.len")
     tiles = F.sequence(F.floor(s / tile), F.floor((e - 1) / tile))
-    split = reads.where("run.len > 0").select("ref_id", s.alias("s"), e.alias("e"), F.explode(tiles).alias("tile"))
+    split = reads.where("run.len > 0 and run.w > 0").select("ref_id", s.alias("s"), e.alias("e"), F.explode(tiles).alias("tile"))
     split = split.select("ref_id", "tile", F.greatest("s", F.col("tile") * tile).alias("s"), F.least("e", (F.col("tile") + 1) * tile).alias("e"))
     events = split.select("ref_id", "tile", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("v"))
     events = events.groupBy("ref_id", "tile", F.col("v.at").alias("at")).agg(F.sum("v.d").alias("d"))
