@@ -23,8 +23,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; ``n_chars`` follows the text where it changed."""
-    cleaned = drop_boilerplate(docs.withColumn("__before", F.length("text")))
-    same = F.col("__before").eqNullSafe(F.length("text"))
+    before = "__before"
+    while before in docs.columns:
+        before += "_"
+    cleaned = drop_boilerplate(docs.withColumn(before, F.length("text")))
+    same = F.col(before).eqNullSafe(F.length("text"))
     n_chars = F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
 
