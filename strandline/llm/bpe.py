@@ -21,7 +21,6 @@ import re
 import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -30,7 +29,7 @@ from .common import annotate
 
 #: Pieces whose encodings a worker remembers, in two halves: when the newer half is full it becomes
 #: the older one, so that what is met again and again stays.
-PIECE_CACHE = 500_000
+PIECE_CACHE = 400_000
 #: Longer pieces are not remembered.
 PIECE_BYTES = 64
 
@@ -230,32 +229,36 @@ class TextCodec:
         narrow = narrow_pattern(pattern)
         self.split_narrow = re.compile(narrow).findall if narrow else self.split
         self.wide = re.compile("[^\x00-\u024f]").search
-        self._pieces: dict[str, tuple[int, str, tuple[int, ...]]] = {}
-        self._older: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        self._pieces: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self.by_text = {str(r): (r, t) for t, r in ranks.items()}
 
     def pieces(self, text: str) -> list[str]:
         return self.split(text) if self.wide(text) else self.split_narrow(text)
 
-    def encoded(self, text: str) -> list[tuple[int, str, tuple[int, ...]]]:
-        """For each piece the number of its ids, the ids as text, the ids."""
+    def ids_text(self, text: str) -> str:
+        """The ids in decimal, joined by one space."""
         known, out = self._pieces, []
         for piece in self.pieces(text):
             got = known.get(piece)
             if got is None:
                 got = self._older.get(piece)
                 if got is None:
-                    ids = tuple(self.bpe.encode_piece(piece.encode()))
-                    got = (len(ids), " ".join(map(str, ids)), ids)
+                    got = " ".join(map(str, self.bpe.encode_piece(piece.encode())))
                 if len(piece) <= PIECE_BYTES:
                     if len(known) >= PIECE_CACHE // 2:
                         self._older = known
                         self._pieces = known = {}
                     known[piece] = got
             out.append(got)
-        return out
+        return " ".join(out)
+
+    def both(self, ids_text: str) -> list[tuple[int, bytes]]:
+        """(id, bytes) of each id in a text of them."""
+        return list(map(self.by_text.__getitem__, ids_text.split()))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[2] for x in self.encoded(text)))
+        return [i for i, _ in self.both(self.ids_text(text))]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return self.bpe.decode(ids)
@@ -286,14 +289,13 @@ def bpe_encode(
         def run(texts):
             rows = []
             for t in texts:
-                parts = own.encoded("" if t is None else t)
-                ids = chain.from_iterable([x[2] for x in parts])
-                n = sum(x[0] for x in parts)
+                text_ids = own.ids_text(t or "")
+                both = own.both(text_ids)
+                decoded = b"".join([x for _, x in both])
                 if digests:
-                    rows.append((n, sha(" ".join([x[1] for x in parts]).encode()), sha(own.decode(ids))))
+                    rows.append((len(both), sha(text_ids.encode()), sha(decoded)))
                 else:
-                    ids = list(ids)
-                    rows.append((n, ids, own.decode(ids)))
+                    rows.append((len(both), [i for i, _ in both], decoded))
             return list(zip(*rows, strict=True))
 
         return run

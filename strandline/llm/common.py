@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -36,6 +38,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def hand_back() -> None:
+    """Give memory that is free in this worker back to the machine; workers live on between tasks."""
+    with contextlib.suppress(Exception):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotate(
     df: DataFrame,
     inputs: Sequence[str],
@@ -70,6 +78,7 @@ def annotate(
             arrays = [b.column(used.index(c)) for c in keep]
             arrays += [pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        hand_back()
 
     return narrow.mapInArrow(run, schema)
 

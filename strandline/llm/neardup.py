@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, small_batches
+from .common import annotate, hand_back, small_batches
 from .components import components
 from .shingles import mix, shingle_sets
 from .staging import Staging, small_side
@@ -40,7 +40,7 @@ SMALL_BUCKET = 64
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1 << 20
 #: Columns of the incidence matrix that are held at once.
-MATRIX_COLUMNS = 4096
+MATRIX_COLUMNS = 2048
 
 
 class CirculantMinHash:
@@ -97,6 +97,7 @@ def _with_arrow(df: DataFrame, fields: str, rows_of) -> DataFrame:
             rows = rows_of(*(c.to_pylist() for c in b.columns))
             columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        hand_back()
 
     return df.mapInArrow(run, fields)
 
@@ -219,6 +220,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         prints = t.column("print").to_pylist()
         sets_ = [_decode(s) for s in t.column("shingles").to_pylist()]
         found = block_forest(prints, sets_, np.array(t.column("side").to_pylist(), bool), same, percent)
+        hand_back()
         return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary())})
 
     return joined.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
