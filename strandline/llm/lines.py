@@ -13,9 +13,8 @@ from .staging import BROADCAST_ROWS, Staging, small_side
 
 #: Share of a host's pages, in percent, beyond which a line is boilerplate.
 RATIO_PERCENT = 5
-#: Hosts with fewer pages, and lines on fewer pages of a host, say nothing about boilerplate.
-LEAST_PAGES = 20
-LEAST_COPIES = 5
+#: A line on fewer pages of a host repeats nothing. The ratio alone decides otherwise, whatever the host's size.
+LEAST_COPIES = 2
 
 
 def host_of(url: Column) -> Column:
@@ -45,7 +44,7 @@ def boilerplate(docs: DataFrame, staging: Staging, host: str, text: str, percent
     many of them as a page has distinct lines on average.
     """
     pages = docs.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    totals = staging.save(pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES))
+    totals = staging.save(pages.groupBy("host").agg(F.count("*").alias("pages")))
     seen = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counts), _print))
     on = pages.select("host", F.explode(seen).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     on = on.where(F.col("n") >= LEAST_COPIES)
@@ -82,9 +81,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """All rows and columns of ``docs``, with boilerplate lines taken out of ``text``.
 
     Null hosts are one host. A null text stays null but counts as a page; so
-    does an empty one. A page that holds nothing but boilerplate is left whole,
-    as are hosts with fewer than ``LEAST_PAGES`` pages. Repeated rows count as
-    pages of their own; an empty table gives an empty one.
+    does an empty one. A page that holds nothing but boilerplate is left whole.
+    Repeated rows count as pages of their own; an empty table gives an empty
+    one.
     """
     marked = _marked(docs, host, text, percent)
     name = lambda c: F.col("row").getField(c)
