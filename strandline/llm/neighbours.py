@@ -187,19 +187,25 @@ def _asked(queries: DataFrame, counts: dict, tables: int, probes: int, least: in
 def block_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, nearest: int) -> list[tuple[int, int, float]]:
     """(query, id, distance) of each query's nearest in a block, ties to smaller ids, its own id left out.
 
-    Products of matrices choose candidates with a margin for rounding; their
-    distances are then computed from the differences.
+    Rows of one id are one candidate, at the smallest of their distances: they
+    are reduced to it before the limit is set. Products of matrices choose
+    candidates with a margin for rounding; their distances are then computed
+    from the differences.
     """
     out = []
     norms = (vectors * vectors).sum(axis=1)
-    for at in range(0, len(queries), 256):
+    order = np.argsort(ids, kind="stable")
+    begins = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]]) if len(ids) else np.zeros(0, int)
+    repeated = len(begins) < len(ids)
+    k = min(nearest, len(begins))
+    for at in range(0, len(queries) if k else 0, 256):
         part, part_ids = queries[at : at + 256], query_ids[at : at + 256]
         own = (part * part).sum(axis=1)
         square = own[:, None] + norms[None] - 2 * part @ vectors.T
         square[part_ids[:, None] == ids[None]] = np.inf
-        margin = 1e-9 * (own + (norms.max() if len(norms) else 0)) + 1e-300
-        k = min(nearest, len(ids))
-        limit = np.partition(square, k - 1, axis=1)[:, k - 1]
+        margin = 1e-9 * (own + norms.max()) + 1e-300
+        each = np.minimum.reduceat(square[:, order], begins, axis=1) if repeated else square
+        limit = np.partition(each, k - 1, axis=1)[:, k - 1]
         for i in range(len(part)):
             near = np.flatnonzero((square[i] <= limit[i] + margin[i]) & (square[i] < np.inf))
             d = np.sqrt(((vectors[near] - part[i]) ** 2).sum(axis=1))
