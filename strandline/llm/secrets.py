@@ -21,13 +21,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: Character class: (its characters, window in characters, least entropy in bits a character).
 CLASSES = {
-    "hex": (frozenset("0123456789abcdefABCDEF"), 24, 3.0),
+    "hex": (frozenset("0123456789abcdefABCDEF"), 20, 3.0),
     "alnum": (frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20, 3.6),
-    "base64": (frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 24, 3.8),
+    "base64": (frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 20, 3.8),
 }
-#: Candidates: runs with a digit, as long as the smallest window.
-CANDIDATE = re.compile(r"[0-9][A-Za-z0-9+/_=-]*")
+#: Candidates: longest runs of base64 characters, as long as a window.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 CANDIDATE_LEAST = 20
+#: Longest runs of each class within a candidate.
+RUNS = {"hex": re.compile(r"[0-9A-Fa-f]{20,}"), "alnum": re.compile(r"[0-9A-Za-z]{20,}"), "base64": re.compile(r"[A-Za-z0-9+/_=-]{20,}")}
 
 #: Allowed candidates: identifiers that look random and are none, and placeholders.
 ALLOWED = tuple(
@@ -37,6 +39,7 @@ ALLOWED = tuple(
         r"[0-9+/_=-]*",  # digits: numbers, dates, phone and card numbers
         r".*(?:example|sample|placeholder|dummy|xxxx).*",
         r"(?:[a-z]+[_/-])+[a-z]*[0-9]{1,4}",  # words joined by a sign, with a number at the end
+        r"(?-i:[_/-]*(?:(?=[a-z]{0,14}[aeiouy])[a-z]{1,15}[_/-]+)+(?:(?=[a-z]{0,14}[aeiouy])[a-z]{1,15})?)",  # lower-case words joined by signs
         r"[a-z]+[0-9]{1,4}",  # a word with a number
         r"(?=.*0123456789|.*abcdefghij).*",  # alphabets
     )
@@ -82,34 +85,32 @@ def windows(s: str, window: int, least: float) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """Longest runs of base64 characters that hold a digit."""
-    at, chars = 0, CLASSES["base64"][0]
-    for m in CANDIDATE.finditer(text):
-        begin = m.start()
-        while begin > at and text[begin - 1] in chars:  # no digits lie between two matches
-            begin -= 1
-        at = m.end()
-        if at - begin >= CANDIDATE_LEAST:
-            yield begin, text[begin:at]
+def united(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of high entropy in candidates that aren't allowed; the narrowest class that a piece fits decides."""
+    """Spans of high entropy in candidates that aren't allowed; each class slides over its own runs."""
     out = []
-    for begin, s in candidates(text):
+    for found in CANDIDATE.finditer(text):
+        begin, s = found.start(), found.group()
         pieces = [(m.start(), m.group()) for m in re.finditer(r"[^=]+=*", s)] if "=" in s else [(0, s)]
         for off, piece in pieces:
-            if len(piece) < CANDIDATE_LEAST or not any(c.isalpha() for c in piece):
-                continue
-            if any(p.fullmatch(piece) for p in ALLOWED):
+            if len(piece) < CANDIDATE_LEAST or any(p.fullmatch(piece) for p in ALLOWED):
                 continue
-            chars = set(piece)
-            for allowed, window, least in CLASSES.values():
-                if chars <= allowed:
-                    for a, b in windows(piece, window, least):
-                        out.append((begin + off + a, begin + off + b))
-                    break
+            spans = []
+            for name, (_, window, least) in CLASSES.items():
+                for run in RUNS[name].finditer(piece):
+                    if any(c.isalpha() for c in run.group()):  # digits alone are numbers
+                        spans += [(run.start() + a, run.start() + b) for a, b in windows(run.group(), window, least)]
+            out += [(begin + off + a, begin + off + b) for a, b in united(spans)]
     return out
 
 
