@@ -255,8 +255,8 @@ class BamSource(DataSource):
     Options: ``columns`` (comma list; others aren't decoded, and come as null),
     ``split_bytes`` (0, the default: a task a file). With splits a task finds
     the first record in its blocks as the first place from which a chain of
-    plausible records runs through all that follows in ``PROOF`` bytes, and
-    takes the records that begin in its blocks.
+    two plausible records or more runs through ``PROOF`` bytes, reading on as
+    long as none is found, and takes the records that begin in its blocks.
     """
 
     @classmethod
@@ -319,7 +319,7 @@ class _BamReader(DataSourceReader):
             if first <= begin:
                 at = within
         data, ends = b"", 0  # what is held; up to where records are this task's
-        done = False
+        done, need = False, self.PROOF
         while True:
             block = next(blocks, None)
             if block is None:
@@ -329,11 +329,16 @@ class _BamReader(DataSourceReader):
                 if block[0] < part.end:
                     ends = len(data)
             if at is None:
-                if not done and len(data) < self.PROOF:
+                if not done and len(data) < need:
+                    continue
+                at, settled = _first_record(data, ends, len(header.references), done, self.PROOF)
+                if at is None:
+                    # all that is held may lie within one long record
+                    data, ends = data[settled:], ends - settled
+                    if done or ends <= 0:
+                        return
+                    need = len(data) + self.PROOF
                     continue
-                at = _first_record(data, len(header.references), done)
-                if at is None or at >= ends:
-                    return
             while at < ends:
                 size = record_size(data, at)
                 if size is None or at + size > len(data):
@@ -349,21 +354,25 @@ class _BamReader(DataSourceReader):
             data, ends, at = data[at:], ends - at, 0
 
 
-def _first_record(data: bytes, references: int, done: bool) -> int | None:
-    for start in range(len(data)):
+def _first_record(data: bytes, ends: int, references: int, done: bool, proof: int) -> tuple[int | None, int]:
+    """(first place before ``ends`` where a record begins, or None; up to where places are settled)."""
+    for start in range(ends):
+        if not done and len(data) - start < proof:
+            return None, start
         at, n = start, 0
         while at < len(data):
             size = plausible(data, at, references)
             if size is None:
-                # what is left may be too short to tell
-                if at + 36 > len(data) and not done and n:
-                    return start
                 break
             at, n = at + size, n + 1
-        else:
-            if n and (at == len(data) or not done):
-                return start
-    return None
+        if done:
+            if n and at == len(data):
+                return start, start
+        elif at + 36 > len(data):  # what is left is too short to tell
+            if n > 1:
+                return start, start
+            return None, start  # one record alone is no chain
+    return None, ends
 
 
 def read_header(file) -> tuple[Header, int, int]:
