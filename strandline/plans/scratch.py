@@ -3,26 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from ..sources.files import remove, shared_folder
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, removed at the end; only a local session may do without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/strandline-scratch"
-    path = f"{root.rstrip('/') if '://' in root or root.startswith('file:') else 'file://' + root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        with contextlib.suppress(Exception):  # the session may be gone
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    atexit.register(remove)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
     return path

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.records import BASE_CODES, CIGAR_CODES
-from . import bgzf
+from . import bgzf, files, sinks
 
 MAGIC = b"BAM\x01"
 CORE = struct.Struct("<iiBBHHHiiii")
@@ -283,7 +283,7 @@ class _BamReader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for path, size in bgzf.list_files(self.path):
+        for path, size in files.list_files(self.path):
             step = self.split or max(size, 1)
             out += [Split(path, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
         return out
@@ -307,7 +307,7 @@ class _BamReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(got.get(f.name, [None] * len(rows)), type=f.type) for f in schema], schema=schema)
 
     def _records(self, part: Split) -> Iterator[tuple]:
-        file = bgzf.open_file(part.path)
+        file = files.open_file(part.path)
         header, begin, within = read_header(file)
         if part.begin == 0:
             blocks, at = iter(bgzf.BlockReader(file, begin)), within
@@ -390,37 +390,16 @@ def read_header(file) -> tuple[Header, int, int]:
     raise BamError("no BAM header")
 
 
-def write_bam(df: DataFrame, folder: str, header: Header) -> None:
-    """One whole BAM file a partition, in the rows' order; tags are map<tag, TYPE:VALUE>."""
-    head = header_bytes(header)
+def write_bam(df: DataFrame, folder: str, header: Header) -> list[str]:
+    """One whole BAM file a partition, in the rows' order; tags are map<tag, TYPE:VALUE>. Returns the paths."""
 
-    def run(batches):
-        import uuid
+    def records(batch):
+        for row in batch.to_pylist():
+            if isinstance(row.get("tags"), list):
+                row["tags"] = dict(row["tags"])
+            yield encode(row)
 
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        system.create_dir(inner, recursive=True)
-        path, n, held = f"{inner}/.part-{uuid.uuid4().hex}.bam", 0, bytearray(head)
-        with system.open_output_stream(path, compression=None) as out:
-            for b in batches:
-                for row in b.to_pylist():
-                    if isinstance(row.get("tags"), list):
-                        row["tags"] = dict(row["tags"])
-                    held += encode(row)
-                    n += 1
-                    while len(held) >= bgzf.PAYLOAD:
-                        out.write(bgzf.frame(bytes(held[: bgzf.PAYLOAD])))
-                        del held[: bgzf.PAYLOAD]
-            if held:
-                out.write(bgzf.frame(bytes(held)))
-            out.write(bgzf.END_BLOCK)
-        # a name that shows only when the file is whole: a task that dies leaves a hidden one
-        system.move(path, path.replace("/.part-", "/part-"))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    df.mapInArrow(run, "n bigint").collect()
+    return sinks.write_blocks(df, folder, "bam", header_bytes(header), records)
 
 
 def quickcheck(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import bgzf
+from . import bgzf, files, sinks
 
 MAGIC = b"BCF\x02"
 SCHEMA = {
@@ -271,36 +271,15 @@ def header_bytes(lines: Sequence[str]) -> bytes:
     return MAGIC + b"\x02" + struct.pack("<I", len(text)) + text
 
 
-def write_bcf(df: DataFrame, folder: str, lines: Sequence[str]) -> None:
-    """One whole BCF file a partition."""
+def write_bcf(df: DataFrame, folder: str, lines: Sequence[str]) -> list[str]:
+    """One whole BCF file a partition; returns the paths."""
     strings, contigs = string_map(lines), contig_map(lines)
     kinds = {m[1]: m[2] for x in lines if (m := re.match(r"##(?:INFO|FORMAT)=<ID=([^,]+),.*Type=(\w+)", x))}
-    head = header_bytes(lines)
 
-    def run(batches):
-        import uuid
+    def records_of(batch):
+        return (encode(row, strings, contigs, kinds) for row in batch.to_pylist())
 
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        system.create_dir(inner, recursive=True)
-        path, n, held = f"{inner}/.part-{uuid.uuid4().hex}.bcf", 0, bytearray(head)
-        with system.open_output_stream(path, compression=None) as out:
-            for b in batches:
-                for row in b.to_pylist():
-                    held += encode(row, strings, contigs, kinds)
-                    n += 1
-                    while len(held) >= bgzf.PAYLOAD:
-                        out.write(bgzf.frame(bytes(held[: bgzf.PAYLOAD])))
-                        del held[: bgzf.PAYLOAD]
-            if held:
-                out.write(bgzf.frame(bytes(held)))
-            out.write(bgzf.END_BLOCK)
-        system.move(path, path.replace("/.part-", "/part-"))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    df.mapInArrow(run, "n bigint").collect()
+    return sinks.write_blocks(df, folder, "bcf", header_bytes(lines), records_of)
 
 
 @dataclass
@@ -327,7 +306,7 @@ class _BcfReader(DataSourceReader):
         self.path, self.fields = path, schema
 
     def partitions(self):
-        return [WholeFile(p) for p, _ in bgzf.list_files(self.path)]
+        return [WholeFile(p) for p, _ in files.list_files(self.path)]
 
     def read(self, part: WholeFile) -> Iterator:
         import pyarrow as pa
@@ -348,7 +327,7 @@ def _batch(pa, schema, rows):
 
 
 def records(path: str) -> Iterator[tuple]:
-    file = bgzf.open_file(path)
+    file = files.open_file(path)
     data, at, header = b"", 0, None
     for _, _, block in bgzf.BlockReader(file, 0):
         data, at = data[at:] + block, 0

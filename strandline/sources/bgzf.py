@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import list_files, open_file
+
 # Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08\x04"
 HEADER = 18
@@ -116,27 +118,6 @@ def has_end(data: bytes) -> bool:
     return data.endswith(END_BLOCK)
 
 
-def open_file(path: str):
-    """A random-access file of any store that pyarrow knows."""
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system.open_input_file(inner)
-
-
-def list_files(path: str) -> list[tuple[str, int]]:
-    """(path, size) of a file, or of a folder's files in order; hidden ones left out."""
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    info = system.get_file_info(inner)
-    if info.type == fs.FileType.File:
-        return [(path, info.size)]
-    found = system.get_file_info(fs.FileSelector(inner, recursive=False))
-    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else "file://"
-    return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
-
-
 class BlockReader:
     """Blocks of a file from an offset on, read in pieces."""
 

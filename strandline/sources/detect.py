@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bgzf
+from . import bgzf, files
 
 
 def _inside(head: bytes) -> bytes:
@@ -31,7 +31,7 @@ def variant_format(head: bytes) -> str:
 
 
 def head_of(path: str, n: int = 4096) -> bytes:
-    file = bgzf.open_file(bgzf.list_files(path)[0][0])
+    file = files.open_file(files.list_files(path)[0][0])
     return file.read_at(min(n, file.size()), 0)
 
 

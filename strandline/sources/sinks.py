@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import wrap
 from . import bgzf
+from .files import filesystem
 
 
 def _definition(mark: str) -> Column:
@@ -40,31 +44,55 @@ def write_lines(records: DataFrame, folder: str, header: list[str] = ()) -> None
     records.mapInArrow(run, "value string").write.text(folder)
 
 
-def write_bgzf(records: DataFrame, folder: str, header: list[str] = (), suffix: str = "gz") -> None:
-    """Blocked-gzip files of the one column's records, a file a partition, each with header and end block."""
-    head = "".join(f"{x}\n" for x in header).encode()
+def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: Callable[[object], Iterable[bytes]]) -> list[str]:
+    """A blocked-gzip file for each partition, in its rows' order: ``head``, then what ``encode`` makes of each Arrow batch.
 
-    def run(batches):
-        import uuid
+    A task writes under a name of its own in a hidden folder. Its name counts
+    only if Spark takes the task's result, which happens once a partition
+    however often a task runs; the driver then gives the file its name and
+    removes what other attempts left. Returns the files' paths, by partition.
+    """
+    import uuid
 
+    job = uuid.uuid4().hex
+    hidden = f"{folder.rstrip('/')}/_attempts-{job}"
+
+    def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
+        from pyspark import TaskContext
 
-        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        part = TaskContext.get().partitionId()
+        system, inner = filesystem(hidden)
         system.create_dir(inner, recursive=True)
-        path, n, held = f"{inner}/.part-{uuid.uuid4().hex}.{suffix}", 0, bytearray(head)
-        with system.open_output_stream(path, compression=None) as out:
+        name, held = f"{part}-{uuid.uuid4().hex}", bytearray(head)
+        with system.open_output_stream(f"{inner}/{name}", compression=None) as out:
             for b in batches:
-                for v in b.column(0).to_pylist():
-                    held += v.encode() + b"\n"
-                    n += 1
-                while len(held) >= bgzf.PAYLOAD:
-                    out.write(bgzf.frame(bytes(held[: bgzf.PAYLOAD])))
-                    del held[: bgzf.PAYLOAD]
+                for piece in encode(b):
+                    held += piece
+                    while len(held) >= bgzf.PAYLOAD:
+                        out.write(bgzf.frame(bytes(held[: bgzf.PAYLOAD])))
+                        del held[: bgzf.PAYLOAD]
             if held:
                 out.write(bgzf.frame(bytes(held)))
             out.write(bgzf.END_BLOCK)
-        system.move(path, path.replace("/.part-", "/part-"))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name])], names=["part", "name"])
+
+    system, inner = filesystem(folder.rstrip("/"))
+    system.create_dir(inner, recursive=True)
+    paths = []
+    for row in sorted(df.mapInArrow(run, "part int, name string").collect()):
+        final = f"part-{row['part']:05d}-{job}.{suffix}"
+        system.move(f"{inner}/_attempts-{job}/{row['name']}", f"{inner}/{final}")
+        paths.append(f"{folder.rstrip('/')}/{final}")
+    with contextlib.suppress(FileNotFoundError):
+        system.delete_dir(f"{inner}/_attempts-{job}")
+    return paths
+
+
+def write_bgzf(records: DataFrame, folder: str, header: list[str] = (), suffix: str = "gz") -> list[str]:
+    """Blocked-gzip files of the one column's records, a file a partition, each with header and end block; their paths."""
+
+    def encode(batch):
+        return (v.encode() + b"\n" for v in batch.column(0).to_pylist())
 
-    records.mapInArrow(run, "n bigint").collect()
+    return write_blocks(records, folder, suffix, "".join(f"{x}\n" for x in header).encode(), encode)

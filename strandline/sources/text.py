@@ -31,6 +31,16 @@ def field(i: int) -> Column:
     return F.get("fields", F.lit(i))
 
 
+def fields_from(i: int) -> Column:
+    """A record's fields from the i-th on, however many."""
+    return rest_of(F.col("fields"), i)
+
+
+def rest_of(items: Column, i: int) -> Column:
+    """An array's elements from the i-th (0-based) on; none past its end."""
+    return F.slice(items, i + 1, F.size(items))
+
+
 def uniform_arity(rows: DataFrame) -> DataFrame:
     """Fewest and most fields, and whether all records have as many."""
     n = F.size("fields")
@@ -49,7 +59,7 @@ def sam_fields(rows: DataFrame) -> DataFrame:
     return r.select(
         text(0).alias("name"), field(1).cast("int").alias("flags"), text(2).alias("ref_name"), number(3, "bigint", 0).alias("pos"), number(4, "int", 255).alias("mapq"),
         text(5).alias("cigar"), mate.alias("mate_ref_name"), number(7, "bigint", 0).alias("mate_pos"), field(8).cast("int").alias("tlen"),
-        text(9).alias("sequence"), text(10).alias("quality"), sam_tags(F.slice("fields", 12, 1 << 16)).alias("tags"),
+        text(9).alias("sequence"), text(10).alias("quality"), sam_tags(fields_from(11)).alias("tags"),
     )
 
 
@@ -61,7 +71,7 @@ def sam_tags(items: Column) -> Column:
 
     def value(p):
         t, raw = p["type"], p["raw"]
-        numbers = F.slice(F.split(raw, ","), 2, 1 << 20)
+        numbers = rest_of(F.split(raw, ","), 1)
         return F.struct(
             t.alias("type"), F.when(t == "i", raw.cast("bigint")).alias("i"), F.when(t == "f", raw.cast("float")).alias("f"),
             F.when(t.isin("A", "Z", "H"), raw).alias("s"), F.when(t == "B", F.transform(numbers, lambda x: x.cast("double"))).alias("b"),
@@ -74,7 +84,7 @@ def sam_header(rows: DataFrame) -> DataFrame:
     """(kind, tags): one row for each header line; comments have their text under 'text'."""
     h = rows.where(is_header(F.col("value"), "sam"))
     parts = F.split("value", "\t")
-    pairs = F.transform(F.slice(parts, 2, 1 << 16), lambda x: F.struct(F.substring(x, 1, 2), F.substr(x, F.lit(4))))
+    pairs = F.transform(rest_of(parts, 1), lambda x: F.struct(F.substring(x, 1, 2), F.substr(x, F.lit(4))))
     kind = F.substring(F.get(parts, F.lit(0)), 2, 2)
     text = F.map_from_arrays(F.array(F.lit("text")), F.array(F.substr("value", F.lit(5))))
     return h.select(kind.alias("kind"), F.when(kind == "CO", text).otherwise(F.map_from_entries(pairs)).alias("tags"))
@@ -95,7 +105,7 @@ def vcf_fields(rows: DataFrame) -> DataFrame:
     return r.select(
         F.coalesce(arity, field(0)).alias("chrom"), F.nullif(field(1).cast("bigint"), F.lit(0).cast("bigint")).alias("pos"), fields.listed(field(2), ";").alias("ids"),
         field(3).alias("ref"), fields.listed(field(4), ",").alias("alts"), m(5).cast("float").alias("qual"), fields.listed(field(6), ";").alias("filters"),
-        fields.checked_info(field(7)).alias("info"), m(8).alias("format"), F.slice("fields", 10, 1 << 16).alias("samples"),
+        fields.checked_info(field(7)).alias("info"), m(8).alias("format"), fields_from(9).alias("samples"),
     )
 
 
@@ -112,7 +122,7 @@ def vcf_header(rows: DataFrame) -> DataFrame:
 
 def vcf_samples(rows: DataFrame) -> DataFrame:
     """(idx, sample): sample names in order."""
-    names = rows.where(F.col("value").startswith("#CHROM\t")).select(F.slice(F.split("value", "\t"), 10, 1 << 16).alias("s"))
+    names = rows.where(F.col("value").startswith("#CHROM\t")).select(rest_of(F.split("value", "\t"), 9).alias("s"))
     return names.select(F.posexplode("s").alias("idx", "sample"))
 
 
@@ -184,7 +194,7 @@ def bed_fields(rows: DataFrame, n: int = 3) -> DataFrame:
     r = table_rows(rows, "bed")
     columns = [field(0).alias("chrom"), (field(1).cast("bigint") + 1).alias("start"), F.nullif(field(2).cast("bigint"), F.lit(0).cast("bigint")).alias("end")]
     columns += [fields.missing(field(3)).alias("name"), field(4).cast("int").alias("score"), fields.missing(field(5)).alias("strand")][: n - 3]
-    return r.select(*columns, F.slice("fields", n + 1, 1 << 16).alias("other"))
+    return r.select(*columns, fields_from(n).alias("other"))
 
 
 # FASTA, FASTQ
