@@ -31,6 +31,11 @@ def reference_stats(records: DataFrame) -> DataFrame:
     )
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Chunks of each bin numbered from 1 in their order."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
 def linear_index(records: DataFrame) -> DataFrame:
     """Smallest offset of the records that reach into each 16 kb window; (ref_id, window, offset)."""
     first, last = F.shiftright(F.col("pos") - 1, WINDOW_SHIFT), F.shiftright(F.col("aend") - 1, WINDOW_SHIFT)

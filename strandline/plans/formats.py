@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records
 from ..operators import alignment as ops
+from ..operators import indexing
 from ..sources import bam, bcf, bgzf, detect, indexes, remote, sinks, text
 from .registry import query
 from .scratch import folder
@@ -40,7 +41,7 @@ def sam_files(spark: SparkSession, d: str) -> DataFrame:
     return _sam_columns(text.sam_fields(text.lines(spark, path)))
 
 
-@query("src05_src06_src07_snk11_snk12_bgzf_sam_files", AR + _ALIGNMENT_FIELDS)
+@query("src05_src06_src07_snk11_snk12_bgzf_sam_files", AR + _ALIGNMENT_FIELDS, python=True)
 def bgzf_sam_files(spark: SparkSession, d: str) -> DataFrame:
     path, named = folder(spark, "samgz"), _named(spark, d)
     sinks.write_bgzf(named.select(ops.sam_line(named)).repartition(2), path, SAM_HEADER)
@@ -59,13 +60,13 @@ def _bam(spark: SparkSession, d: str) -> str:
 
 
 @query("src13_src14_src15_snk02_prj09_prj10_bam_files", AR + """SELECT a.name, a.flags, a.ref_id, r.ref_name, a.pos, a.mapq, a.cigar, a.mate_ref_id, a.mate_pos, a.tlen, a.sequence, a.quality, 'i:' || a.nh AS nh, 'Z:' || a.rg AS rg
-FROM alignments a LEFT JOIN refs r ON a.ref_id = r.ref_id""")
+FROM alignments a LEFT JOIN refs r ON a.ref_id = r.ref_id""", python=True)
 def bam_files(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.format("bam").load(_bam(spark, d))
     return rows.withColumns({"nh": rows["tags"]["NH"], "rg": rows["tags"]["RG"]}).drop("bin", "tags")
 
 
-@query("src10_win04_split_bam_files", AR + "SELECT flags & 512 <> 0 AS qc_fail, count(*) AS n, sum(pos)::BIGINT AS positions FROM alignments GROUP BY 1")
+@query("src10_win04_split_bam_files", AR + "SELECT flags & 512 <> 0 AS qc_fail, count(*) AS n, sum(pos)::BIGINT AS positions FROM alignments GROUP BY 1", python=True)
 def split_bam_files(spark: SparkSession, d: str) -> DataFrame:
     # tasks begin in the middle of files and find their first record there
     rows = spark.read.format("bam").option("columns", "flags,pos").option("split_bytes", 40_000).load(_bam(spark, d))
@@ -78,7 +79,7 @@ def quickcheck(spark: SparkSession, d: str) -> DataFrame:
     return bam.quickcheck(files).agg(F.count("*").alias("files"), F.bool_and("ok").alias("all_ok"))
 
 
-@query("src01_src03_snk16_any_alignments", AR + "SELECT 'bam' AS kind, count(*) AS n, sum(pos)::BIGINT AS positions FROM alignments UNION ALL SELECT 'sam', count(*), sum(pos)::BIGINT FROM alignments")
+@query("src01_src03_snk16_any_alignments", AR + "SELECT 'bam' AS kind, count(*) AS n, sum(pos)::BIGINT AS positions FROM alignments UNION ALL SELECT 'sam', count(*), sum(pos)::BIGINT FROM alignments", python=True)
 def any_alignments(spark: SparkSession, d: str) -> DataFrame:
     # BAM in, SAM out, both read by one entry
     source, target = _bam(spark, d), folder(spark, "rewritten")
@@ -120,7 +121,7 @@ def vcf_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("src02_src04_src19_src20_snk05_prj19_prj22_bcf_files", sql("variants") + r"""SELECT chrom, pos, CASE WHEN id = '.' THEN '' ELSE replace(id, ';', '|') END AS ids, ref, CASE WHEN alt = '.' THEN '' ELSE replace(alt, ',', '|') END AS alts,
- nullif(qual, '.')::FLOAT::DOUBLE AS qual, CASE WHEN filter = '.' THEN '' ELSE replace(filter, ';', '|') END AS filters, regexp_extract(info, '^DP=([^;]*)', 1) AS dp, nullif(regexp_extract(info, ';SVLEN=([^;]*)', 1), '') AS svlen, gt FROM variants""")
+ nullif(qual, '.')::FLOAT::DOUBLE AS qual, CASE WHEN filter = '.' THEN '' ELSE replace(filter, ';', '|') END AS filters, regexp_extract(info, '^DP=([^;]*)', 1) AS dp, nullif(regexp_extract(info, ';SVLEN=([^;]*)', 1), '') AS svlen, gt FROM variants""", python=True)
 def bcf_files(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import fields
 
@@ -138,7 +139,7 @@ def bcf_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("snk17_variant_rewrite", sql("variants") + "SELECT chrom, count(*) AS n, sum(pos)::BIGINT AS positions FROM variants GROUP BY 1")
+@query("snk17_variant_rewrite", sql("variants") + "SELECT chrom, count(*) AS n, sum(pos)::BIGINT AS positions FROM variants GROUP BY 1", python=True)
 def variant_rewrite(spark: SparkSession, d: str) -> DataFrame:
     source, target = _vcf(spark, d), folder(spark, "vcfgz")
     sinks.write_bgzf(text.lines(spark, source).where(~text.is_header(F.col("value"), "vcf")).select("value").repartition(2), target, VCF_HEADER)
@@ -215,7 +216,7 @@ def cram_index_rows(spark: SparkSession, d: str) -> DataFrame:
     return text.read_crai(spark, path).select("ref_id", "start", "span", "offset")
 
 
-@query("src33_src34_src35_snk15_index_files", "SELECT * FROM (VALUES (0, 4681, 100::BIGINT, 900::BIGINT), (0, 585, 50, 100), (1, 4682, 1000, 2000)) t(ref_id, bin, chunk_begin, chunk_end)")
+@query("src33_src34_src35_snk15_index_files", "SELECT * FROM (VALUES (0, 4681, 100::BIGINT, 900::BIGINT), (0, 585, 50, 100), (1, 4682, 1000, 2000)) t(ref_id, bin, chunk_begin, chunk_end)", python=True)
 def index_files(spark: SparkSession, d: str) -> DataFrame:
     from pyarrow import fs
 
@@ -257,31 +258,32 @@ def indexed_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("ref_name = 'view' and start <= 700 and end >= 600").select(F.col("ref_name").alias("chrom"), F.col("start").alias("start_"), F.col("end").alias("end_"))
 
 
-@query("flt14_flt15_agg21_bcf_sieve", "SELECT count(*) AS records, 0::BIGINT AS wrong FROM orders WHERE o_orderkey < 400")
+SIEVE_BLOCK = 512
+
+
+@query("flt14_flt15_agg21_bcf_sieve", f"""WITH b AS (SELECT o_orderkey // {SIEVE_BLOCK} AS block, count(*) AS n FROM orders GROUP BY 1)
+SELECT count(*) AS blocks, sum(n)::BIGINT AS records, 0::BIGINT AS wrong, max(n) AS most, avg(n) AS mean FROM b""", python=True)
 def bcf_sieve(spark: SparkSession, d: str) -> DataFrame:
-    """Records found in bytes without their offsets, by task, against the offsets they were written at."""
-    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 400").select(F.col("o_orderkey").alias("k"))
+    """Records found in blocks of bytes without their offsets, against the offsets they were written at; statistics of the survivors a block."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / SIEVE_BLOCK).alias("block"))
     lines = VCF_HEADER
 
-    def run(batches):
+    def run(t):
         import pyarrow as pa
 
         header, strings, contigs = bcf.Header(lines), bcf.string_map(lines), bcf.contig_map(lines)
-        found = wrong = 0
-        for b in batches:
-            data, starts = b"", []
-            for k in b.column(0).to_pylist():
-                starts.append(len(data))
-                data += bcf.encode({"chrom": f"chr{1 + k % 22}", "pos": k + 1, "ref": "AC", "alts": ["G"], "qual": 1.5, "filters": ["q10"], "info": {"DP": str(k)}, "gts": ["0|1"]}, strings, contigs, {"DP": "Integer"})
-            got, _ = bcf.record_starts(data, 1, header)
-            found += len(got)
-            wrong += len(set(got) ^ set(starts))
-        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64()), pa.array([wrong], pa.int64())], names=["found", "wrong"])
+        data, starts = bytearray(), []
+        for k in sorted(t.column("k").to_pylist()):
+            starts.append(len(data))
+            data += bcf.encode({"chrom": f"chr{1 + k % 22}", "pos": k + 1, "ref": "AC", "alts": ["G"], "qual": 1.5, "filters": ["q10"], "info": {"DP": str(k)}, "gts": ["0|1"]}, strings, contigs, {"DP": "Integer"})
+        got, _ = bcf.record_starts(bytes(data), 1, header)
+        return pa.table({"found": pa.array([len(got)], pa.int64()), "wrong": pa.array([len(set(got) ^ set(starts))], pa.int64())})
 
-    return rows.mapInArrow(run, "found bigint, wrong bigint").agg(F.sum("found").alias("records"), F.sum("wrong").alias("wrong"))
+    per_block = rows.groupBy("block").applyInArrow(run, "found bigint, wrong bigint")
+    return per_block.agg(F.count("*").alias("blocks"), F.sum("found").alias("records"), F.sum("wrong").alias("wrong"), F.max("found").alias("most"), F.avg("found").alias("mean"))
 
 
-@query("cdc01_cdc06_block_codecs", "SELECT method, count(*) AS n, true AS same FROM documents, (VALUES ('rans0'), ('rans1'), ('gzip'), ('bzip2'), ('lzma')) v(method) WHERE doc_id < 100 GROUP BY 1")
+@query("cdc01_cdc06_block_codecs", "SELECT method, count(*) AS n, true AS same FROM documents, (VALUES ('rans0'), ('rans1'), ('gzip'), ('bzip2'), ('lzma')) v(method) GROUP BY 1", python=True)
 def block_codecs(spark: SparkSession, d: str) -> DataFrame:
     """Every text through every codec and back, compared whole; a null text is nothing to code and stays null."""
     methods = ["rans0", "rans1", "gzip", "bzip2", "lzma"]
@@ -316,13 +318,11 @@ def container_query(spark: SparkSession, d: str) -> DataFrame:
     return x.join(chosen, "container", "left_semi").where("ref_id = 2 and pos between 1000 and 1200").select("name", "pos")
 
 
-@query("srt02_fn25_chunk_order", "SELECT l_orderkey * 64 AS chunk, 18 + l_partkey % 500 + 8 AS framed, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_tax, l_discount) AS k FROM lineitem WHERE l_suppkey < 3")
+@query("srt02_fn25_chunk_order", "SELECT l_suppkey AS bin, l_orderkey * 64 AS chunk, 18 + l_partkey % 500 + 8 AS framed, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_tax, l_discount) AS k FROM lineitem")
 def chunk_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_discount")
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey < 3")
-    return rows.select((F.col("l_orderkey") * 64).alias("chunk"), (F.lit(bgzf.framed_size(0)) + F.col("l_partkey") % 500).alias("framed"), F.row_number().over(w).cast("bigint").alias("k"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("framed", F.lit(bgzf.framed_size(0)) + F.col("l_partkey") % 500)
+    ranked = indexing.ranked(rows, ["l_suppkey"], ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_discount"], "k")
+    return ranked.select(F.col("l_suppkey").alias("bin"), (F.col("l_orderkey") * 64).alias("chunk"), "framed", "k")
 
 
 @query("fn09_feature_span", AR + ", x AS (SELECT name, length(sequence) AS n, coalesce(list_sum(regexp_extract_all(cigar, '(\\d+)[DN]', 1)::BIGINT[]), 0) AS added, coalesce(list_sum(regexp_extract_all(cigar, '(\\d+)[IS]', 1)::BIGINT[]), 0) AS taken FROM alignments) SELECT name, (n + added - taken)::BIGINT AS span FROM x")

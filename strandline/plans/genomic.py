@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from . import alignments, features, formats, sequences, variants  # noqa: F401
-from .registry import ORACLES, QUERIES
+from .registry import ORACLES, PYTHON, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "PYTHON", "QUERIES"]

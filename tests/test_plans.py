@@ -8,7 +8,7 @@ import re
 import pytest
 
 from strandline.operators import alignment as ops
-from strandline.plans.genomic import QUERIES
+from strandline.plans.genomic import PYTHON, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables aren't here")
@@ -42,9 +42,7 @@ def test_bins_prune_partitions(spark, tmp_path):
     assert found.count() == QUERIES["flt04_qry01_qry02_region_query"](spark, DATA).count()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "files" not in n and "remote" not in n and "rewrite" not in n))
-def test_no_python_in_queries(spark, name):
-    if any(x in name for x in ("any_alignments", "quickcheck", "index_rows", "block_spans", "fasta_index", "fastq_index", "indexed_rows")):
-        pytest.skip("goes through files")
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_python_only_where_marked(spark, name):
     p = plan(QUERIES[name](spark, DATA))
-    assert not re.search("EvalPython|InArrow|InPandas|FlatMap|PythonUDF", p)
+    assert bool(re.search("EvalPython|InArrow|InPandas|FlatMap|PythonUDF|BatchScan", p)) == (name in PYTHON)
