@@ -84,14 +84,14 @@ ORACLES["op2_line_dedup"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
 ), totals AS (
-  SELECT source, count(*) AS pages FROM d GROUP BY source HAVING count(*) >= 20
+  SELECT source, count(*) AS pages FROM d GROUP BY source
 ), seen AS (
   SELECT DISTINCT r, source, line
   FROM (SELECT r, source, unnest(lines) AS line FROM d)
   WHERE length(translate(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12), '')) > 0
 ), boiler AS (
   SELECT s.source, s.line FROM seen s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source
-  GROUP BY s.source, s.line, t.pages HAVING count(*) >= 5 AND count(*) * 100 > t.pages * 5
+  GROUP BY s.source, s.line, t.pages HAVING count(*) >= 2 AND count(*) * 100 > t.pages * 5
 ), marked AS (
   SELECT x.r, x.i, x.line, b.line IS NOT NULL AS boiled,
     length(translate(x.line, ' ' || chr(9) || chr(13) || chr(11) || chr(12), '')) > 0 AS counts
