@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling (operator 8).
 
-Every source gets a target of words. A document is taken a whole number of
-times if its source's target exceeds the source, and once more if it is among
-the first of its source by random odds over inclusion odds, up to the point
-where the words taken come nearest to the target.
+Every source gets a target of words. Within a source the copies that a
+document is due grow with its length, by ``weight``, up to ``most`` of them, at
+the one rate that makes the words due the target. Its whole copies are
+certain. What is left is its inclusion probability: documents are ranked by
+random odds over inclusion odds, and the first of them are taken once more, up
+to the point where the words taken come nearest to the target.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix in percent of all words, and the most times that a source is taken.
 SHARE_PERCENT = 150
 MOST = 2
-#: Ranges that the order statistic is counted in before rows are ranked.
+#: Ranges that the order statistic, which lies between 0 and 1, is counted in before rows are ranked.
 RANGES = 4096
 
 
@@ -37,6 +39,11 @@ def draw(key: Column, text: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def weight(size: Column) -> Column:
+    """Copies due grow with this: one and the whole square root of the size. Whole numbers, so sums are exact in any order."""
+    return (F.floor(F.sqrt(size.cast("double"))) + 1).cast("bigint")
+
+
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
     """Per source its size and its target of words.
 
@@ -60,21 +67,50 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHA
     return t.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
+def rates(sized: DataFrame, t: DataFrame, most: int = MOST) -> DataFrame:
+    """``t`` with ``rate``: copies due for a unit of weight, such that min(``most``, rate x weight) x size sums to the target.
+
+    Long documents reach ``most`` first. Words and weights are summed by size,
+    so a source has as many rows here as its documents have different lengths;
+    filling up from the longest, the first lengths that would go beyond
+    ``most`` are held at it and the rest share what remains.
+    """
+    per = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")).withColumn("w", weight(F.col("size")))
+    s = small_side(t).alias("t")
+    per = per.alias("p").join(s, F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "t.target")
+    longer = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    words, weighted = F.col("size") * F.col("n"), F.col("size") * F.col("n") * F.col("w")
+    per = per.withColumn("held", F.coalesce(F.sum(words).over(longer), F.lit(0)) * most).withColumn("sum_w", F.sum(weighted).over(rest))
+    per = per.withColumn("rate", (F.col("target") - F.col("held")) / F.col("sum_w"))
+    # the rate falls to its answer at the first length that need not be held: before it every one would go beyond ``most``
+    fits = per.where(F.col("rate") * F.col("w") <= most)
+    found = fits.groupBy("source").agg(F.max_by("rate", "size").alias("rate"))
+    out = t.alias("t").join(found.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")), "left")
+    # where every length is held, whatever rate is high enough says so
+    full = F.when(F.col("t.target") > 0, F.lit(float(most))).otherwise(0.0)
+    return out.select("t.*", F.coalesce("f.rate", full).alias("rate"))
+
+
+def due(rate: Column, w: Column, most: int = MOST) -> Column:
+    """Copies that a document is due."""
+    return F.least(F.lit(float(most)), rate * w)
+
+
 def plan(sized: DataFrame, staging: Staging, weights: Sequence[int] = WEIGHTS, share: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
-    """Per source: size, target, whole copies, and the last order statistic that is taken once more (null: none).
+    """Per source: size, target, rate, and the last order statistic that is taken once more (null: none) with its range.
 
     ``sized`` has ``source``, ``size`` and ``u``. Words are summed by ranges of
     the order statistic, so only the range where a source's target is reached
     is ranked row by row.
     """
-    t = targets(sized, weights, share, most)
-    t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    t = t.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    t = t.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
-    t = staging.save(t)
-    keyed = with_order(sized, t).where("q is not null and size > 0")
-    # monotone in q and spread evenly where q is the odds of u over those of p
-    keyed = keyed.withColumn("range", F.floor(F.col("u") * RANGES))
+    t = staging.save(targets(sized, weights, share, most))
+    t = staging.save(rates(sized, t, most))
+    rows = with_order(sized, t, most).where("size > 0")
+    certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    out = t.alias("t").join(certain.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+    t = staging.save(out.select("t.*", (F.col("target") - F.coalesce("certain", F.lit(0))).alias("rest")))
+    keyed = with_order(sized, t, most).where("q is not null and size > 0").withColumn("range", _range())
     ranges = staging.save(keyed.groupBy("source", "rest", "range").agg(F.sum("size").alias("words")))
     so_far = Window.partitionBy("source").orderBy("range")
     ranges = ranges.withColumn("after", F.sum("words").over(so_far)).where("after > rest")
@@ -95,17 +131,26 @@ def plan(sized: DataFrame, staging: Staging, weights: Sequence[int] = WEIGHTS, s
     return staging.save(out.select("t.*", "l.q_in", "l.range"))
 
 
-def with_order(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows with their source's figures and the order statistic ``q``: random odds over inclusion odds; null where nothing is left to take."""
+def _range() -> Column:
+    return F.floor(F.col("q") * RANGES)
+
+
+def with_order(sized: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows with their source's figures, their certain copies ``whole`` and the order statistic ``q``; null where nothing is left to take.
+
+    ``q`` is x / (1 + x) of x, the random odds over the inclusion odds: the same order, between 0 and 1.
+    """
     s = small_side(sources).alias("s")
     joined = sized.alias("d").join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *[f"s.{c}" for c in sources.columns if c != "source"])
+    joined = joined.withColumn("due", due(F.col("rate"), weight(F.col("size")), most))
+    joined = joined.withColumn("whole", F.floor("due")).withColumn("p", F.col("due") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    return joined.withColumn("q", F.when(F.col("p") > 0, odds))
+    return joined.withColumn("x", F.when(F.col("p") > 0, odds)).withColumn("q", F.col("x") / (1 + F.col("x")))
 
 
 def copies() -> Column:
     """How often a row of :func:`with_order` over a finished plan is taken."""
-    here = F.floor(F.col("u") * RANGES)
+    here = _range()
     # ranges before the border are in, the border's rows up to q_in; without a border (nothing over the rest) all are in
     more = F.when(F.col("q").isNull(), 0).when(F.col("range").isNull() | (here < F.col("range")), 1)
     more = more.when((here == F.col("range")) & (F.col("q") <= F.col("q_in")), 1).otherwise(0)
@@ -120,8 +165,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """One row for each row of ``docs``: key, size, source_size, target, taken (words, repeats counted).
 
     A null text has size 0; null sources are one source, the last; rows
-    without a key are drawn by their text. Rows with equal draws are taken
-    together. An empty table gives an empty one; other columns are ignored.
+    without a key are drawn by their text. Rows of equal size with equal draws
+    are taken together. Very long texts are sized whole. An empty table gives
+    an empty one; other columns are ignored.
     """
     staging = Staging(docs.sparkSession, "mixing")
     sized = staging.save(_sized(docs, key, text, source, seed))
@@ -132,12 +178,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns and no others.
 
-    Rows without words are taken as often as their source's whole copies and draw say, like others.
+    Rows without words weigh like the shortest ones and are taken as their draw says. Columns may have any names.
     """
     staging = Staging(docs.sparkSession, "mixing")
     sized = staging.save(_sized(docs, key, text, source, seed))
     sources = plan(sized, staging)
-    mine = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), draw(F.col(key), F.col(text), seed).alias("u"))
+    mine = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), draw(F.col(key), F.col(text), seed).alias("u"))
     rows = with_order(mine, sources)
     taken = rows.select("row", copies().cast("int").alias("n")).where("n > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

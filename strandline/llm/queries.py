@@ -133,25 +133,35 @@ WITH d AS (
   SELECT *, max((words - capped) / (all_w - used)) OVER () AS level FROM swept
 ), t AS (
   SELECT source, source_size, least(cap::DOUBLE, level * w) AS target FROM leveled
-), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
-), pr AS (
-  SELECT *, target - whole * source_size AS rest FROM p
+), sizes AS (
+  SELECT d.source, d.size, count(*)::BIGINT AS n, (floor(sqrt(d.size::DOUBLE)) + 1)::BIGINT AS w, any_value(t.target) AS target
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE d.size > 0 GROUP BY d.source, d.size
+), filled AS (
+  SELECT *, (target - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2)
+    / (sum(size * n * w) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rate
+  FROM sizes
+), r AS (
+  SELECT t.*, coalesce(f.rate, CASE WHEN t.target > 0 THEN 2.0 ELSE 0.0 END)::DOUBLE AS rate FROM t LEFT JOIN
+    (SELECT source, max_by(rate, size) AS rate FROM filled WHERE rate * w <= 2 GROUP BY source) f ON t.source IS NOT DISTINCT FROM f.source
+), given AS (
+  SELECT d.doc_id, d.size, d.u, r.*, least(2.0::DOUBLE, r.rate * (floor(sqrt(d.size::DOUBLE)) + 1)) AS due
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 ), odds AS (
-  SELECT *, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0.0 END::DOUBLE AS p FROM pr
+  SELECT *, floor(due) AS whole, due - floor(due) AS p FROM given
 ), keyed AS (
-  SELECT d.doc_id, d.size, d.u, o.*, CASE WHEN o.p > 0 THEN (d.u / (1 - d.u)) / (o.p / (1 - o.p)) END AS q
-  FROM d JOIN odds o ON d.source IS NOT DISTINCT FROM o.source
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS x,
+    target - coalesce(sum((whole * size)::BIGINT) OVER (PARTITION BY source), 0)::DOUBLE AS rest FROM odds
 ), ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q)::DOUBLE AS after,
-    sum(size) OVER (PARTITION BY source, q)::DOUBLE AS own
-  FROM keyed WHERE q IS NOT NULL AND size > 0
+  SELECT *, x / (1 + x) AS q FROM keyed
+), summed AS (
+  SELECT source, q, rest, sum(size) OVER (PARTITION BY source ORDER BY q)::DOUBLE AS after, sum(size) OVER (PARTITION BY source, q)::DOUBLE AS own
+  FROM ranked WHERE q IS NOT NULL AND size > 0
 ), border AS (
-  SELECT source, max(q) FILTER (after - rest < rest - (after - own)) AS q_in FROM ranked GROUP BY source
+  SELECT source, max(q) FILTER (after - rest < rest - (after - own)) AS q_in FROM summed GROUP BY source
 )
 SELECT k.doc_id, k.size, k.source_size, k.target,
   CAST((k.whole + CASE WHEN k.q <= b.q_in THEN 1 ELSE 0 END) * k.size AS BIGINT) AS taken
-FROM keyed k LEFT JOIN border b ON k.source IS NOT DISTINCT FROM b.source
+FROM ranked k LEFT JOIN border b ON k.source IS NOT DISTINCT FROM b.source
 """
 
 

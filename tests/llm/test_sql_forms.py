@@ -92,3 +92,13 @@ def test_targets_and_copies(docs):
         if r["size"]:
             assert counts.get(r["doc_id"], 0) * r["size"] == r["taken"]
     assert mix(df.limit(0)).count() == 0 and mixed_rows(df.limit(0)).count() == 0
+
+
+def test_inclusion_differs_by_document(docs):
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.choice([4, 100, 400])), "en", "b" if i % 4 else "a") for i in range(1200)]
+    got = mix(docs(rows)).where("target < 2 * source_size").collect()
+    mean = {n: sum(x["taken"] / n for x in part) / len(part) for n in (4, 100, 400) for part in [[x for x in got if x["size"] == n]]}
+    # copies due grow with one and the square root of the size: 3, 11 and 21 parts
+    assert 0.15 < mean[4] / mean[400] * 7 < 2.0 and 0.75 < mean[100] / mean[400] * 21 / 11 < 1.25
+    assert mean[4] < mean[100] < mean[400]
