@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -134,9 +136,12 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """(pattern spans, all spans). An entropy span that lies within a pattern span is that secret again and is left out."""
     text = text or ""
     base = base_spans(text)
+    # the farthest end of the pattern spans that begin at or before a place
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     more = []
     for a, b in entropy_spans(text):
-        if not any(x <= a and b <= y for x, _, y in base):
+        at = bisect_right(starts, a)
+        if not at or reach[at - 1] < b:
             more.append((a, 3, b))
     return base, sorted(base + more) if more else base
 
@@ -145,7 +150,8 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
     """``keep`` plus counts by kind, ``base_sha256`` and ``spans`` for every whole text.
 
     Offsets are code points, ends exclusive. A null or empty text has no
-    spans; repeated rows give repeated results; an empty table gives an empty
+    spans; a very long one is scanned whole, in time that grows with its
+    length; repeated rows give repeated results; an empty table gives an empty
     one; other columns are ignored.
     """
 
