@@ -98,6 +98,7 @@ class TemplateAutomaton:
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
             self.ends[self.link[s]] |= self.ends[s]
         self.ends[0] = set()
+        self.holders = [sorted({n for n, _ in e}) for e in self.ends]  # templates that a state's strings stand in
 
     def _add(self, length: int, link: int, following: dict[int, int]) -> int:
         self.next.append(following)
@@ -145,29 +146,46 @@ class TemplateAutomaton:
             yield state, length
 
     def matches(self, tokens: Sequence[bytes], least: int = MATCH_WORDS) -> list[Match]:
-        """Matches that can't be made longer, cut so that none overlaps an earlier one, of ``least`` words or more."""
-        out: list[Match] = []
-        done = state_before = before = 0
+        """Matches of ``least`` words or more, by place in the text.
 
-        def close(end: int) -> None:
-            nonlocal done
-            start = max(end - before, done)
+        Every template has statistics of its own: where the longest match of
+        all isn't in it, the longest one that is. Of each template's matches
+        those that can't be made longer count, cut so that none overlaps an
+        earlier one of the same template.
+        """
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        done = [0] * len(self.lengths)
+        open_: dict[int, tuple[int, int]] = {}  # template: (state, length) of its match that ends here
+
+        def close(n: int, end: int) -> None:
+            state, length = open_[n]
+            start = max(end - length, done[n])
             if end - start >= least:
-                out.append(Match(start, end, sorted((n, e - (end - start)) for n, e in self._places(state_before, before))))
-                done = end
+                found.setdefault((start, end), []).extend((n, e - (end - start)) for t, e in self.ends[state] if t == n and e >= length)
+                done[n] = end
 
         i = -1
         for i, (state, length) in enumerate(self.statistics(tokens)):
-            if before >= least and length != before + 1:
-                close(i)
-            state_before, before = state, length
-        if before >= least:
-            close(i + 1)
+            now = self._by_template(state, length, least) if length >= least else {}
+            if open_:
+                for n, (_, before) in open_.items():
+                    if n not in now or now[n][1] != before + 1:
+                        close(n, i)
+            open_ = now
+        for n in open_:
+            close(n, i + 1)
+        return [Match(start, end, sorted(places)) for (start, end), places in sorted(found.items())]
+
+    def _by_template(self, state: int, length: int, least: int) -> dict[int, tuple[int, int]]:
+        """template: (state, length) of the longest string that ends here and stands in it, of ``least`` words or more."""
+        out: dict[int, tuple[int, int]] = {}
+        while state > 0 and length >= least:
+            for n in self.holders[state]:
+                out.setdefault(n, (state, length))
+            state = self.link[state]
+            length = self.length[state]
         return out
 
-    def _places(self, state: int, length: int) -> set[tuple[int, int]]:
-        return {(n, e) for n, e in self.ends[state] if e >= length}
-
     def chain(self, found: Sequence[Match], template: int) -> list[tuple[int, int, int]]:
         """(text start, template start, words) of the matches that, in the same order in both, cover most of a template.
 
@@ -258,9 +276,9 @@ def scan_licences(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc
     """``keep`` plus word and phrase counts, labels, covered spans and the best coverage for every whole text.
 
     ``covered`` lists label:text word-template word-words for each chained
-    match. A null or empty text has no words, no labels and score 0; repeated
-    rows give repeated results; an empty table gives an empty one; other
-    columns are ignored.
+    match. A null or empty text has no words, no labels and score 0; a very
+    long one is read whole, word by word; repeated rows give repeated results;
+    an empty table gives an empty one; other columns are ignored.
     """
 
     def run(texts):

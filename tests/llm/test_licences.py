@@ -26,6 +26,33 @@ def test_automaton_against_brute_force():
                 assert {(n, e) for n, e in a.ends[state] if e >= length} == places
 
 
+def test_a_match_of_one_template_hides_no_other():
+    p, q = [list(x.encode()) for x in ("pqabcdefghij", "abcdefgh")]
+    tokens = [bytes([c]) for c in b"zpqabcdefghz"]
+    a = TemplateAutomaton([[bytes([c]) for c in p], [bytes([c]) for c in q]])
+    found = a.matches(tokens)
+    assert a.chain(found, 0) == [(1, 0, 10)] and a.chain(found, 1) == [(3, 0, 8)]
+
+
+def test_matches_of_each_template_against_brute_force():
+    r = random.Random(8)
+    for _ in range(200):
+        templates = [[bytes([97 + r.randrange(3)]) for _ in range(r.randrange(1, 14))] for _ in range(3)]
+        tokens = [bytes([97 + r.randrange(4)]) for _ in range(30)]
+        want = set()
+        for n, t in enumerate(templates):
+            ends = [substrings_ending([t], tokens, i) for i in range(len(tokens))]
+            done = 0
+            for i, k in enumerate(ends):
+                if k >= 2 and (i + 1 == len(ends) or ends[i + 1] != k + 1) and i + 1 - max(done, i + 1 - k) >= 2:
+                    start = max(done, i + 1 - k)
+                    size, done = i + 1 - start, i + 1
+                    # where the whole match stands, cut by what an earlier one covers
+                    want |= {(start, i + 1, n, j + k - size) for j in range(len(t) - k + 1) if t[j : j + k] == tokens[i + 1 - k : i + 1]}
+        got = {(m.start, m.end, n, at) for m in TemplateAutomaton(templates).matches(tokens, 2) for n, at in m.places}
+        assert got == want
+
+
 def test_chains_are_the_best_cover():
     r = random.Random(4)
     for _ in range(150):
