@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from strandline.llm import quality
 from strandline.llm.common import held_out
 from strandline.llm.quality import OWN, LineField, aggregate, fit, fit_curve, line_features, score_quality
 
@@ -42,6 +43,67 @@ def test_marginals_against_all_labellings():
             at += n
 
 
+def test_long_chains_pass_in_pieces(monkeypatch):
+    r = np.random.default_rng(3)
+    per_text = np.array([1, 40, 7, 23, 8])
+    e, t = r.normal(size=per_text.sum()) * 3, r.normal(size=(2, 2)) * 2
+    whole = quality._messages(e, per_text, t)
+    for piece in (1, 3, 8, 39):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert all(np.allclose(a, b) for a, b in zip(whole, quality._messages(e, per_text, t), strict=True))
+
+
+def test_gradient_against_differences_of_the_enumerated_likelihood():
+    r = np.random.default_rng(4)
+    per_text = np.array([3, 1, 4])
+    z, lines, theta = r.normal(size=(8, 3)), r.integers(0, 2, 8).astype(float), r.normal(size=8)
+    weight = np.repeat(r.uniform(0.5, 2, 3), per_text)  # equal along a chain, so that the likelihood is a sum over chains
+    pair = np.ones(8, bool)
+    pair[np.cumsum(per_text) - 1] = False
+
+    def score(theta, y, at, n):
+        e, t = z @ theta[:3] + theta[3], theta[-4:].reshape(2, 2)
+        return sum(e[at + k] * y[k] for k in range(n)) + sum(t[a, b] for a, b in zip(y, y[1:]))
+
+    def likelihood(theta):
+        total, at = 0.0, 0
+        for n in per_text.tolist():
+            every = [score(theta, y, at, n) for y in itertools.product((0, 1), repeat=n)]
+            total += weight[at] * (score(theta, lines[at : at + n].astype(int).tolist(), at, n) - np.log(np.exp(every).sum()))
+            at += n
+        return total
+
+    got = quality.gradient(theta, z, per_text, lines, weight, np.flatnonzero(pair))
+    for i in range(8):
+        step = np.zeros(8)
+        step[i] = 1e-5
+        assert abs((likelihood(theta + step) - likelihood(theta - step)) / 2e-5 - got[i]) < 1e-5
+
+
+def test_bad_lines_of_a_mixed_document_are_marked():
+    texts, labels = rows(600)
+    field = quality.fit_rows([(*quality.own_features([t])[:2], q) for (_, t, *_), (_, q, _) in zip(texts, labels, strict=True)])
+    good = [x for _, t, *_ in texts[1::3] for x in t.split("\n")][:40]
+    bad = [x for _, t, *_ in texts[0::3] for x in t.split("\n")][:6]
+    body = [*good[:20], *bad[:3], *good[20:30], *bad[3:], *good[30:]]
+    x, size, per_text = line_features(["\n".join(body)])
+    p = field.marginals(field.emissions(x), per_text)
+    is_bad = np.array([line in bad for line in body])
+    assert (p[is_bad] < 0.5).all() and (p[~is_bad] > 0.5).all()
+    whole, part = field.scores(["\n".join(good), "\n".join(body)])
+    assert field.scores(["\n".join(bad)])[0] < part < whole
+
+
+def test_every_line_of_a_learning_text_counts(spark, docs):
+    texts, labels = rows(200)
+    long = [(i, t if i else "\n".join([t] * 400), *x) for i, t, *x in texts]
+    to = "doc_id bigint, quality int, toxic int"
+    a, b = fit(docs(texts), spark.createDataFrame(labels, to)), fit(docs(long), spark.createDataFrame(labels, to))
+    assert not np.array_equal(a.mean, b.mean)
+    # beyond the bound on lines fewer documents are learnt from, each whole
+    assert np.isfinite(fit(docs(long), spark.createDataFrame(labels, to), lines=300).weights).all()
+
+
 def test_features_by_line_and_neighbours():
     x, size, per_text = line_features(["Ab1 cd.\n\nXY|!", "", "ab\nab"])
     assert per_text.tolist() == [3, 1, 2] and size.tolist() == [7, 0, 4, 0, 2, 2] and x.shape == (6, 3 * OWN)
