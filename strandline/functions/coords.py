@@ -90,7 +90,8 @@ def max_position(min_shift: int = MIN_SHIFT, depth: int = DEPTH) -> int:
     return (1 << (min_shift + 3 * depth)) - 1
 
 
-def _level_offset(level: int) -> int:
+def level_offset(level: int) -> int:
+    """The first bin of a level."""
     return ((1 << 3 * level) - 1) // 7
 
 
@@ -100,7 +101,7 @@ def bin_of(start: Column, end: Column, min_shift: int = MIN_SHIFT, depth: int =
     for level in range(depth, 0, -1):
         shift = min_shift + 3 * (depth - level)
         first, last = F.shiftright(start - 1, shift), F.shiftright(end - 1, shift)
-        value = (first + _level_offset(level)).cast("int")
+        value = (first + level_offset(level)).cast("int")
         found = F.when(first == last, value) if found is None else found.when(first == last, value)
     return F.lit(0) if found is None else F.when(start.isNull() | end.isNull(), None).otherwise(found.otherwise(0))
 
@@ -109,7 +110,7 @@ def bins_of(start: Column, end: Column, min_shift: int = MIN_SHIFT, depth: int =
     """All bins that may hold intervals meeting a closed interval, as an array."""
     levels = []
     for level in range(depth + 1):
-        shift, offset = min_shift + 3 * (depth - level), _level_offset(level)
+        shift, offset = min_shift + 3 * (depth - level), level_offset(level)
         levels.append(F.sequence((F.shiftright(start - 1, shift) + offset).cast("int"), (F.shiftright(end - 1, shift) + offset).cast("int")))
     return F.concat(*levels)
 
@@ -124,7 +125,7 @@ def region_bins(region: Region, min_shift: int = MIN_SHIFT, depth: int = DEPTH)
         return []
     out = []
     for level in range(depth + 1):
-        shift, offset = min_shift + 3 * (depth - level), _level_offset(level)
+        shift, offset = min_shift + 3 * (depth - level), level_offset(level)
         out += range((start >> shift) + offset, (end >> shift) + offset + 1)
     return out
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coords
 from ..functions.coords import Region
-from ..functions.records import DEPTH_EXCLUDED, NOT_PRIMARY, FLAGS, alignment_end, has, percentage, read_reverse_complement
+from ..functions.records import DEPTH_EXCLUDED, FLAGS, NOT_PRIMARY, alignment_end, has, percentage, read_reverse_complement, sequence_digest
 
 LEAST_HIGH_QUALITY = 5
 
@@ -241,6 +241,19 @@ def split_by_group(alignments: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.withColumn("rg", F.when(F.col("known"), F.col("rg")).otherwise(F.raise_error(F.lit("unknown read group")))).drop("known")
 
 
+def validated_slices(slices: DataFrame, references: DataFrame) -> DataFrame:
+    """``slices`` (name, start_, span, md5, ...) with ``valid``: whether their reference's bases there have that digest.
+
+    Null where the reference isn't there or ends before the slice does. Bases
+    are cut out of a reference once for each span that slices ask for.
+    """
+    spans = slices.select("name", "start_", "span").distinct().join(references.select("name", "sequence"), "name", "left")
+    bases = F.expr("substring(sequence, cast(start_ as int), cast(span as int))")
+    whole = F.length("sequence") >= F.col("start_") + F.col("span") - 1
+    spans = spans.select("name", "start_", "span", F.when(whole, sequence_digest(bases)).alias("found"))
+    return slices.join(spans, ["name", "start_", "span"], "left").withColumn("valid", F.col("md5") == F.col("found")).drop("found")
+
+
 def concatenated(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -94,8 +94,8 @@ def fastq_text(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select(fastq_record().alias("record"))
 
 
-@query("prj12_base_modifications", R + """, c AS (SELECT name, list_filter(list_transform(generate_series(1, length(sequence)), lambda i: CASE WHEN substr(sequence, i::INTEGER, 1) = 'C' THEN i - 1 END), lambda x: x IS NOT NULL) AS f,
- list_reverse(list_filter(list_transform(generate_series(1, length(sequence)), lambda i: CASE WHEN substr(sequence, i::INTEGER, 1) = 'G' THEN i - 1 END), lambda x: x IS NOT NULL)) AS r FROM reads)
+@query("prj12_base_modifications", R + """, l AS (SELECT name, string_split(sequence, '') AS l FROM reads WHERE sequence <> ''),
+c AS (SELECT name, list_filter(generate_series(0, len(l) - 1), lambda i: l[i + 1] = 'C') AS f, list_reverse(list_filter(generate_series(0, len(l) - 1), lambda i: l[i + 1] = 'G')) AS r FROM l)
 SELECT name, concat_ws(',', f[2], f[6], f[7]) AS forward_, concat_ws(',', r[2], r[6], r[7]) AS reverse_ FROM c WHERE len(f) >= 7 AND len(r) >= 7""")
 def base_modifications(spark: SparkSession, d: str) -> DataFrame:
     # C+m,1,3,0 on reads as they are, and on reads that are stored reversed

@@ -75,8 +75,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "name": "concat('d', cast(doc_id as string))",
             "description": "source",
-            "sequence": "translate(upper(regexp_replace(substr(text, 1, 120), '[^A-Za-z]', '')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC')",
-            "quality": "substr(repeat('IIHGF#@5', 15), 1, cast(length(regexp_replace(substr(text, 1, 120), '[^A-Za-z]', '')) as int))",
+            "sequence": "translate(upper(regexp_replace(text, '[^A-Za-z]', '')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC')",
+            "quality": "substr(repeat('IIHGF#@5', cast(floor(length(text) / 8) as int) + 1), 1, cast(length(regexp_replace(text, '[^A-Za-z]', '')) as int))",
         },
     ),
 }

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.coords import Region
 from ..functions.records import BASE_CODES, CIGAR_CODES
-from . import bgzf, files, sinks
+from . import bgzf, files, indexes, sinks
 
 MAGIC = b"BAM\x01"
 CORE = struct.Struct("<iiBBHHHiiii")
@@ -19,7 +21,15 @@ CORE = struct.Struct("<iiBBHHHiiii")
 SCHEMA = {
     "name": "string", "flags": "int", "ref_id": "int", "ref_name": "string", "pos": "bigint", "mapq": "int", "cigar": "string", "mate_ref_id": "int",
     "mate_pos": "bigint", "tlen": "int", "sequence": "string", "quality": "string", "tags": "map<string,string>", "bin": "int",
+    "voffset": "bigint", "vend": "bigint", "path": "string",
 }
+#: Where a record stands in its file, and where its file is: only if asked for.
+PLACES = ("voffset", "vend", "path")
+#: Columns that stand at fixed places of a record.
+FIXED = ("flags", "ref_id", "ref_name", "pos", "mapq", "mate_ref_id", "mate_pos", "tlen", "bin")
+_CORE_TYPE = np.dtype(
+    [("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flags", "<u2"), ("bases", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")]
+)
 _PAIRS = np.array([a + b for a in BASE_CODES for b in BASE_CODES])
 _PHRED = bytes(min(q + 33, 255) for q in range(256))
 _INTEGERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}
@@ -214,8 +224,6 @@ def _bin(begin: int, end: int) -> int:
 
 def encode(row: dict) -> bytes:
     """One record; a CIGAR of more than 65535 operations goes to tag CG."""
-    import re
-
     ops = [int(n) << 4 | CIGAR_CODES.index(k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", row.get("cigar") or "")]
     span = sum(x >> 4 for x in ops if CIGAR_CODES[x & 15] in "MDN=X")
     seq, qual = row.get("sequence") or "", row.get("quality")
@@ -242,116 +250,251 @@ def encode(row: dict) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def fixed_columns(data: bytes, starts: np.ndarray, header: Header, columns: Sequence[str]) -> dict:
+    """Arrow arrays of the wanted fixed columns of the records that start at given places, without a step for each record."""
+    import pyarrow as pa
+
+    core = np.frombuffer(data, np.uint8)[starts[:, None] + np.arange(_CORE_TYPE.itemsize)].reshape(-1).view(_CORE_TYPE)
+
+    def known(values, missing):
+        return pa.array(values, mask=missing)
+
+    out = {}
+    for c in columns:
+        if c == "flags":
+            out[c] = pa.array(core["flags"].astype(np.int32))
+        elif c == "bin":
+            out[c] = pa.array(core["bin"].astype(np.int32))
+        elif c == "tlen":
+            out[c] = pa.array(core["tlen"].astype(np.int32))
+        elif c == "mapq":
+            out[c] = known(core["mapq"].astype(np.int32), core["mapq"] == 255)
+        elif c in ("ref_id", "mate_ref_id"):
+            v = core["ref" if c == "ref_id" else "mate"]
+            out[c] = known(v.astype(np.int32), v < 0)
+        elif c in ("pos", "mate_pos"):
+            v = core[c].astype(np.int64)
+            out[c] = known(v + 1, v < 0)
+        elif c == "ref_name":
+            v = core["ref"]
+            names = pa.array([n for n, _ in header.references], pa.string())
+            out[c] = names.take(known(v.astype(np.int32), v < 0))
+    return out
+
+
 @dataclass
 class Split(InputPartition):
     path: str
     begin: int  # compressed offset from which on records are this task's
     end: int
+    chunks: list[tuple[int, int]] | None = None  # ranges of virtual offsets, instead
 
 
 class BamSource(DataSource):
     """``format("bam")``: alignment records of binary files.
 
-    Options: ``columns`` (comma list; others aren't decoded, and come as null),
-    ``split_bytes`` (0, the default: a task a file). With splits a task finds
-    the first record in its blocks as the first place from which a chain of
-    two plausible records or more runs through ``PROOF`` bytes, reading on as
-    long as none is found, and takes the records that begin in its blocks.
+    Options: ``columns`` (comma list of what is decoded; the default is all but
+    ``voffset``, ``vend`` and ``path``, where a record begins and ends and in
+    which file), ``split_bytes`` (0, the default: a task a file), ``regions``
+    (a region or a JSON list of them, for files with an index beside them: only
+    the blocks that may hold their records are read, and only records that meet
+    one come). With splits a task finds the first record in its blocks as the
+    first place from which a chain of two plausible records or more runs
+    through ``PROOF`` bytes, reading on as long as none is found, and takes the
+    records that begin in its blocks. Where Spark pushes filters to Python
+    sources, ones on ``ref_name`` and ``pos`` choose blocks by the index too.
     """
 
     @classmethod
     def name(cls) -> str:
         return "bam"
 
+    def _wanted(self) -> list[str]:
+        if "columns" in self.options:
+            wanted = [c.strip() for c in self.options["columns"].split(",")]
+            if unknown := set(wanted) - set(SCHEMA):
+                raise ValueError(f"unknown columns: {sorted(unknown)}")
+            return wanted
+        return [c for c in SCHEMA if c not in PLACES]
+
     def schema(self) -> str:
-        return ", ".join(f"{k} {v}" for k, v in SCHEMA.items())
+        return ", ".join(f"{k} {SCHEMA[k]}" for k in self._wanted())
 
     def reader(self, schema):
-        wanted = [c.strip() for c in self.options["columns"].split(",")] if "columns" in self.options else list(SCHEMA)
-        return _BamReader(self.options["path"], wanted, int(self.options.get("split_bytes", 0)), schema)
+        return _BamReader(self.options["path"], self._wanted(), int(self.options.get("split_bytes", 0)), schema, bgzf.regions_of(self.options))
 
 
 class _BamReader(DataSourceReader):
     #: Bytes that a chain of records must run through.
     PROOF = 1 << 18
-
-    def __init__(self, path: str, wanted: Sequence[str], split: int, schema):
-        unknown = set(wanted) - set(SCHEMA)
-        if unknown:
-            raise ValueError(f"unknown columns: {sorted(unknown)}")
-        self.path, self.wanted, self.split, self.fields = path, list(wanted), split, schema
+    #: Compressed bytes of an index's chunks that one task reads, about.
+    CHUNK_BYTES = 16 << 20
+
+    def __init__(self, path: str, wanted: Sequence[str], split: int, schema, regions: Sequence[Region] = ()):
+        self.path, self.wanted, self.split, self.fields, self.regions = path, list(wanted), split, schema, list(regions)
+        self.pushed: Region | None = None
+
+    def pushFilters(self, filters):  # noqa: N802
+        """Remember what filters on ``ref_name`` and ``pos`` say of a region; all of them are left to Spark as well."""
+        name = low = high = None
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            kind = type(f).__name__
+            if column == ("ref_name",) and kind == "EqualTo":
+                name = value
+            elif column == ("pos",) and kind in ("EqualTo", "GreaterThan", "GreaterThanOrEqual"):
+                low = max(low or 1, value)
+            if column == ("pos",) and kind in ("EqualTo", "LessThan", "LessThanOrEqual"):
+                high = min(high or value, value)
+        if name is not None:
+            self.pushed = Region(name, max(low, 1) if low else None, max(high, 1) if high is not None else None)
+        return filters
 
     def partitions(self):
         out = []
         for path, size in files.list_files(self.path):
+            if path.endswith(indexes.SUFFIXES):
+                continue
+            chunks = self._chunks_of(path)
+            if chunks is not None:
+                out += [Split(path, 0, size, c) for c in bgzf.by_size(chunks, self.split or self.CHUNK_BYTES)]
+                continue
             step = self.split or max(size, 1)
             out += [Split(path, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
-        return out
+        return out or [Split(self.path, 0, 0, [])]
+
+    def _chunks_of(self, path: str) -> list[tuple[int, int]] | None:
+        """What the index beside a file says of the regions; None where the whole file is to be read."""
+        regions = self.regions or ([self.pushed] if self.pushed else [])
+        if not regions:
+            return None
+        try:
+            index = indexes.beside(path)
+        except FileNotFoundError:
+            if self.regions:
+                raise
+            return None
+        header, _, _ = read_header(files.open_file(path))
+        return index.chunks_of(regions, [n for n, _ in header.references])
 
     def read(self, part: Split) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(self.fields)
-        rows: list[tuple] = []
-        for row in self._records(part):
-            rows.append(row)
-            if len(rows) == 4096:
-                yield self._batch(pa, schema, rows)
-                rows = []
-        if rows:
-            yield self._batch(pa, schema, rows)
-
-    def _batch(self, pa, schema, rows):
-        got = dict(zip(self.wanted, zip(*rows, strict=True), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(got.get(f.name, [None] * len(rows)), type=f.type) for f in schema], schema=schema)
+        file = files.open_file(part.path) if part.end else None
+        header = read_header(file) if file else None
+        fixed = [c for c in self.wanted if c in FIXED]
+        others = [c for c in self.wanted if c not in FIXED and c not in PLACES]
+        for data, starts, ends, begins, afters in self._runs(part, file, header):
+            for at in range(0, len(starts), 4096):
+                s, e = starts[at : at + 4096], ends[at : at + 4096]
+                got = fixed_columns(data, np.array(s), header[0], fixed)
+                rows = [decode(data, a, b, header[0], others) for a, b in zip(s, e, strict=True)] if others else []
+                got |= dict(zip(others, zip(*rows, strict=True), strict=True)) if others else {}
+                got |= {"voffset": begins[at : at + 4096], "vend": afters[at : at + 4096], "path": [part.path] * len(s)}
+                yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=f.type) for f in schema], schema=schema)
 
     def _records(self, part: Split) -> Iterator[tuple]:
+        """A task's records, one after another."""
         file = files.open_file(part.path)
-        header, begin, within = read_header(file)
+        header = read_header(file)
+        for data, starts, ends, *_ in self._runs(part, file, header):
+            for a, b in zip(starts, ends, strict=True):
+                yield decode(data, a, b, header[0], self.wanted)
+
+    def _runs(self, part: Split, file, read) -> Iterator[tuple[bytes, list[int], list[int], list[int], list[int]]]:
+        """(bytes, where records start and end in them, their virtual offsets and those after them), a run a block or so."""
+        if part.chunks is not None:
+            for begin, end in part.chunks:
+                c = bgzf.Contents(file, begin >> 16)
+                if c.more():
+                    for run in self._walk(c, begin & 0xFFFF, lambda v, end=end: v < end):
+                        if self.regions:
+                            run = self._meeting(run, read[0])
+                        if run[1]:
+                            yield run
+            return
+        header, begin, within = read
+        own = lambda v: v >> 16 < part.end
         if part.begin == 0:
-            blocks, at = iter(bgzf.BlockReader(file, begin)), within
+            c, at = bgzf.Contents(file, begin), within
         else:
             first = bgzf.find_block(file, part.begin)
             if first is None or first >= part.end:
                 return
-            blocks, at = iter(bgzf.BlockReader(file, max(first, begin))), None
+            c, at = bgzf.Contents(file, max(first, begin)), None
             if first <= begin:
                 at = within
-        data, ends = b"", 0  # what is held; up to where records are this task's
-        done, need = False, self.PROOF
-        while True:
-            block = next(blocks, None)
-            if block is None:
-                done = True
-            else:
-                data += block[2]
-                if block[0] < part.end:
-                    ends = len(data)
+        need, done = self.PROOF, False
+        while at is None:
+            done = done or not c.more()
+            if not done and len(c.data) < need:
+                continue
+            ends = c.held_before(part.end)
+            at, settled = _first_record(bytes(c.data), ends, len(header.references), done, self.PROOF)
             if at is None:
-                if not done and len(data) < need:
-                    continue
-                at, settled = _first_record(data, ends, len(header.references), done, self.PROOF)
-                if at is None:
-                    # all that is held may lie within one long record
-                    data, ends = data[settled:], ends - settled
-                    if done or ends <= 0:
-                        return
-                    need = len(data) + self.PROOF
-                    continue
-            while at < ends:
-                size = record_size(data, at)
-                if size is None or at + size > len(data):
+                # all that is held may lie within one long record
+                c.drop(settled)
+                if done or c.held_before(part.end) <= 0:
+                    return
+                need = len(c.data) + self.PROOF
+        while len(c.data) <= at and c.more():
+            pass
+        yield from self._walk(c, min(at, len(c.data)), own)
+
+    def _walk(self, c: bgzf.Contents, at: int, own) -> Iterator[tuple[bytes, list[int], list[int], list[int], list[int]]]:
+        """Runs of whole records from a place on, as long as ``own`` of a record's virtual offset is true."""
+        places = any(x in PLACES for x in self.wanted) or self.regions
+        while True:
+            starts, ends, begins, afters, over = [], [], [], [], False
+            while True:
+                if at < len(c.data) and not own(c.virtual(at)):
+                    over = True
+                    break
+                size = record_size(c.data, at)
+                if size is None or at + size > len(c.data):
                     break
-                yield decode(data, at, at + size, header, self.wanted)
+                starts.append(at)
+                ends.append(at + size)
+                if places:
+                    begins.append(c.virtual(at))
+                    afters.append(c.virtual(at + size))
                 at += size
-            if done:
-                if at < ends:
-                    raise BamError("file ends within a record")
+            if starts:
+                yield bytes(c.data[:at]), starts, ends, begins or [0] * len(starts), afters or [0] * len(starts)
+            if over:
+                return
+            # a place past what is held: the block that is read next decides
+            c.drop(at)
+            at = 0
+            if not c.data and not own(c.after << 16):
                 return
-            if at >= ends and block[0] >= part.end:
+            if not c.more():
+                if c.data:
+                    raise BamError("file ends within a record")
                 return
-            data, ends, at = data[at:], ends - at, 0
+
+    def _meeting(self, run, header: Header):
+        """The records of a run that meet one of the regions."""
+        data, starts, ends, begins, afters = run
+        ids = {n: i for i, (n, _) in enumerate(header.references)}
+        wanted = [(ids[r.name], r.start or 1, r.end or 1 << 62) for r in self.regions if r.name in ids]
+        keep = []
+        for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+            ref, pos = struct.unpack_from("<ii", data, a + 4)
+            near = [(s, e) for r, s, e in wanted if r == ref and pos >= 0 and pos + 1 <= e]
+            if near:
+                last = pos + max(1, _span(data, a, b))
+                if any(last >= s for s, _ in near):
+                    keep.append(i)
+        return data, *([x[i] for i in keep] for x in (starts, ends, begins, afters))
+
+
+def _span(data: bytes, at: int, end: int) -> int:
+    """Reference bases that a record covers."""
+    (cigar,) = decode(data, at, end, Header("", []), ["cigar"])
+    return sum(int(n) for n, k in re.findall(r"(\d+)([MDN=X])", cigar or ""))
 
 
 def _first_record(data: bytes, ends: int, references: int, done: bool, proof: int) -> tuple[int | None, int]:
@@ -402,10 +545,48 @@ def write_bam(df: DataFrame, folder: str, header: Header) -> list[str]:
     return sinks.write_blocks(df, folder, "bam", header_bytes(header), records)
 
 
-def quickcheck(files: DataFrame) -> DataFrame:
-    """Per ``binaryFile`` row whether it begins with a block and ends with the end block."""
+def quickcheck(spark: SparkSession, path: str) -> DataFrame:
+    """Per file whether it is block-compressed, has a header with a reference at least, and ends with the end block.
+
+    Of every file its header and its last bytes are read, whatever its size.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ok = []
+            for p in b.column(0).to_pylist():
+                file = files.open_file(p)
+                n = len(bgzf.END_BLOCK)
+                try:
+                    whole = file.size() >= n and file.read_at(n, file.size() - n) == bgzf.END_BLOCK
+                    ok.append(whole and bool(read_header(file)[0].references))
+                except ValueError:
+                    ok.append(False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.bool_())], names=["path", "ok"])
+
+    listed = spark.createDataFrame([(p,) for p, _ in files.list_files(path) if not p.endswith(indexes.SUFFIXES)], "path string")
+    return listed.mapInArrow(run, "path string, ok boolean")
+
+
+def indexable(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """What :func:`indexes.build` takes, of BAM files whose headers say that they are in coordinate order; others raise."""
+    headers = [read_header(files.open_file(p))[0] for p, _ in files.list_files(path) if not p.endswith(indexes.SUFFIXES)]
+    if not all(coordinate_sorted(h.text) for h in headers):
+        raise BamError("the header doesn't say that records are in coordinate order")
+    n_refs = len(headers[0].references) if headers else 0
     from pyspark.sql import functions as F
 
-    content, n = F.col("content"), len(bgzf.END_BLOCK)
-    ok = (F.substring(content, 1, 4) == F.lit(bgzf.MAGIC)) & (F.substring(content, -n, n) == F.lit(bgzf.END_BLOCK))
-    return files.select("path", F.coalesce(ok, F.lit(False)).alias("ok"))
+    from ..functions import records
+
+    rows = spark.read.format("bam").option("columns", "path,ref_id,pos,cigar,flags,voffset,vend").option("split_bytes", split_bytes).load(path)
+    return rows.select(
+        "path", "ref_id", "pos", records.alignment_end(F.col("pos"), F.col("cigar")).alias("aend"), records.has(F.col("flags"), "unmapped").alias("unmapped"), "voffset", "vend", F.lit(n_refs).alias("n_refs")
+    )
+
+
+def coordinate_sorted(text: str) -> bool:
+    """Whether a header's @HD line says SO:coordinate."""
+    first = text.split("\n", 1)[0].split("\t")
+    return first[0] == "@HD" and "SO:coordinate" in first[1:]

@@ -7,10 +7,10 @@ import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from . import bgzf, files, sinks
+from . import bgzf, files, indexes, sinks
 
 MAGIC = b"BCF\x02"
 SCHEMA = {
@@ -282,39 +282,57 @@ def write_bcf(df: DataFrame, folder: str, lines: Sequence[str]) -> list[str]:
     return sinks.write_blocks(df, folder, "bcf", header_bytes(lines), records_of)
 
 
-@dataclass
-class WholeFile(InputPartition):
-    path: str
+#: Where a record stands: its file, its virtual offset and the next one's, its contig's number.
+PLACES = {"path": "string", "voffset": "bigint", "vend": "bigint", "ref_id": "int"}
 
 
 class BcfSource(DataSource):
-    """``format("bcf")``: variant records of binary files, a task a file."""
+    """``format("bcf")``: variant records of binary files, a task a file.
+
+    Options: ``places`` (true: also ``path``, ``voffset``, ``vend`` and
+    ``ref_id``), ``regions`` (a region or a JSON list of them, for files with
+    an index beside them: only the blocks that may hold their records are
+    read; records that share a block or bin with a region come too).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "bcf"
 
     def schema(self) -> str:
-        return ", ".join(f"{k} {v}" for k, v in SCHEMA.items())
+        fields = SCHEMA | (PLACES if self.options.get("places") == "true" else {})
+        return ", ".join(f"{k} {v}" for k, v in fields.items())
 
     def reader(self, schema):
-        return _BcfReader(self.options["path"], schema)
+        return _BcfReader(self.options["path"], schema, bgzf.regions_of(self.options))
 
 
 class _BcfReader(DataSourceReader):
-    def __init__(self, path: str, schema):
-        self.path, self.fields = path, schema
+    #: Compressed bytes of an index's chunks that one task reads, about.
+    CHUNK_BYTES = 16 << 20
 
-    def partitions(self):
-        return [WholeFile(p) for p, _ in files.list_files(self.path)]
+    def __init__(self, path: str, schema, regions=()):
+        self.path, self.fields, self.regions = path, schema, list(regions)
 
-    def read(self, part: WholeFile) -> Iterator:
+    def partitions(self):
+        listed = [(p, n) for p, n in files.list_files(self.path) if not p.endswith(indexes.SUFFIXES)]
+        if not self.regions:
+            return [bgzf.FileRange(p, 0, n) for p, n in listed]
+        out = []
+        for p, n in listed:
+            header, _ = read_header(files.open_file(p))
+            contigs = [header.contigs.get(i, "") for i in range(max(header.contigs, default=-1) + 1)]
+            out += [bgzf.FileRange(p, 0, n, c) for c in bgzf.by_size(indexes.beside(p).chunks_of(self.regions, contigs), self.CHUNK_BYTES)]
+        return out or [bgzf.FileRange(self.path, 0, 0, [])]
+
+    def read(self, part: bgzf.FileRange) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, rows = to_arrow_schema(self.fields), []
-        for row in records(part.path):
-            rows.append(row)
+        places = "voffset" in schema.names
+        for row, place in records(part.path, part.chunks):
+            rows.append(row + place if places else row)
             if len(rows) == 4096:
                 yield _batch(pa, schema, rows)
                 rows = []
@@ -326,24 +344,70 @@ def _batch(pa, schema, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def records(path: str) -> Iterator[tuple]:
+def read_header(file) -> tuple[Header, bgzf.Contents]:
+    """(header, contents from the first record on)."""
+    c = bgzf.Contents(file)
+    while c.more():
+        if c.data[: len(MAGIC)] != MAGIC[: len(c.data)]:
+            raise BcfError("no BCF header")
+        if len(c.data) >= 9 and len(c.data) >= 9 + (size := struct.unpack_from("<I", c.data, 5)[0]):
+            header = Header(bytes(c.data[9 : 9 + size]).rstrip(b"\0").decode().splitlines())
+            c.drop(9 + size)
+            return header, c
+    raise BcfError("no BCF header")
+
+
+def records(path: str, chunks: Sequence[tuple[int, int]] | None = None) -> Iterator[tuple[tuple, tuple]]:
+    """(a record's columns, its places), of a whole file or of ranges of virtual offsets."""
+    if chunks is not None and not chunks:
+        return
     file = files.open_file(path)
-    data, at, header = b"", 0, None
-    for _, _, block in bgzf.BlockReader(file, 0):
-        data, at = data[at:] + block, 0
-        if header is None:
-            if data[: len(MAGIC)] != MAGIC[: len(data)]:
-                raise BcfError("no BCF header")
-            if len(data) < 9 or len(data) < 9 + struct.unpack_from("<I", data, 5)[0]:
-                continue
-            size = struct.unpack_from("<I", data, 5)[0]
-            header, at = Header(data[9 : 9 + size].rstrip(b"\0").decode().splitlines()), 9 + size
-        while at + 8 <= len(data):
-            shared, indiv = struct.unpack_from("<II", data, at)
-            if at + 8 + shared + indiv > len(data):
+    header, contents = read_header(file)
+    if chunks is None:
+        parts = [(contents, 0, None)]
+    else:
+        parts = [(bgzf.Contents(file, b >> 16), b & 0xFFFF, e) for b, e in chunks]
+    for c, at, end in parts:
+        if end is not None and not c.more():
+            continue
+        while True:
+            over = False
+            while at + 8 <= len(c.data) and not over:
+                shared, indiv = struct.unpack_from("<II", c.data, at)
+                size = 8 + shared + indiv
+                begin = c.virtual(at)
+                over = end is not None and begin >= end
+                if over or at + size > len(c.data):
+                    break
+                data = bytes(c.data[at : at + size])
+                row, _ = decode(data, 0, header)
+                yield row, (path, begin, c.virtual(at + size), struct.unpack_from("<i", data, 8)[0])
+                at += size
+            if over:
+                break
+            c.drop(at)
+            at = 0
+            if not c.data and end is not None and c.after << 16 >= end:
                 break
-            row, size = decode(data, at, header)
-            yield row
-            at += size
-    if at < len(data):
-        raise BcfError("file ends within a record")
+            if not c.more():
+                if c.data:
+                    raise BcfError("file ends within a record")
+                break
+
+
+def indexable(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`indexes.build` takes, of BCF files."""
+    from pyspark.sql import functions as F
+
+    listed = [p for p, _ in files.list_files(path) if not p.endswith(indexes.SUFFIXES)]
+    n_refs = max((max(read_header(files.open_file(p))[0].contigs, default=-1) + 1 for p in listed), default=0)
+    rows = spark.read.format("bcf").option("places", "true").load(path)
+    return rows.select("path", "ref_id", "pos", last_position().alias("aend"), F.lit(False).alias("unmapped"), "voffset", "vend", F.lit(n_refs).alias("n_refs"))
+
+
+def last_position():
+    """Last position of a record of the source, by INFO/END if it has one."""
+    from pyspark.sql import functions as F
+
+    end = F.try_element_at("info", F.lit("END")).cast("bigint")
+    return F.coalesce(end, F.coalesce("pos", F.lit(1).cast("bigint")) + F.length("ref") - 1)

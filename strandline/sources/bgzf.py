@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.coords import Region, parse_region
 from .files import list_files, open_file
 
 # Fixed values of the format.
@@ -144,6 +147,47 @@ class BlockReader:
             base, held = base + used, held[used:]
 
 
+class Contents:
+    """What blocks hold from an offset on, as far as it was asked for, with the virtual offset of every place."""
+
+    def __init__(self, file, offset: int = 0):
+        self.blocks, self.data, self.after = iter(BlockReader(file, offset)), bytearray(), offset
+        self._places, self._offsets = [], []  # where in ``data`` each block begins, and its offset
+
+    def more(self) -> bool:
+        """Append a block; false at the file's end."""
+        block = next(self.blocks, None)
+        if block is None:
+            return False
+        offset, self.after, data = block
+        if self._places and self._places[-1] == len(self.data):  # an empty block before it holds no place
+            self._offsets[-1] = offset
+        else:
+            self._places.append(len(self.data))
+            self._offsets.append(offset)
+        self.data += data
+        return True
+
+    def drop(self, n: int) -> None:
+        """Forget the first ``n`` bytes."""
+        keep = max(0, bisect_right(self._places, n) - 1)
+        self._places = [p - n for p in self._places[keep:]]
+        self._offsets = self._offsets[keep:]
+        del self.data[:n]
+
+    def virtual(self, at: int) -> int:
+        """The virtual offset of a place; of the end of what is held: the next block's."""
+        if at >= len(self.data):
+            return self.after << 16
+        k = bisect_right(self._places, at) - 1
+        return self._offsets[k] << 16 | at - self._places[k]
+
+    def held_before(self, offset: int) -> int:
+        """How much of what is held lies in blocks that begin before a file offset."""
+        k = bisect_left(self._offsets, offset)
+        return self._places[k] if k < len(self._places) else len(self.data)
+
+
 def find_block(file, offset: int) -> int | None:
     """The first block at or after ``offset``: one whose successor is a block too, or the end."""
     size = file.size()
@@ -163,9 +207,33 @@ def find_block(file, offset: int) -> int | None:
 
 @dataclass
 class FileRange(InputPartition):
+    """Blocks that begin in a range of a file; with ``chunks``, ranges of virtual offsets instead."""
+
     path: str
     begin: int
     end: int
+    chunks: list[tuple[int, int]] | None = None
+
+
+def by_size(chunks: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Chunks in groups of some ``size`` compressed bytes."""
+    out: list[list[tuple[int, int]]] = []
+    held = size
+    for begin, end in chunks:
+        if held >= size:
+            out.append([])
+            held = 0
+        out[-1].append((begin, end))
+        held += (end >> 16) - (begin >> 16) + 1
+    return out
+
+
+def regions_of(options) -> list[Region]:
+    """The option ``regions``: a JSON list of region texts, or one region."""
+    given = options.get("regions")
+    if not given:
+        return []
+    return [parse_region(r) for r in (json.loads(given) if given.startswith("[") else [given])]
 
 
 class BgzfLines(DataSource):
@@ -173,7 +241,11 @@ class BgzfLines(DataSource):
 
     A task owns the lines that begin after a line break in its blocks (the
     first task the first line too) and reads on to finish its last one.
-    Option ``split_bytes`` (default 16 MiB of compressed bytes).
+    Options: ``split_bytes`` (default 16 MiB of compressed bytes); ``offsets``
+    (true: also ``voffset`` and ``vend``, the virtual offsets where a line
+    begins and where the next one does); ``regions``, for files with a tabix or
+    CSI index beside them, whose blocks alone are read. Lines that share a
+    block or a bin with a region come too; a filter decides.
     """
 
     @classmethod
@@ -181,54 +253,94 @@ class BgzfLines(DataSource):
         return "bgzf_lines"
 
     def schema(self) -> str:
-        return "path string, value string"
+        return "path string, value string" + (", voffset bigint, vend bigint" if self.options.get("offsets") == "true" else "")
 
     def reader(self, schema):
-        return _LineReader(self.options["path"], int(self.options.get("split_bytes", 16 << 20)))
+        return _LineReader(self.options["path"], int(self.options.get("split_bytes", 16 << 20)), self.options.get("offsets") == "true", regions_of(self.options))
 
 
 class _LineReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, offsets: bool = False, regions: list[Region] | None = None):
+        self.path, self.split, self.offsets, self.regions = path, split, offsets, regions or []
 
     def partitions(self):
-        return [FileRange(p, at, min(at + self.split, n)) for p, n in list_files(self.path) for at in range(0, max(n, 1), self.split)]
+        from . import indexes
+
+        listed = [(p, n) for p, n in list_files(self.path) if not p.endswith(indexes.SUFFIXES)]
+        if not self.regions:
+            return [FileRange(p, at, min(at + self.split, n)) for p, n in listed for at in range(0, max(n, 1), self.split)]
+        out = []
+        for p, n in listed:
+            index = indexes.beside(p)
+            out += [FileRange(p, 0, n, c) for c in by_size(index.chunks_of(self.regions, index.names), self.split)]
+        return out or [FileRange(self.path, 0, 0, [])]
 
     def read(self, part: FileRange):
         import pyarrow as pa
 
+        rows = self._chunks(part) if part.chunks is not None else self._lines(part)
+        held: list[tuple[bytes, int, int]] = []
+        for row in rows:
+            held.append(row)
+            if len(held) == 8192:
+                yield self._batch(pa, part.path, held)
+                held = []
+        if held:
+            yield self._batch(pa, part.path, held)
+
+    def _batch(self, pa, path: str, rows: list[tuple[bytes, int, int]]):
+        columns = [pa.array([path] * len(rows)), pa.array([v.removesuffix(b"\r").decode() for v, _, _ in rows])]
+        names = ["path", "value"]
+        if self.offsets:
+            columns += [pa.array([b for _, b, _ in rows], pa.int64()), pa.array([e for _, _, e in rows], pa.int64())]
+            names += ["voffset", "vend"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def _walk(self, c: Contents, at: int, broke: int, ends) -> Iterator[tuple[bytes, int, int]]:
+        """Lines from a place on, until ``ends`` of a line's virtual offset and of the block with the line break before it."""
+        scan = at
+        while True:
+            cut = c.data.find(b"\n", scan)
+            if cut < 0:
+                if ends(c.virtual(at), broke):
+                    return
+                c.drop(at)
+                at, scan = 0, len(c.data)
+                if c.more():
+                    continue
+                if c.data:
+                    yield bytes(c.data), c.virtual(0), c.after << 16
+                return
+            begin = c.virtual(at)
+            if ends(begin, broke):
+                return
+            broke = c.virtual(cut) >> 16
+            yield bytes(c.data[at:cut]), begin, c.virtual(cut + 1)
+            at = scan = cut + 1
+
+    def _lines(self, part: FileRange) -> Iterator[tuple[bytes, int, int]]:
         file = open_file(part.path)
         if not file.size():
             return
         first = 0 if part.begin == 0 else find_block(file, part.begin)
         if first is None or first >= part.end:
             return
-        skipping, held, out = part.begin > 0, b"", []
-        for begin, _, data in BlockReader(file, first):
-            if begin >= part.end:
-                # only the line that is open at the end is still this task's
-                cut = data.find(b"\n")
-                if skipping:
-                    return
-                held += data if cut < 0 else data[: cut + 1]
-                if cut >= 0:
-                    break
-                continue
-            if skipping:
-                cut = data.find(b"\n")
-                if cut < 0:
-                    continue
-                data, skipping = data[cut + 1 :], False
-            *whole, held = (held + data).split(b"\n")
-            out += whole
-            if len(out) >= 8192:
-                yield _line_batch(pa, part.path, out)
-                out = []
-        if held:
-            out.append(held.removesuffix(b"\n"))
-        if out:
-            yield _line_batch(pa, part.path, out)
-
+        c, at = Contents(file, first), 0
+        while part.begin:
+            # the line that is open here is an earlier task's
+            if not c.more():
+                return
+            at = c.data.find(b"\n") + 1
+            if at:
+                break
+            if c.after >= part.end:
+                return
+            c.drop(len(c.data))
+        yield from self._walk(c, at, c.virtual(at - 1) >> 16 if at else 0, lambda _, broke: broke >= part.end)
 
-def _line_batch(pa, path: str, values: list[bytes]):
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(values)), pa.array([v.removesuffix(b"\r").decode() for v in values])], names=["path", "value"])
+    def _chunks(self, part: FileRange) -> Iterator[tuple[bytes, int, int]]:
+        file = open_file(part.path)
+        for begin, end in part.chunks or []:
+            c = Contents(file, begin >> 16)
+            if c.more():
+                yield from self._walk(c, begin & 0xFFFF, 0, lambda v, _, end=end: v >= end)

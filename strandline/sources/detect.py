@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import coords
 from . import bgzf, files
 
 
@@ -31,43 +35,87 @@ def variant_format(head: bytes) -> str:
 
 
 def head_of(path: str, n: int = 4096) -> bytes:
-    file = files.open_file(files.list_files(path)[0][0])
+    from .indexes import SUFFIXES
+
+    file = files.open_file(next(p for p, _ in files.list_files(path) if not p.endswith(SUFFIXES)))
     return file.read_at(min(n, file.size()), 0)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats bam, bcf and bgzf_lines known to a session."""
+    """Make the formats bam, bcf and bgzf_lines known to a session, and let Spark tell them its filters."""
     from .bam import BamSource
     from .bcf import BcfSource
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (BamSource, BcfSource, bgzf.BgzfLines):
         spark.dataSource.register(source)
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment records of SAM, compressed SAM or BAM files, in the SAM source's columns that both have."""
+def read_alignments(spark: SparkSession, path: str, regions: Sequence[str] = ()) -> DataFrame:
+    """Alignment records of SAM, compressed SAM or BAM files, in the SAM source's columns that both have.
+
+    With ``regions`` only records that meet one come; of BAM and compressed SAM
+    with an index beside them only the blocks that may hold some are read.
+    """
+    from ..functions import records
     from . import text
 
     register(spark)
-    kind = alignment_format(head_of(path))
+    kind, wanted = alignment_format(head_of(path)), json.dumps(list(regions))
     if kind == "bam":
-        return spark.read.format("bam").load(path)
+        source = spark.read.format("bam")
+        return (source.option("regions", wanted) if regions else source).load(path)
     if kind == "sam":
-        return text.sam_fields(text.lines(spark, path))
-    if kind == "sam.gz":
-        return text.sam_fields(spark.read.format("bgzf_lines").load(path))
-    raise ValueError(f"not supported: {kind}")
+        rows = text.sam_fields(text.lines(spark, path))
+    elif kind == "sam.gz":
+        source = spark.read.format("bgzf_lines")
+        rows = text.sam_fields((source.option("regions", wanted) if regions else source).load(path))
+    else:
+        raise ValueError(f"not supported: {kind}")
+    return rows.where(_in_any(regions, F.col("ref_name"), F.col("pos"), records.alignment_end(F.col("pos"), F.col("cigar")))) if regions else rows
 
 
-def read_variants(spark: SparkSession, path: str) -> DataFrame:
-    from . import text
+def read_variants(spark: SparkSession, path: str, regions: Sequence[str] = ()) -> DataFrame:
+    """Variant records of VCF, compressed VCF or BCF files; ``regions`` as for :func:`read_alignments`."""
+    from ..functions import fields
+    from . import bcf, text
 
     register(spark)
-    kind = variant_format(head_of(path))
+    kind, wanted = variant_format(head_of(path)), json.dumps(list(regions))
     if kind == "bcf":
-        return spark.read.format("bcf").load(path)
-    if kind == "vcf":
-        return text.vcf_fields(text.lines(spark, path))
-    if kind == "vcf.gz":
-        return text.vcf_fields(spark.read.format("bgzf_lines").load(path))
-    raise ValueError(f"not supported: {kind}")
+        source = spark.read.format("bcf")
+        rows = (source.option("regions", wanted) if regions else source).load(path)
+        end = bcf.last_position()
+    elif kind in ("vcf", "vcf.gz"):
+        if kind == "vcf":
+            lines = text.lines(spark, path)
+        else:
+            source = spark.read.format("bgzf_lines")
+            lines = (source.option("regions", wanted) if regions else source).load(path)
+        rows = text.vcf_fields(lines)
+        end = fields.variant_end(F.col("pos"), F.col("ref"), F.col("info"))
+    else:
+        raise ValueError(f"not supported: {kind}")
+    return rows.where(_in_any(regions, F.col("chrom"), F.col("pos"), end)) if regions else rows
+
+
+def read_indexed_lines(spark: SparkSession, path: str, regions: Sequence[str]) -> DataFrame:
+    """Lines of block-compressed tables that meet one of the regions, with ``ref_name``, ``start`` and ``end``.
+
+    Which columns these are the index beside the first file says.
+    """
+    from . import indexes, text
+
+    register(spark)
+    first = next(p for p, _ in files.list_files(path) if not p.endswith(indexes.SUFFIXES))
+    c = indexes.beside(first).columns
+    lines = spark.read.format("bgzf_lines").option("regions", json.dumps(list(regions))).load(path)
+    rows = text.indexed_rows(lines, c["name"], c["start"], c["end"] or None, chr(c["comment"]), bool(c["zero_based"]))
+    return rows.where(_in_any(regions, F.col("ref_name"), F.col("start"), F.col("end")))
+
+
+def _in_any(regions: Sequence[str], name, start, end):
+    met = F.lit(False)
+    for r in map(coords.parse_region, regions):
+        met = met | coords.in_region(r, name, start, end)
+    return met

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def filesystem(path: str):
@@ -68,3 +70,11 @@ def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, until the program ends: its lineage is cut, a lost executor costs its tasks only."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    atexit.register(remove, df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

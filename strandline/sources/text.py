@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields
+from ..operators.joins import small_side
 
 # What a line that is no record begins with, by dialect.
 COMMENTS = {"sam": "@", "vcf": "#", "gff": "#", "gtf": "#", "bed": "#"}
@@ -153,20 +154,40 @@ def directives(rows: DataFrame) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value): lines in file order, for formats where order matters.
+def line_table(spark: SparkSession, path: str, **columns: Column) -> DataFrame:
+    """(path, line_no, line_offset, ...): the lines of text files with their number and byte in the file, in splits.
 
-    Every file is one split, so the number within a task counts lines of whole files in order.
+    ``columns`` are computed from ``value``, a line without its break, before
+    anything is shuffled. Within a split lines come in order; how many lines
+    and bytes the splits before it hold is a table of a row a split. Lines end
+    in a line feed, with or without a carriage return.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    body = F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")
-    return whole.select("path", F.posexplode(body).alias("line_no", "value")).where("line_no >= 0")
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
+        (F.octet_length("value") + 1).cast("bigint").alias("bytes"), F.regexp_replace("value", "\r$", "").alias("value"),
+    )
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = raw.groupBy("path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("total"))
+    per = per.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("bytes_before"))
+    rows = raw.select("path", "split", "at", "bytes", *[c.alias(n) for n, c in columns.items()]).join(small_side(per), ["path", "split"])
+    return rows.withColumn("line_no", (F.col("lines_before") + F.col("at") - F.col("first")).cast("bigint")).drop("lines_before", "first")
+
+
+def with_line_offsets(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`line_table` with ``offset``, the line's first byte: a sum within its split and what came before."""
+    w = Window.partitionBy("path", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", (F.coalesce(F.sum("bytes").over(w), F.lit(0)) + F.col("bytes_before")).cast("bigint"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, value): lines with their place in the file, for formats where order matters."""
+    return line_table(spark, path, value=F.col("value")).select("path", "line_no", "value")
 
 
 def before_fasta(rows: DataFrame) -> DataFrame:
     """Numbered lines of GFF3 before a '##FASTA' line of their file."""
     stop = rows.where(F.col("value") == "##FASTA").groupBy("path").agg(F.min("line_no").alias("stop"))
-    joined = rows.join(F.broadcast(stop), "path", "left")
+    joined = rows.join(small_side(stop), "path", "left")
     return joined.where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))).drop("stop")
 
 
@@ -238,35 +259,43 @@ def fastq_candidates(rows: DataFrame, key: str = "path") -> DataFrame:
     return rows.withColumn("candidate", F.coalesce(ok, F.lit(False)))
 
 
-def fasta_index(rows: DataFrame) -> DataFrame:
-    """Per contig length, offset of the first base, bases and bytes of a line, from numbered lines that end in '\\n'.
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """Per contig length, offset of the first base, bases and bytes of a line.
 
-    Lines before a contig's last must be equally long; an empty contig or a ragged one raises.
+    Lines before a contig's last must be equally long; an empty contig or a
+    ragged one raises. What is shuffled has no bases in it, and contigs are
+    summed where their lines are.
     """
-    w = Window.partitionBy("path").orderBy("line_no")
-    r = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("value") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = r.withColumn("contig", F.sum(F.col("value").startswith(">").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.max(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)))
-    seq = r.withColumn("bases", F.when(~F.col("value").startswith(">") & (F.length("value") > 0), F.length("value")))
-    last = F.max_by("bases", F.when(F.col("bases").isNotNull(), F.col("line_no")))
-    g = seq.groupBy("path", "contig").agg(
-        head.alias("name"), F.sum("bases").cast("bigint").alias("length"), F.min(F.when(F.col("bases").isNotNull(), F.col("offset"))).cast("bigint").alias("offset"),
-        F.min_by("bases", F.when(F.col("bases").isNotNull(), F.col("line_no"))).cast("bigint").alias("line_bases"), F.count("bases").alias("n"),
-        F.sum("bases").alias("total"), last.alias("last"), F.max("bases").alias("widest"),
+    v, head = F.col("value"), F.col("value").startswith(">")
+    r = line_table(spark, path, name=F.when(head, F.regexp_extract(v, r"^>(\S+)", 1)), bases=F.when(~head & (F.length(v) > 0), F.length(v).cast("bigint")), head=head.cast("int"))
+    r = with_line_offsets(r)
+    # contigs are numbered within a split; those before it are counted by split
+    heads = r.groupBy("path", "split").agg(F.sum("head").alias("heads"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("path", "split", F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads_before"))
+    upto = Window.partitionBy("path", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.join(small_side(heads), ["path", "split"]).withColumn("contig", F.sum("head").over(upto) + F.col("heads_before"))
+    at = F.when(F.col("bases").isNotNull(), F.col("line_no"))
+    first = F.min_by(F.struct("offset", "bases", "bytes"), at)
+    g = r.groupBy("path", "contig").agg(
+        F.max("name").alias("name"), F.sum("bases").cast("bigint").alias("length"), first.alias("first"), F.max_by("bases", at).alias("last"),
+        F.max("bases").alias("widest"), F.count("bases").alias("n"),
     )
-    ragged = (F.col("total") != F.col("line_bases") * (F.col("n") - 1) + F.col("last")) | (F.col("widest") > F.col("line_bases"))
+    line = F.col("first.bases")
+    ragged = (F.col("length") != line * (F.col("n") - 1) + F.col("last")) | (F.col("widest") > line)
     name = F.when(F.col("n") == 0, F.raise_error(F.lit("empty contig"))).when(ragged, F.raise_error(F.lit("ragged contig"))).otherwise(F.col("name"))
-    return g.where("contig > 0").select(name.alias("name"), "length", "offset", "line_bases", (F.col("line_bases") + 1).alias("line_width"))
+    return g.where("contig > 0").select(name.alias("name"), "length", F.col("first.offset").alias("offset"), line.alias("line_bases"), F.col("first.bytes").alias("line_width"))
 
 
-def fastq_index(rows: DataFrame) -> DataFrame:
-    """Per read length, offsets of bases and qualities, line bases and width, from numbered lines."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    r = rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("value") + 1).over(w), F.lit(0)))
+def fastq_index(spark: SparkSession, path: str) -> DataFrame:
+    """Per read length, offsets of bases and qualities, line bases and width."""
+    v = F.col("value")
+    r = with_line_offsets(line_table(spark, path, name=F.regexp_extract(v, r"^@(\S+)", 1), blank=F.length(v) == 0, length=F.length(v).cast("bigint")))
     pick = lambda k, c: F.max(F.when(F.col("line_no") % 4 == k, F.col(c)))
-    g = r.groupBy("path", F.floor(F.col("line_no") / 4).alias("record")).agg(pick(0, "value").alias("d"), pick(1, "value").alias("s"), pick(1, "offset").alias("seq_offset"), pick(3, "offset").alias("qual_offset"))
-    n = F.length("s").cast("bigint")
-    return g.where("d <> ''").select(F.regexp_extract("d", r"^@(\S+)", 1).alias("name"), n.alias("length"), F.col("seq_offset").cast("bigint").alias("offset"), n.alias("line_bases"), (n + 1).alias("line_width"), F.col("qual_offset").cast("bigint").alias("qual_offset"))
+    g = r.groupBy("path", F.floor(F.col("line_no") / 4).alias("record")).agg(
+        pick(0, "name").alias("name"), pick(0, "blank").alias("blank"), pick(1, "length").alias("length"), pick(1, "offset").alias("offset"), pick(1, "bytes").alias("line_width"), pick(3, "offset").alias("qual_offset")
+    )
+    return g.where("not blank").select("name", "length", "offset", F.col("length").alias("line_bases"), "line_width", "qual_offset")
 
 
 def base_offset(position0: Column, offset: Column, line_bases: Column, line_width: Column) -> Column:
@@ -291,9 +320,9 @@ def read_crai(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("ref_id", F.nullif("ref_id", F.lit(-1))).withColumn("start", F.nullif("start", F.lit(0).cast("bigint")))
 
 
-def indexed_rows(rows: DataFrame, name_column: int, start_column: int, end_column: int | None, comment: str = "#", zero_based: bool = False) -> DataFrame:
-    """Lines of an indexed table with ``ref_name``, ``start``, ``end`` by the index header's 1-based column roles."""
+def indexed_rows(rows: DataFrame, name_column: int, start_column: int, end_column: int | None, comment: str = "#", zero_based: bool = False, *keep: str) -> DataFrame:
+    """Lines of an indexed table with ``ref_name``, ``start``, ``end`` by the index header's 1-based column roles, and columns to keep."""
     r = rows.where((F.length("value") > 0) & ~F.col("value").startswith(comment)).withColumn("fields", F.split("value", "\t"))
     start = field(start_column - 1).cast("bigint") + (1 if zero_based else 0)
     end = field(end_column - 1).cast("bigint") if end_column else start
-    return r.select("value", field(name_column - 1).alias("ref_name"), start.alias("start"), end.alias("end"))
+    return r.select("value", field(name_column - 1).alias("ref_name"), start.alias("start"), end.alias("end"), *keep)

@@ -92,7 +92,7 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">sq0 first one\nACGT\nAC\n\n>sq1\nNNN\nnn\n>sq2\tx\nA\n")
     path = f"file://{tmp_path}"
     assert sorted(tuple(r) for r in text.fasta(spark, path).collect()) == [("sq0", "first one", "ACGTAC"), ("sq1", None, "NNNnn"), ("sq2", "x", "A")]
-    index = sorted(tuple(r) for r in text.fasta_index(text.numbered_lines(spark, path)).collect())
+    index = sorted(tuple(r) for r in text.fasta_index(spark, path).collect())
     assert index == [("sq0", 6, 15, 4, 5), ("sq1", 5, 29, 3, 4), ("sq2", 1, 43, 1, 2)]
     data = (tmp_path / "a.fa").read_text()
     for name, n, off, lb, lw in index:
@@ -100,7 +100,7 @@ def test_fasta(spark, tmp_path):
         assert "".join(data[a[0]] for a in at) == {"sq0": "ACGTAC", "sq1": "NNNnn", "sq2": "A"}[name]
     (tmp_path / "a.fa").write_text(">sq0\nACG\nACGT\nA\n")
     with pytest.raises(Exception, match="ragged"):
-        text.fasta_index(text.numbered_lines(spark, path)).collect()
+        text.fasta_index(spark, path).collect()
 
 
 def test_fastq(spark, tmp_path):
@@ -108,7 +108,7 @@ def test_fastq(spark, tmp_path):
     rows = text.numbered_lines(spark, f"file://{tmp_path}")
     got = text.fastq_records(rows).orderBy("record").collect()
     assert [(x["name"], x["description"], x["sequence"], x["quality"]) for x in got] == [("r0", "d e", "ACGT", "@III"), ("r1", None, "AC", "!~")]
-    assert [tuple(x) for x in text.fastq_index(rows).orderBy("name").collect()] == [("r0", 4, 8, 4, 5, 15), ("r1", 2, 24, 2, 3, 31)]
+    assert [tuple(x) for x in text.fastq_index(spark, f"file://{tmp_path}").orderBy("name").collect()] == [("r0", 4, 8, 4, 5, 15), ("r1", 2, 24, 2, 3, 31)]
     assert sorted(x["line_no"] for x in text.fastq_candidates(rows).where("candidate").collect()) == [0, 4]
     (tmp_path / "a.fq").write_text("@r0\nACGT\n+\nIII\n")
     with pytest.raises(Exception, match="FASTQ"):
