@@ -7,37 +7,22 @@ the tasks it ran, not what led to the table.
 from __future__ import annotations
 
 import atexit
-import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import remove, shared_folder
+
 #: Sides of joins with at most so many rows are broadcast; they have a few short columns.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local session may do without; it gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else None
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 class Staging:
     """Tables under one folder of their own, removed when the program ends or :meth:`close` is called."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables = 0
         atexit.register(self.close)
 
@@ -48,12 +33,29 @@ class Staging:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
-        with contextlib.suppress(Exception):  # the session may be gone
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            path = jvm.org.apache.hadoop.fs.Path(self.root)
-            path.getFileSystem(conf).delete(path, True)
+        remove(self.spark, self.root)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows it to have at most ``rows`` rows, else as it is."""
     return df.hint("broadcast") if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows of one key that are more than one task should join.
+HOT_ROWS = 20_000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = HOT_ROWS) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has a row a key and the rows of ``left`` with it as ``weight``.
+
+    Keys with more than ``hot`` rows, which are fewer than the rows of ``left``
+    / ``hot``, are sent to every task if a count shows them to be few; their
+    rows are not shuffled. ``left`` is read twice then, so it should be a table.
+    """
+    heavy = right.where(right[weight] > hot)
+    n = heavy.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return left.join(right, key)
+    heavy = heavy.hint("broadcast")
+    rest = left.join(heavy.select(key), key, "left_anti").join(right.where(right[weight] <= hot), key)
+    return left.join(heavy, key).unionByName(rest)

@@ -89,3 +89,61 @@ def brute_fast(x, q, k=10):
     d[q] = np.inf
     order = np.lexsort((np.arange(len(x)), d))[:k]
     return [(int(i), d[i]) for i in order]
+
+
+def test_very_large_and_very_small_numbers(spark):
+    r = np.random.default_rng(7)
+    for scale in (1e160, 1e-170, 1e300):
+        x = r.normal(size=(60, 6)) * scale
+        vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+        got = [(a["vec_id"], a["score"]) for a in nearest_neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+        unit = x / scale
+        want = sorted((float(np.sqrt(((unit[0] - y) ** 2).sum())), i) for i, y in enumerate(unit) if i)[:10]
+        assert [i for i, _ in got] == [i for _, i in want] and np.allclose([d / scale for _, d in got], [d for d, _ in want], rtol=1e-12)
+    mixed = [(0, [1.0, 1e160]), (1, [1.0, 2e160]), (2, [5.0, 1e160]), (3, [1.0, 1.0]), (4, [2.0, 1.0])]
+    df = spark.createDataFrame(mixed, "vec_id bigint, embedding array<double>")
+    assert [a["vec_id"] for a in nearest_neighbours(df, F.col("vec_id") == 3).orderBy("rank").collect()][0] == 4
+    assert [a["vec_id"] for a in nearest_neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()][:1] == [2]
+
+
+def test_more_axes_as_tables_grow(spark, monkeypatch):
+    assert [neighbours.axes_for(n, 64) for n in (10, 128 * 4096, 128 * 4096 + 1, 128**2 * 4096 + 1, 10**15)] == [1, 1, 2, 3, neighbours.MOST_AXES]
+    r = np.random.default_rng(8)
+    # 600 groups of 20: neighbours are near, as those of embeddings are
+    centres = r.normal(size=(600, 16))
+    x = (np.repeat(centres, 20, axis=0) + 0.05 * r.normal(size=(12_000, 16))).astype(np.float32)
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(neighbours, "BUCKET_VECTORS", 4)
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 16)
+    assert neighbours.axes_for(len(x), 16) == 3
+    rows = nearest_neighbours(table(spark, vectors), F.col("vec_id") % 100 == 0).collect()
+    found = {}
+    for row in rows:
+        found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hits = [len(found.get(q, set()) & {i for i, _ in brute_fast(x, q)}) for q in range(0, 12_000, 100)]
+    assert sum(hits) / (10 * len(hits)) >= 0.9
+
+
+def test_a_hash_of_several_axes_probes_its_own_bucket_first():
+    r = np.random.default_rng(9)
+    h = CrossPolytope(12, axes=3)
+    v = r.normal(size=(50, 12))
+    for t in range(3):
+        near = h.near_buckets(v, t, 8)
+        assert near.shape == (50, 8) and (near[:, 0] == h.buckets(v, t)).all() and all(len(set(x)) == 8 for x in near.tolist())
+        sums = h.scores(v, t, 0)[:, :, None, None] + h.scores(v, t, 1)[:, None, :, None] + h.scores(v, t, 2)[:, None, None, :]
+        every = sums.reshape(50, -1)
+        best = -np.sort(-every, axis=1)[:, :8]  # sums may tie
+        assert np.allclose(-np.sort(-np.take_along_axis(every, near, 1), axis=1), best, rtol=0, atol=1e-12)
+
+
+def test_queries_and_vectors_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 20)
+    r = np.random.default_rng(10)
+    vectors = [(i, r.normal(size=5).tolist()) for i in range(150)] + [(1000 + i, r.normal(size=3).tolist()) for i in range(30)]
+    rows = nearest_neighbours(table(spark, vectors), F.col("vec_id") % 3 == 0).collect()
+    got = {}
+    for x in sorted(rows, key=lambda x: (x["query_id"], x["rank"])):
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    assert got == {q: [i for i, _ in brute(vectors, q)] for q, _ in vectors if q % 3 == 0}
