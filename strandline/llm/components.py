@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Staging
+from .staging import Staging, join_skewed
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,9 +17,8 @@ def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFram
 
     Each step attaches neighbours to the smallest one around; the number of
     rounds grows with the logarithm of the nodes squared at most. Minima are
-    aggregated before the shuffle and joined from written tables, so a node
-    with very many links can be split over tasks. Links to null or to itself
-    say nothing.
+    aggregated before the shuffle, and the links of a node with very many are
+    joined where they are. Links to null or to itself say nothing.
     """
     edges = staging.save(
         links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -29,11 +28,11 @@ def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFram
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staging.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = staging.save(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = staging.save(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = staging.save(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
+        least = staging.save(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = staging.save(join_skewed(both, least, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = staging.save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = join_skewed(large, least, "a", "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = staging.save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         after = _state(edges)
         if after == before:
             break

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+#: Words of more bytes are hashed by a digest: a polynomial modulo 2^64 tells words apart that nobody built to defeat it,
+#: and such words are long.
+LONG_WORD = 256
 #: Bytes of text hashed at once; a longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -53,6 +57,9 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # every word's bytes as a polynomial, taken from running sums and shifted back to power 0
     running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])))
     words = mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX[2])
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        words[i] = np.frombuffer(digest, np.uint64)[0]
     limits = np.cumsum([len(t) + 1 for t in texts])
     return words, np.diff(np.searchsorted(starts, limits, side="left"), prepend=0)
 

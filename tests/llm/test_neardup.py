@@ -153,3 +153,60 @@ def test_odd_rows(docs):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6]
     assert one_of_each(df.limit(0)).count() == 0
+
+
+def test_rows_in_a_large_bucket_of_near_copies(spark, docs, monkeypatch):
+    """Near-copies meet pivots first; what is then compared in blocks is little, and nothing is lost by it."""
+    from strandline.llm import neardup
+
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 16)
+    sizes = {"pairs": 0, "dealt": 0}
+    left_over, left_pairs = neardup._left_over, neardup._left_pairs
+
+    def counted(name, f):
+        def run(*args):
+            out = f(*args)
+            sizes[name] += out.count()
+            return out
+
+        return run
+
+    monkeypatch.setattr(neardup, "_left_over", counted("dealt", left_over))
+    monkeypatch.setattr(neardup, "_left_pairs", counted("pairs", left_pairs))
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[:150] + [f"y{i}z{k}" for k in range(150)])) for i in range(40)]  # alike, but not enough
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(docs([(*x, "en", "s") for x in rows]), words=3, percent=85).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in rows}
+    # blocks alone would take 400 * 400 / 16 rows in every band
+    assert sizes["dealt"] < 400 * 400 / 16 and sizes["pairs"] < 400 * 36
+
+
+def test_very_long_sets_share_a_wide_circle(monkeypatch):
+    from strandline.llm import neardup
+
+    r = np.random.default_rng(2)
+    monkeypatch.setattr(neardup, "CROWDED", 1000)
+    h = CirculantMinHash(percent=80)
+    for n in (700, 900, 1000, 1001, 1200, 5000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(n * 0.97)], r.integers(0, 2**63, max(1, int(n * 0.02))).astype(np.uint64)]))
+        assert set(h.keys(a)) & set(h.keys(b))
+        assert not set(h.keys(a)) & set(h.keys(np.unique(r.integers(0, 2**63, n).astype(np.uint64))))
+        assert len(h.keys(a)) == BANDS * ((n <= 1000) + (n >= 800))
+    assert abs(np.mean([(h.wide_signature(x) == h.wide_signature(np.concatenate([x[:900], y]))).mean() for x, y in ((r.integers(0, 2**63, 1000).astype(np.uint64), r.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(20))]) - 900 / 1100) < 0.03
+
+
+def test_built_words_are_told_apart():
+    a, b = "0", "1"
+    for _ in range(11):
+        a, b = a + b, b + a  # sequences on which polynomials modulo powers of two agree
+    (x,), (y,) = shingle_sets([a, b], 3)
+    assert x != y and len(a) == 2048
