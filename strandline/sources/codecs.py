@@ -25,7 +25,8 @@ def compress(method: str, data: bytes) -> bytes:
     return GENERAL[method][0](data)
 
 
-def decompress(method: str, data: bytes) -> bytes:
+def decompress(method: str, data: bytes, size: int | None = None) -> bytes:
+    """What a block holds; some methods must be told its size."""
     return rans_decode(data) if method.startswith("rans") else GENERAL[method][1](data)
 
 

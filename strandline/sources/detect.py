@@ -42,20 +42,22 @@ def head_of(path: str, n: int = 4096) -> bytes:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats bam, bcf and bgzf_lines known to a session, and let Spark tell them its filters."""
+    """Make the formats bam, bcf, cram and bgzf_lines known to a session, and let Spark tell them its filters."""
     from .bam import BamSource
     from .bcf import BcfSource
+    from .cram import CramSource
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (BamSource, BcfSource, bgzf.BgzfLines):
+    for source in (BamSource, BcfSource, CramSource, bgzf.BgzfLines):
         spark.dataSource.register(source)
 
 
-def read_alignments(spark: SparkSession, path: str, regions: Sequence[str] = ()) -> DataFrame:
-    """Alignment records of SAM, compressed SAM or BAM files, in the SAM source's columns that both have.
+def read_alignments(spark: SparkSession, path: str, regions: Sequence[str] = (), reference: Sequence[str] = ()) -> DataFrame:
+    """Alignment records of SAM, compressed SAM, BAM or CRAM files, in the SAM source's columns that all have.
 
-    With ``regions`` only records that meet one come; of BAM and compressed SAM
-    with an index beside them only the blocks that may hold some are read.
+    With ``regions`` only records that meet one come; of files with an index
+    beside them, which compressed SAM and BAM must have then, only the blocks
+    that may hold some are read. CRAM may need ``reference``, FASTA files.
     """
     from ..functions import records
     from . import text
@@ -65,6 +67,9 @@ def read_alignments(spark: SparkSession, path: str, regions: Sequence[str] = ())
     if kind == "bam":
         source = spark.read.format("bam")
         return (source.option("regions", wanted) if regions else source).load(path)
+    if kind == "cram":
+        source = spark.read.format("cram").option("reference", json.dumps(list(reference)))
+        return (source.option("regions", wanted) if regions else source).load(path)
     if kind == "sam":
         rows = text.sam_fields(text.lines(spark, path))
     elif kind == "sam.gz":

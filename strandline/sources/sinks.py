@@ -44,13 +44,13 @@ def write_lines(records: DataFrame, folder: str, header: list[str] = ()) -> None
     records.mapInArrow(run, "value string").write.text(folder)
 
 
-def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: Callable[[object], Iterable[bytes]]) -> list[str]:
-    """A blocked-gzip file for each partition, in its rows' order: ``head``, then what ``encode`` makes of each Arrow batch.
+def write_parts(df: DataFrame, folder: str, suffix: str, body: Callable[[Iterable], Iterable[bytes]]) -> list[str]:
+    """A file for each partition, of the bytes that ``body`` makes of its Arrow batches. Returns the paths, by partition.
 
     A task writes under a name of its own in a hidden folder. Its name counts
     only if Spark takes the task's result, which happens once a partition
     however often a task runs; the driver then gives the file its name and
-    removes what other attempts left. Returns the files' paths, by partition.
+    removes what other attempts left.
     """
     import uuid
 
@@ -64,17 +64,10 @@ def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: C
         part = TaskContext.get().partitionId()
         system, inner = filesystem(hidden)
         system.create_dir(inner, recursive=True)
-        name, held = f"{part}-{uuid.uuid4().hex}", bytearray(head)
+        name = f"{part}-{uuid.uuid4().hex}"
         with system.open_output_stream(f"{inner}/{name}", compression=None) as out:
-            for b in batches:
-                for piece in encode(b):
-                    held += piece
-                    while len(held) >= bgzf.PAYLOAD:
-                        out.write(bgzf.frame(bytes(held[: bgzf.PAYLOAD])))
-                        del held[: bgzf.PAYLOAD]
-            if held:
-                out.write(bgzf.frame(bytes(held)))
-            out.write(bgzf.END_BLOCK)
+            for piece in body(batches):
+                out.write(piece)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name])], names=["part", "name"])
 
     system, inner = filesystem(folder.rstrip("/"))
@@ -89,6 +82,24 @@ def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: C
     return paths
 
 
+def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: Callable[[object], Iterable[bytes]]) -> list[str]:
+    """Blocked-gzip files by :func:`write_parts`: ``head``, then what ``encode`` makes of each Arrow batch, then the end block."""
+
+    def body(batches) -> Iterable[bytes]:
+        held = bytearray(head)
+        for b in batches:
+            for piece in encode(b):
+                held += piece
+                while len(held) >= bgzf.PAYLOAD:
+                    yield bgzf.frame(bytes(held[: bgzf.PAYLOAD]))
+                    del held[: bgzf.PAYLOAD]
+        if held:
+            yield bgzf.frame(bytes(held))
+        yield bgzf.END_BLOCK
+
+    return write_parts(df, folder, suffix, body)
+
+
 def write_bgzf(records: DataFrame, folder: str, header: list[str] = (), suffix: str = "gz") -> list[str]:
     """Blocked-gzip files of the one column's records, a file a partition, each with header and end block; their paths."""
 
