@@ -20,14 +20,38 @@ class CodecError(ValueError):
 
 
 def compress(method: str, data: bytes) -> bytes:
+    """A block by ``rans0``, ``rans1``, a general compressor, or ``nx16``, ``arith``, ``names``, ``fqzcomp`` (with + and flags after the first two)."""
     if method in ("rans0", "rans1"):
         return rans_encode(data, int(method[-1]))
-    return GENERAL[method][0](data)
+    if method in GENERAL:
+        return GENERAL[method][0](data)
+    name, _, flags = method.partition("+")
+    if name in ("names", "fqzcomp"):
+        from . import adaptive, names
+
+        return names.encode(data) if name == "names" else adaptive.encode_qualities(data)
+    return _later(name).encode(data, int(flags or 0))
 
 
 def decompress(method: str, data: bytes, size: int | None = None) -> bytes:
     """What a block holds; some methods must be told its size."""
-    return rans_decode(data) if method.startswith("rans") else GENERAL[method][1](data)
+    if method.startswith("rans"):
+        return rans_decode(data)
+    if method in GENERAL:
+        return GENERAL[method][1](data)
+    name = method.partition("+")[0]
+    if name == "fqzcomp":
+        return _later("arith").decode_qualities(data, size)
+    return _later(name).decode(data, size)
+
+
+def _later(name: str):
+    from . import adaptive, names, nx16
+
+    found = {"nx16": nx16, "arith": adaptive, "names": names}
+    if name not in found:
+        raise CodecError(f"unknown method {name}")
+    return found[name]
 
 
 def normalised(counts: Counter[int]) -> dict[int, int]:

@@ -85,7 +85,7 @@ def block_bytes(kind: int, number: int, data: bytes, method: str = "gzip") -> by
     if data and method != "raw" and kind not in (CORE, SLICE_HEADER, COMPRESSION_HEADER):
         packed = codecs.compress(method, data)
         if len(packed) < len(data):
-            code, body = next(k for k, v in METHODS.items() if v == {"rans1": "rans0"}.get(method, method)), packed
+            code, body = next(k for k, v in METHODS.items() if v == {"rans1": "rans0"}.get(method, method.partition("+")[0])), packed
     out = bytes([code, kind]) + codecs.itf8(number) + codecs.itf8(len(body)) + codecs.itf8(len(data)) + body
     return out + struct.pack("<I", zlib.crc32(out))
 
