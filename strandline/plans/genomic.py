@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignments, features, formats, regions, sequences, variants  # noqa: F401
+from . import alignments, containers, features, formats, regions, sequences, variants  # noqa: F401
 from .registry import ORACLES, PYTHON, QUERIES
 
 __all__ = ["ORACLES", "PYTHON", "QUERIES"]

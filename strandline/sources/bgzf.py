@@ -6,7 +6,7 @@ import json
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -205,6 +205,44 @@ def find_block(file, offset: int) -> int | None:
     return None
 
 
+def read_from(file, offset: int, n: int, index: Sequence[tuple[int, int]] = ((0, 0),)) -> bytes:
+    """``n`` bytes of the contents from an uncompressed offset on, less at the end.
+
+    ``index`` has (compressed, uncompressed) offsets of blocks in order; what
+    lies before the last one that isn't beyond the offset isn't read.
+    """
+    k = bisect_right([u for _, u in index], offset) - 1
+    start, base = index[k]
+    out = bytearray()
+    for _, _, data in BlockReader(file, start):
+        if len(out) >= n:
+            break
+        out += data[max(0, offset - base) :][: n - len(out)]
+        base += len(data)
+    return bytes(out)
+
+
+def read_last(file, n: int, index: Sequence[tuple[int, int]]) -> bytes:
+    """The last ``n`` bytes of the contents, by the blocks' offsets."""
+    start, size = index[-1]
+    size += sum(len(data) for _, _, data in BlockReader(file, start))
+    return read_from(file, max(0, size - n), n, index)
+
+
+def with_head(file, head: bytes, begin: int, within: int) -> Iterator[bytes]:
+    """A file's blocks with other contents before a place (a block's offset and a place in it); blocks behind it are copied as they are."""
+    after, rest = begin, b""
+    for _, after, data in BlockReader(file, begin):
+        rest = data[within:]
+        break
+    for k in range(0, len(head), PAYLOAD):
+        yield frame(head[k : k + PAYLOAD])
+    for k in range(0, len(rest), PAYLOAD):
+        yield frame(rest[k : k + PAYLOAD])
+    for at in range(after, file.size(), 1 << 20):
+        yield file.read_at(min(1 << 20, file.size() - at), at)
+
+
 @dataclass
 class FileRange(InputPartition):
     """Blocks that begin in a range of a file; with ``chunks``, ranges of virtual offsets instead."""

@@ -688,7 +688,9 @@ class _Writer:
 
 
 def _last(r: dict) -> int:
-    return (r.get("pos") or 0) + max(1, sum(int(n) for n, _ in re.findall(r"(\d+)([MDN=X])", r.get("cigar") or ""))) - 1
+    """Last position; an unmapped read has its place only, as its operations aren't kept."""
+    covered = 0 if r["flags"] & _UNMAPPED else sum(int(n) for n, _ in re.findall(r"(\d+)([MDN=X])", r.get("cigar") or ""))
+    return (r.get("pos") or 0) + max(1, covered) - 1
 
 
 def _links(rows: Sequence[dict], ends: Sequence[int]) -> dict[int, int | None]:

@@ -41,6 +41,43 @@ def head_of(path: str, n: int = 4096) -> bytes:
     return file.read_at(min(n, file.size()), 0)
 
 
+def read_header(path: str):
+    """The header of an alignment file, or of a folder's first one; its records aren't read."""
+    from . import bam, cram
+    from .indexes import SUFFIXES
+
+    first = next(p for p, _ in files.list_files(path) if not p.endswith(SUFFIXES))
+    file, kind = files.open_file(first), alignment_format(head_of(first))
+    if kind == "bam":
+        return bam.read_header(file)[0]
+    if kind == "cram":
+        return cram.Containers(file).sam_header()
+    return cram.parse_sam_header("\n".join(_lines_while(file, kind, "@")) + "\n")
+
+
+def read_variant_header(path: str) -> list[str]:
+    """The header lines of a variant file, or of a folder's first one."""
+    from . import bcf
+    from .indexes import SUFFIXES
+
+    first = next(p for p, _ in files.list_files(path) if not p.endswith(SUFFIXES))
+    file, kind = files.open_file(first), variant_format(head_of(first))
+    return bcf.read_header(file)[0].lines if kind == "bcf" else _lines_while(file, kind, "#")
+
+
+def _lines_while(file, kind: str, mark: str) -> list[str]:
+    """Lines from a file's beginning as long as they begin with a mark; text or blocked gzip, read piece by piece."""
+    pieces = (data for _, _, data in bgzf.BlockReader(file)) if kind.endswith(".gz") else (file.read_at(min(1 << 16, file.size() - at), at) for at in range(0, file.size(), 1 << 16))
+    out, held = [], b""
+    for piece in pieces:
+        *whole, held = (held + piece).split(b"\n")
+        for line in whole:
+            if not line.startswith(mark.encode()):
+                return out
+            out.append(line.decode().removesuffix("\r"))
+    return out + ([held.decode()] if held.startswith(mark.encode()) else [])
+
+
 def register(spark: SparkSession) -> None:
     """Make the formats bam, bcf, cram and bgzf_lines known to a session, and let Spark tell them its filters."""
     from .bam import BamSource

@@ -237,6 +237,22 @@ def gzi_of(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def offsets_of(file) -> list[tuple[int, int]]:
+    """(compressed, uncompressed) offsets of a file's blocks that hold something, by their headers and trailers alone."""
+    out, at, start, piece = [], 0, 0, 1 << 22
+    while at < file.size():
+        data = file.read_at(min(piece, file.size() - at), at)
+        spans, used = bgzf.discover(data, at)
+        if not used:
+            raise bgzf.BgzfError("file ends within a block")
+        for s in spans:
+            if s.inflated:
+                out.append((s.offset, start))
+            start += s.inflated
+        at += used
+    return out or [(0, 0)]
+
+
 def read_bins(spark: SparkSession, path: str) -> DataFrame:
     """One row for each chunk of index files; an index is parsed by one task, as index files are small."""
 

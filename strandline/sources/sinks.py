@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import wrap
@@ -107,3 +107,42 @@ def write_bgzf(records: DataFrame, folder: str, header: list[str] = (), suffix:
         return (v.encode() + b"\n" for v in batch.column(0).to_pylist())
 
     return write_blocks(records, folder, suffix, "".join(f"{x}\n" for x in header).encode(), encode)
+
+
+def reheader(spark: SparkSession, path: str, folder: str, header: bytes, suffix: str) -> list[str]:
+    """Blocked files with another header, their records as they were: blocks without a header are copied byte by byte.
+
+    ``header`` is a BAM header, or lines for text that begin with its comment
+    mark. A task takes a file.
+    """
+    from . import bam, files
+    from .indexes import SUFFIXES
+
+    listed = [(p,) for p, _ in files.list_files(path) if not p.endswith(SUFFIXES)]
+
+    def body(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                file = files.open_file(p)
+                if header[:4] == bam.MAGIC:
+                    _, begin, within = bam.read_header(file)
+                else:
+                    begin, within = _after_header(file, header[:1])
+                yield from bgzf.with_head(file, header, begin, within)
+
+    given = spark.createDataFrame(listed, "path string").repartitionByRange(max(1, len(listed)), "path")
+    return write_parts(given, folder, suffix, body)
+
+
+def _after_header(file, mark: bytes) -> tuple[int, int]:
+    """(block, place in it) where the first line without a mark begins."""
+    c, at = bgzf.Contents(file), 0
+    while c.more():
+        while (cut := c.data.find(b"\n", at)) >= 0 or at < len(c.data):
+            if c.data[at : at + 1] != mark:
+                v = c.virtual(at)
+                return v >> 16, v & 0xFFFF
+            if cut < 0:
+                break
+            at = cut + 1
+    return c.after, 0

@@ -314,9 +314,20 @@ def read_fastq_fai(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="name string, length bigint, offset bigint, line_bases bigint, line_width bigint, qual_offset bigint", quote="")
 
 
+_CRAI = "ref_id int, start bigint, span bigint, offset bigint, landmark bigint, slice_length bigint"
+
+
 def read_crai(spark: SparkSession, path: str) -> DataFrame:
     """CRAI rows; the file must end in .gz to be read as compressed. -1 is no reference, 0 no start."""
-    raw = spark.read.csv(path, sep="\t", schema="ref_id int, start bigint, span bigint, offset bigint, landmark bigint, slice_length bigint", quote="")
+    return _crai_nulls(spark.read.csv(path, sep="\t", schema=_CRAI, quote=""))
+
+
+def crai_fields(lines: DataFrame) -> DataFrame:
+    """CRAI rows of lines (``value``) that were decompressed otherwise."""
+    return _crai_nulls(lines.select(F.from_csv("value", _CRAI, {"sep": "\t"}).alias("r")).select("r.*"))
+
+
+def _crai_nulls(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ref_id", F.nullif("ref_id", F.lit(-1))).withColumn("start", F.nullif("start", F.lit(0).cast("bigint")))
 
 
