@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coords
 from ..functions.coords import Region
 from ..functions.records import DEPTH_EXCLUDED, FLAGS, NOT_PRIMARY, alignment_end, has, percentage, read_reverse_complement, sequence_digest
+from .joins import small_side
 
 LEAST_HIGH_QUALITY = 5
 
@@ -61,7 +62,7 @@ def idxstats(alignments: DataFrame, references: DataFrame) -> DataFrame:
     """Per reference its length and mapped and unmapped reads placed on it; '*' counts reads without a place."""
     unmapped = has(F.col("flags"), "unmapped")
     counts = alignments.groupBy("ref_id").agg(_count(~unmapped).alias("mapped"), _count(unmapped).alias("unmapped"), F.count("*").alias("n"))
-    placed = references.join(F.broadcast(counts), "ref_id", "left").select(
+    placed = references.join(counts, "ref_id", "left").select(
         "ref_name", "ref_length", F.coalesce("mapped", F.lit(0)).cast("bigint").alias("mapped"), F.coalesce("unmapped", F.lit(0)).cast("bigint").alias("unmapped")
     )
     rest = counts.where("ref_id is null").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("unmapped"))
@@ -117,8 +118,8 @@ def named(alignments: DataFrame, names: DataFrame) -> DataFrame:
 
 def with_references(alignments: DataFrame, references: DataFrame) -> DataFrame:
     """Names and lengths of the read's and its mate's reference; an error for an id that the header lacks."""
-    refs = F.broadcast(references)
-    mates = F.broadcast(references.select(F.col("ref_id").alias("mate_ref_id"), F.col("ref_name").alias("mate_ref_name")))
+    refs = small_side(references)
+    mates = small_side(references.select(F.col("ref_id").alias("mate_ref_id"), F.col("ref_name").alias("mate_ref_name")))
     out = alignments.join(refs, "ref_id", "left").join(mates, "mate_ref_id", "left")
     lost = (F.col("ref_id").isNotNull() & F.col("ref_name").isNull()) | (F.col("mate_ref_id").isNotNull() & F.col("mate_ref_name").isNull())
     return out.withColumn("ref_name", F.when(lost, F.raise_error(F.lit("reference not in the header"))).otherwise(F.col("ref_name")))
@@ -236,7 +237,7 @@ def template_length(start: Column, end: Column, mate_start: Column, mate_end: Co
 
 def split_by_group(alignments: DataFrame, groups: DataFrame) -> DataFrame:
     """Reads with a read group, checked against the header's; write ``partitionBy('rg')`` to split them."""
-    known = F.broadcast(groups.select("rg", F.lit(True).alias("known")))
+    known = small_side(groups.select("rg", F.lit(True).alias("known")))
     rows = alignments.where(F.col("rg").isNotNull()).join(known, "rg", "left")
     return rows.withColumn("rg", F.when(F.col("known"), F.col("rg")).otherwise(F.raise_error(F.lit("unknown read group")))).drop("known")
 

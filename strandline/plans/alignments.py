@@ -9,6 +9,7 @@ from ..functions import coords, records
 from ..functions.coords import Region, parse_region
 from ..operators import alignment as ops
 from ..operators import indexing
+from ..operators.joins import small_side
 from .registry import query
 from .views import READ_LENGTH_SQL, SPAN_SQL, VIEWS, references, sql, view
 
@@ -233,8 +234,11 @@ def mate_links(spark: SparkSession, d: str) -> DataFrame:
 @query("jn11_read_groups", A + "SELECT rg, count(*) AS n, dense_rank() OVER (ORDER BY rg) - 1 AS rg_id FROM alignments GROUP BY rg")
 def read_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = alignments(spark, d)
-    groups = spark.createDataFrame([(i, g) for i, g in enumerate(sorted(r["rg"] for r in rows.select("rg").distinct().collect()))], "rg_id bigint, rg string")
-    joined = rows.join(F.broadcast(groups), "rg", "left").withColumn("rg_id", F.coalesce("rg_id", F.raise_error(F.lit("unknown read group")).cast("bigint")))
+    from pyspark.sql import Window
+
+    # a header's groups, numbered in order
+    groups = rows.select("rg").distinct().withColumn("rg_id", (F.row_number().over(Window.orderBy("rg")) - 1).cast("bigint"))
+    joined = rows.join(small_side(groups), "rg", "left").withColumn("rg_id", F.coalesce("rg_id", F.raise_error(F.lit("unknown read group")).cast("bigint")))
     return joined.groupBy("rg", "rg_id").agg(F.count("*").alias("n")).select("rg", "n", "rg_id")
 
 
@@ -261,15 +265,6 @@ def coordinate_order(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("last_row", F.sum("n").over(w)).select("ref_id", (F.col("last_row") - F.col("n") + 1).alias("first_row"), "last_row")
 
 
-@query("flt19_sorted_guard", A + ", w AS (SELECT ref_id, pos, lag(pos) OVER (PARTITION BY ref_id ORDER BY pos) AS before FROM alignments) SELECT ref_id, coalesce(bool_and(before <= pos), true) AS sorted_ok FROM w WHERE ref_id IS NOT NULL GROUP BY 1")
-def sorted_guard(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = alignments(spark, d).where("ref_id is not null")
-    before = F.lag("pos").over(Window.partitionBy("ref_id").orderBy("pos"))
-    return rows.select("ref_id", (before <= F.col("pos")).alias("ok")).groupBy("ref_id").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("sorted_ok"))
-
-
 @query("prj07_fn21_cigar_ops", A + r""", o AS (SELECT unnest(regexp_extract_all(cigar, '(\d+)([MIDNSHP=X])', 2)) AS op, unnest(regexp_extract_all(cigar, '(\d+)([MIDNSHP=X])', 1))::BIGINT AS len FROM alignments)
 SELECT op, count(*) AS n, sum(len)::BIGINT AS bases, op IN ('M','I','S','=','X') AS consumes_read, op IN ('M','D','N','=','X') AS consumes_reference FROM o GROUP BY op""")
 def cigar_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -334,12 +329,7 @@ def reference_stats(spark: SparkSession, d: str) -> DataFrame:
     return indexing.reference_stats(_offsets(spark, d))
 
 
-@query("agg06_count_from_index", A + "SELECT count(*) FILTER (flags & 4 = 0 AND ref_id IS NOT NULL) AS mapped FROM alignments")
-def count_from_index(spark: SparkSession, d: str) -> DataFrame:
-    return indexing.reference_stats(_offsets(spark, d)).where("ref_id is not null").agg(F.sum("mapped").alias("mapped"))
-
-
-@query("agg16_agg17_bin_chunks", A + ", " + _X + """, y AS (SELECT *, CASE WHEN (pos-1)>>14 = (aend-1)>>14 THEN 4681 + ((pos-1)>>14) WHEN (pos-1)>>17 = (aend-1)>>17 THEN 585 + ((pos-1)>>17) ELSE 73 + ((pos-1)>>20) END AS bin FROM x WHERE ref_id IS NOT NULL AND pos IS NOT NULL),
+@query("agg17_bin_chunks", A + ", " + _X + """, y AS (SELECT *, CASE WHEN (pos-1)>>14 = (aend-1)>>14 THEN 4681 + ((pos-1)>>14) WHEN (pos-1)>>17 = (aend-1)>>17 THEN 585 + ((pos-1)>>17) ELSE 73 + ((pos-1)>>20) END AS bin FROM x WHERE ref_id IS NOT NULL AND pos IS NOT NULL),
 m AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY ref_id, bin ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS island FROM y),
 n AS (SELECT *, sum(island) OVER (PARTITION BY ref_id, bin ORDER BY b, e RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m)
 SELECT ref_id, bin::INTEGER AS bin, min(b) AS "begin", max(e) AS "end", count(*) AS merged FROM n GROUP BY ref_id, bin, g""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records
 from ..operators import alignment as ops
 from ..operators import indexing
+from ..operators.joins import small_side
 from ..sources import bam, bcf, bgzf, detect, files, indexes, remote, sinks, text
 from .registry import query
 from .scratch import folder
@@ -94,7 +95,7 @@ def any_alignments(spark: SparkSession, d: str) -> DataFrame:
     # BAM in, SAM out, both read by one entry
     source, target = _bam(spark, d), folder(spark, "rewritten")
     rows = detect.read_alignments(spark, source)
-    mates = F.broadcast(references(spark).select(F.col("ref_id").alias("mate_ref_id"), F.col("ref_name").alias("mate_ref_name")))
+    mates = small_side(references(spark).select(F.col("ref_id").alias("mate_ref_id"), F.col("ref_name").alias("mate_ref_name")))
     rows = rows.withColumns({"nh": F.substring(rows["tags"]["NH"], 3, 9), "rg": F.substring(rows["tags"]["RG"], 3, 9)}).join(mates, "mate_ref_id", "left")
     sinks.write_lines(rows.select(ops.sam_line(rows)), target, SAM_HEADER)
     one = lambda kind, path: detect.read_alignments(spark, path).agg(F.count("*").alias("n"), F.sum("pos").alias("positions")).select(F.lit(kind).alias("kind"), "n", "positions")
@@ -226,27 +227,29 @@ def cram_index_rows(spark: SparkSession, d: str) -> DataFrame:
     return text.read_crai(spark, path).select("ref_id", "start", "span", "offset")
 
 
-@query("src33_src34_src35_snk15_index_files", "SELECT * FROM (VALUES (0, 4681, 100::BIGINT, 900::BIGINT), (0, 585, 50, 100), (1, 4682, 1000, 2000)) t(ref_id, bin, chunk_begin, chunk_end)", python=True)
-def index_files(spark: SparkSession, d: str) -> DataFrame:
-    from pyarrow import fs
+@query("src08_src09_src39_snk13_block_spans", f"""WITH t AS (SELECT count(*) * 10 AS bytes FROM orders)
+SELECT bytes, ceil(bytes / {bgzf.PAYLOAD})::BIGINT AS blocks, least(bytes, {bgzf.PAYLOAD}) AS largest, ceil(bytes / {bgzf.PAYLOAD})::BIGINT AS gzi_rows, true AS sound FROM t""", python=True)
+def block_spans(spark: SparkSession, d: str) -> DataFrame:
+    """A blocked file's blocks, found by their headers, inflated and checked; its offset index written and read."""
+    path = folder(spark, "blocks")
+    keys = spark.read.parquet(f"{d}/orders.parquet").select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
+    sinks.write_bgzf(keys.coalesce(1), path)
 
-    path = folder(spark, "bai")
-    index = indexes.Index(bins=[(0, 4681, 0, 100, 900), (0, 585, 0, 50, 100), (1, 4682, 0, 1000, 2000)], counts={0: (7, 1)}, linear={0: [50], 1: [0, 1000]}, unplaced=3)
-    system, inner = fs.FileSystem.from_uri(path)
-    system.create_dir(inner)
-    with system.open_output_stream(f"{inner}/x.bai") as out:
-        out.write(indexes.write_bai(index, 2))
-    return indexes.read_bins(spark, path).select("ref_id", "bin", "chunk_begin", "chunk_end")
+    def run(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                file = files.open_file(p)
+                data = file.read_at(file.size(), 0)
+                spans, used = bgzf.discover(data)
+                sizes = [len(bgzf.inflate(data[s.offset : s.offset + s.size], s)) for s in spans]
+                gzi = indexes.parse_gzi(indexes.write_gzi(indexes.offsets_of(file)))
+                sound = used == len(data) and sizes[-1] == 0 and [(s.offset, sum(sizes[:k])) for k, s in enumerate(spans[:-1])] == gzi
+                yield pa.RecordBatch.from_pylist([{"bytes": sum(sizes), "blocks": sum(n > 0 for n in sizes), "largest": max(sizes), "gzi_rows": len(gzi), "sound": sound}])
 
-@query("src08_src09_src39_snk13_block_spans", "SELECT 1::BIGINT AS one, 4::BIGINT AS blocks, 65280::BIGINT AS largest, 195841::BIGINT AS bytes, 3::BIGINT AS gzi_rows")
-def block_spans(spark: SparkSession, d: str) -> DataFrame:
-    data = bgzf.compress(bytes(range(256)) * 765 + b"x", end=True)
-    spans, used = bgzf.discover(data)
-    contents = b"".join(bgzf.inflate(data[s.offset : s.offset + s.size], s) for s in spans)
-    gzi = indexes.parse_gzi(indexes.write_gzi(indexes.gzi_of(data)))
-    rows = spark.createDataFrame([(s.offset, s.inflated) for s in spans], "offset bigint, inflated bigint")
-    return rows.where("inflated > 0").agg(F.lit(1).cast("bigint").alias("one"), F.count("*").alias("blocks"), F.max("inflated").alias("largest"), F.lit(len(contents) if used == len(data) else -1).cast("bigint").alias("bytes"), F.lit(len(gzi) - 1).cast("bigint").alias("gzi_rows"))
+    listed = spark.createDataFrame([(p,) for p, _ in files.list_files(path)], "path string")
+    return listed.mapInArrow(run, "bytes bigint, blocks bigint, largest bigint, gzi_rows bigint, sound boolean")
 
 
 @query("src40_src41_fn17_remote_requests", """SELECT * FROM (VALUES ('htsget', 'https://h/reads/a%20b?format=BAM&referenceName=sq2&start=999&end=1200'), ('refget', 'https://h/sequence/abc?start=4&end=9'), ('metadata', 'https://h/sequence/abc/metadata'), ('inline', 'hello')) t(kind, value)""")
@@ -319,15 +322,6 @@ def reference_repository(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("name", F.col("s").alias("start_"), records.subsequence(F.col("sequence"), F.col("s"), F.col("e")).alias("bases")).where("bases is not null")
 
 
-@query("qry03_container_query", AR + ", x AS (SELECT a.*, cast(substr(name, 2) AS BIGINT) % 50 AS container FROM alignments a), c AS (SELECT DISTINCT container FROM x WHERE ref_id = 2 AND pos BETWEEN 1000 AND 1200) SELECT x.name, x.pos FROM x JOIN c USING (container) WHERE ref_id = 2 AND pos BETWEEN 1000 AND 1200")
-def container_query(spark: SparkSession, d: str) -> DataFrame:
-    """Containers are chosen once by their index rows, however many slices of them match; records then decide."""
-    x = view(spark, d, "alignments").withColumn("container", F.substring("name", 2, 20).cast("bigint") % 50).withColumn("slice", F.col("container") * 10 + F.col("flags") % 10)
-    index = x.groupBy("container", "slice", "ref_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    chosen = index.where("ref_id = 2 and first <= 1200 and last >= 1000").select("container").distinct()
-    return x.join(chosen, "container", "left_semi").where("ref_id = 2 and pos between 1000 and 1200").select("name", "pos")
-
-
 @query("srt02_fn25_chunk_order", "SELECT l_suppkey AS bin, l_orderkey * 64 AS chunk, 18 + l_partkey % 500 + 8 AS framed, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_tax, l_discount) AS k FROM lineitem")
 def chunk_order(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("framed", F.lit(bgzf.framed_size(0)) + F.col("l_partkey") % 500)

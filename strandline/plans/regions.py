@@ -232,3 +232,36 @@ def split_outputs(spark: SparkSession, d: str) -> DataFrame:
     groups.select("rg", ops.sam_line(groups).alias("value")).write.partitionBy("rg").text(path)
     back = spark.read.text(path).withColumn("fields", F.split("value", "\t"))
     return back.groupBy(F.col("rg").cast("string").alias("rg")).agg(F.count("*").alias("n"), F.min(text.field(0)).alias("first_name"))
+
+
+def _bin_sql(start: str, end: str, min_shift: int, depth: int) -> str:
+    """The smallest bin of a closed interval, in SQL."""
+    tests = []
+    for level in range(depth, 0, -1):
+        shift = min_shift + 3 * (depth - level)
+        tests.append(f"WHEN ({start} - 1) >> {shift} = ({end} - 1) >> {shift} THEN {coords.level_offset(level)} + (({start} - 1) >> {shift})")
+    return f"CASE {' '.join(tests)} ELSE 0 END"
+
+
+_INDEXED = sql("alignments", "variants") + f""", x AS (SELECT ref_id, pos, {AEND} AS aend FROM alignments WHERE ref_id IS NOT NULL AND pos IS NOT NULL), y AS (SELECT chrom, pos, {END_SQL} AS e FROM variants)
+SELECT DISTINCT 'bai' AS kind, 'sq' || ref_id AS ref_name, ({_bin_sql('pos', 'aend', 14, 5)})::INTEGER AS bin FROM x
+UNION ALL SELECT DISTINCT 'csi', 'sq' || ref_id, ({_bin_sql('pos', 'aend', 6, 6)})::INTEGER FROM x
+UNION ALL SELECT DISTINCT 'tbi', chrom, ({_bin_sql('pos', 'e', 14, 5)})::INTEGER FROM y"""
+
+
+@query("src33_src34_src35_snk15_index_files", _INDEXED, python=True)
+def index_files(spark: SparkSession, d: str) -> DataFrame:
+    """The bins that BAI, CSI (narrow windows) and tabix files name, written and read back."""
+    path, vcf = sorted_bam(spark, d), _sorted_vcf(spark, d)
+    indexes.build(bam.indexable(spark, path), "bai", compact=False)
+    indexes.build(bam.indexable(spark, path), "csi", min_shift=6, depth=6, compact=False)
+    r = text.table_rows(spark.read.format("bgzf_lines").option("offsets", "true").load(vcf), "vcf")
+    pos = text.field(1).cast("bigint")
+    lines = r.select("path", text.field(0).alias("ref_name"), pos.alias("pos"), fields.variant_end(pos, text.field(3), text.field(7)).alias("aend"), F.lit(False).alias("unmapped"), "voffset", "vend")
+    indexes.build(lines, "tbi", indexes.ROLES["vcf"], compact=False)
+    out = None
+    for kind, where in (("bai", path), ("csi", path), ("tbi", vcf)):
+        name = F.coalesce("ref_name", F.concat(F.lit("sq"), "ref_id"))
+        bins = indexes.read_bins(spark, f"{where}/*.{kind}").select(F.lit(kind).alias("kind"), name.alias("ref_name"), "bin").distinct()
+        out = bins if out is None else out.unionByName(bins)
+    return out

@@ -64,7 +64,7 @@ def packed_bases(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select("name", records.unpack_bases(F.unhex(even), F.length("sequence")).alias("sequence"))
 
 
-@query("agg19_jn10_digests", R + "SELECT name, md5(upper(sequence)) AS digest, length(sequence)::BIGINT AS length FROM reads")
+@query("agg19_digests", R + "SELECT name, md5(upper(sequence)) AS digest, length(sequence)::BIGINT AS length FROM reads")
 def digests(spark: SparkSession, d: str) -> DataFrame:
     spaced = F.concat(F.lit(" "), F.lower("sequence"), F.lit("\n"))
     return reads(spark, d).select("name", records.sequence_digest(spaced).alias("digest"), F.length("sequence").cast("bigint").alias("length"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields, records
+from ..operators.joins import small_side
 from .registry import query
 from .views import sql, view
 
@@ -132,7 +133,7 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.bcf import string_map
 
     header = ['##FILTER=<ID=q10,Description="Quality below 10">', '##FILTER=<ID=s50,Description="Half",IDX=4>']
-    table = F.broadcast(spark.createDataFrame([(i, n) for n, i in string_map(header).items()], "idx int, filter_name string"))
+    table = small_side(spark.createDataFrame([(i, n) for n, i in string_map(header).items()], "idx int, filter_name string"))
     # to ids, as records hold them, and back to names
     as_ids = variants(spark, d).select(F.explode(fields.listed(F.col("filter"), ";")).alias("filter_name")).join(table, "filter_name").select("idx")
     return as_ids.join(table, "idx").groupBy("idx", "filter_name").agg(F.count("*").alias("n"))
