@@ -23,6 +23,8 @@ SCHEMA = {
     "mate_pos": "bigint", "tlen": "int", "sequence": "string", "quality": "string", "tags": "map<string,string>", "bin": "int",
     "voffset": "bigint", "vend": "bigint", "path": "string",
 }
+#: Compressed bytes of a file that a task takes.
+SPLIT_BYTES = 64 << 20
 #: Where a record stands in its file, and where its file is: only if asked for.
 PLACES = ("voffset", "vend", "path")
 #: Columns that stand at fixed places of a record.
@@ -295,7 +297,7 @@ class BamSource(DataSource):
 
     Options: ``columns`` (comma list of what is decoded; the default is all but
     ``voffset``, ``vend`` and ``path``, where a record begins and ends and in
-    which file), ``split_bytes`` (0, the default: a task a file), ``regions``
+    which file), ``split_bytes`` (64 MiB; 0: a task a file), ``regions``
     (a region or a JSON list of them, for files with an index beside them: only
     the blocks that may hold their records are read, and only records that meet
     one come). With splits a task finds the first record in its blocks as the
@@ -321,7 +323,7 @@ class BamSource(DataSource):
         return ", ".join(f"{k} {SCHEMA[k]}" for k in self._wanted())
 
     def reader(self, schema):
-        return _BamReader(self.options["path"], self._wanted(), int(self.options.get("split_bytes", 0)), schema, bgzf.regions_of(self.options))
+        return _BamReader(self.options["path"], self._wanted(), int(self.options.get("split_bytes", SPLIT_BYTES)), schema, bgzf.regions_of(self.options))
 
 
 class _BamReader(DataSourceReader):
@@ -570,7 +572,7 @@ def quickcheck(spark: SparkSession, path: str) -> DataFrame:
     return listed.mapInArrow(run, "path string, ok boolean")
 
 
-def indexable(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+def indexable(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """What :func:`indexes.build` takes, of BAM files whose headers say that they are in coordinate order; others raise."""
     headers = [read_header(files.open_file(p))[0] for p, _ in files.list_files(path) if not p.endswith(indexes.SUFFIXES)]
     if not all(coordinate_sorted(h.text) for h in headers):

@@ -287,9 +287,12 @@ PLACES = {"path": "string", "voffset": "bigint", "vend": "bigint", "ref_id": "in
 
 
 class BcfSource(DataSource):
-    """``format("bcf")``: variant records of binary files, a task a file.
+    """``format("bcf")``: variant records of binary files.
 
-    Options: ``places`` (true: also ``path``, ``voffset``, ``vend`` and
+    A file is split at blocks, some ``split_bytes`` a task (64 MiB). A task
+    finds the first record in its blocks as the first place from which a chain
+    of plausible records runs through ``PROOF`` bytes, reading on as long as
+    none is found, and takes the records that begin in its blocks. Options: ``places`` (true: also ``path``, ``voffset``, ``vend`` and
     ``ref_id``), ``regions`` (a region or a JSON list of them, for files with
     an index beside them: only the blocks that may hold their records are
     read; records that share a block or bin with a region come too).
@@ -304,20 +307,20 @@ class BcfSource(DataSource):
         return ", ".join(f"{k} {v}" for k, v in fields.items())
 
     def reader(self, schema):
-        return _BcfReader(self.options["path"], schema, bgzf.regions_of(self.options))
+        return _BcfReader(self.options["path"], schema, bgzf.regions_of(self.options), int(self.options.get("split_bytes", 64 << 20)))
 
 
 class _BcfReader(DataSourceReader):
     #: Compressed bytes of an index's chunks that one task reads, about.
     CHUNK_BYTES = 16 << 20
 
-    def __init__(self, path: str, schema, regions=()):
-        self.path, self.fields, self.regions = path, schema, list(regions)
+    def __init__(self, path: str, schema, regions=(), split: int = 64 << 20):
+        self.path, self.fields, self.regions, self.split = path, schema, list(regions), split
 
     def partitions(self):
         listed = [(p, n) for p, n in files.list_files(self.path) if not p.endswith(indexes.SUFFIXES)]
         if not self.regions:
-            return [bgzf.FileRange(p, 0, n) for p, n in listed]
+            return [bgzf.FileRange(p, at, min(at + self.split, n)) for p, n in listed for at in range(0, max(n, 1), self.split)]
         out = []
         for p, n in listed:
             header, _ = read_header(files.open_file(p))
@@ -331,7 +334,7 @@ class _BcfReader(DataSourceReader):
 
         schema, rows = to_arrow_schema(self.fields), []
         places = "voffset" in schema.names
-        for row, place in records(part.path, part.chunks):
+        for row, place in records(part.path, part.chunks, part.begin, part.end):
             rows.append(row + place if places else row)
             if len(rows) == 4096:
                 yield _batch(pa, schema, rows)
@@ -357,42 +360,92 @@ def read_header(file) -> tuple[Header, bgzf.Contents]:
     raise BcfError("no BCF header")
 
 
-def records(path: str, chunks: Sequence[tuple[int, int]] | None = None) -> Iterator[tuple[tuple, tuple]]:
-    """(a record's columns, its places), of a whole file or of ranges of virtual offsets."""
+#: Bytes that a chain of records must run through where a task begins within a file.
+PROOF = 1 << 17
+
+
+def records(path: str, chunks: Sequence[tuple[int, int]] | None = None, begin: int = 0, end: int | None = None) -> Iterator[tuple[tuple, tuple]]:
+    """(a record's columns, its places): of ranges of virtual offsets, or of the blocks that begin in a range of the file."""
     if chunks is not None and not chunks:
         return
     file = files.open_file(path)
     header, contents = read_header(file)
-    if chunks is None:
-        parts = [(contents, 0, None)]
-    else:
-        parts = [(bgzf.Contents(file, b >> 16), b & 0xFFFF, e) for b, e in chunks]
-    for c, at, end in parts:
-        if end is not None and not c.more():
+    if chunks is not None:
+        for low, high in chunks:
+            c = bgzf.Contents(file, low >> 16)
+            if c.more():
+                yield from _walk(path, header, c, low & 0xFFFF, high)
+        return
+    last = None if end is None or end >= file.size() else end << 16
+    if not begin:
+        yield from _walk(path, header, contents, 0, last)
+        return
+    first = bgzf.find_block(file, begin)
+    if first is None or first >= end:
+        return
+    if first << 16 <= contents.virtual(0):
+        # the header ends behind where this task's blocks begin
+        if contents.virtual(0) >> 16 < end:
+            yield from _walk(path, header, contents, 0, last)
+        return
+    c, at, need, done = bgzf.Contents(file, first), None, PROOF, False
+    while at is None:
+        done = done or not c.more()
+        if not done and len(c.data) < need:
             continue
-        while True:
-            over = False
-            while at + 8 <= len(c.data) and not over:
-                shared, indiv = struct.unpack_from("<II", c.data, at)
-                size = 8 + shared + indiv
-                begin = c.virtual(at)
-                over = end is not None and begin >= end
-                if over or at + size > len(c.data):
-                    break
-                data = bytes(c.data[at : at + size])
-                row, _ = decode(data, 0, header)
-                yield row, (path, begin, c.virtual(at + size), struct.unpack_from("<i", data, 8)[0])
-                at += size
-            if over:
-                break
-            c.drop(at)
-            at = 0
-            if not c.data and end is not None and c.after << 16 >= end:
-                break
-            if not c.more():
-                if c.data:
-                    raise BcfError("file ends within a record")
+        ends = c.held_before(end)
+        at, settled = _first_record(bytes(c.data), ends, header, done)
+        if at is None:
+            c.drop(settled)
+            if done or c.held_before(end) <= 0:
+                return
+            need = len(c.data) + PROOF
+    yield from _walk(path, header, c, at, last)
+
+
+def _first_record(data: bytes, ends: int, header: Header, done: bool) -> tuple[int | None, int]:
+    """(first place before ``ends`` where a record begins, or None; up to where places are settled)."""
+    contigs, samples = max(header.contigs, default=-1) + 1, len(header.samples)
+    for start in range(ends):
+        if not done and len(data) - start < PROOF:
+            return None, start
+        at, n = start, 0
+        while at + 32 <= len(data) and plausible(data, at, samples, contigs):
+            shared, indiv = struct.unpack_from("<II", data, at)
+            at, n = at + 8 + shared + indiv, n + 1
+        if done:
+            if n and at == len(data):
+                return start, start
+        elif at + 32 > len(data):  # what is left is too short to tell
+            return (start if n > 1 else None), start
+    return None, ends
+
+
+def _walk(path: str, header: Header, c: bgzf.Contents, at: int, end: int | None) -> Iterator[tuple[tuple, tuple]]:
+    """Records from a place on that begin before a virtual offset."""
+    while True:
+        over = False
+        while at + 8 <= len(c.data) and not over:
+            shared, indiv = struct.unpack_from("<II", c.data, at)
+            size = 8 + shared + indiv
+            begin = c.virtual(at)
+            over = end is not None and begin >= end
+            if over or at + size > len(c.data):
                 break
+            data = bytes(c.data[at : at + size])
+            row, _ = decode(data, 0, header)
+            yield row, (path, begin, c.virtual(at + size), struct.unpack_from("<i", data, 8)[0])
+            at += size
+        if over:
+            return
+        c.drop(at)
+        at = 0
+        if not c.data and end is not None and c.after << 16 >= end:
+            return
+        if not c.more():
+            if c.data:
+                raise BcfError("file ends within a record")
+            return
 
 
 def indexable(spark: SparkSession, path: str) -> DataFrame:

@@ -121,8 +121,17 @@ def has_end(data: bytes) -> bool:
     return data.endswith(END_BLOCK)
 
 
+#: Bytes of a file that isn't blocked that stand for a block.
+RAW_BLOCK = 1 << 15
+
+
+def is_raw(file) -> bool:
+    """Whether a file holds its contents as they are, not in blocks."""
+    return file.size() > 0 and file.read_at(min(2, file.size()), 0) != MAGIC[:2]
+
+
 class BlockReader:
-    """Blocks of a file from an offset on, read in pieces."""
+    """Blocks of a file from an offset on, read in pieces; a file that isn't blocked is read as if it were, block by block of ``RAW_BLOCK`` bytes."""
 
     PIECE = 1 << 20
 
@@ -132,6 +141,11 @@ class BlockReader:
 
     def __iter__(self) -> Iterator[tuple[int, int, bytes]]:
         """(offset of the block, offset of the next one, contents); an error if the file ends within a block."""
+        if is_raw(self.file):
+            for at in range(self.offset, self.size, RAW_BLOCK):
+                data = self.file.read_at(min(RAW_BLOCK, self.size - at), at)
+                yield at, at + len(data), data
+            return
         base, held = self.offset, b""
         while True:
             piece = self.file.read_at(min(self.PIECE, self.size - base - len(held)), base + len(held)) if base + len(held) < self.size else b""
@@ -191,6 +205,9 @@ class Contents:
 def find_block(file, offset: int) -> int | None:
     """The first block at or after ``offset``: one whose successor is a block too, or the end."""
     size = file.size()
+    if is_raw(file):
+        at = -(-offset // RAW_BLOCK) * RAW_BLOCK
+        return at if at < size else None
     data = file.read_at(min(size - offset, 4 << 16), offset)
     at = data.find(MAGIC)
     while at >= 0:

@@ -48,7 +48,7 @@ def read_header(path: str):
 
     first = next(p for p, _ in files.list_files(path) if not p.endswith(SUFFIXES))
     file, kind = files.open_file(first), alignment_format(head_of(first))
-    if kind == "bam":
+    if kind in ("bam", "raw bam"):
         return bam.read_header(file)[0]
     if kind == "cram":
         return cram.Containers(file).sam_header()
@@ -62,7 +62,7 @@ def read_variant_header(path: str) -> list[str]:
 
     first = next(p for p, _ in files.list_files(path) if not p.endswith(SUFFIXES))
     file, kind = files.open_file(first), variant_format(head_of(first))
-    return bcf.read_header(file)[0].lines if kind == "bcf" else _lines_while(file, kind, "#")
+    return bcf.read_header(file)[0].lines if kind in ("bcf", "raw bcf") else _lines_while(file, kind, "#")
 
 
 def _lines_while(file, kind: str, mark: str) -> list[str]:
@@ -90,7 +90,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_alignments(spark: SparkSession, path: str, regions: Sequence[str] = (), reference: Sequence[str] = ()) -> DataFrame:
-    """Alignment records of SAM, compressed SAM, BAM or CRAM files, in the SAM source's columns that all have.
+    """Alignment records of SAM, compressed SAM, BAM (blocked or not) or CRAM files, in the SAM source's columns that all have.
 
     With ``regions`` only records that meet one come; of files with an index
     beside them, which compressed SAM and BAM must have then, only the blocks
@@ -101,7 +101,7 @@ def read_alignments(spark: SparkSession, path: str, regions: Sequence[str] = (),
 
     register(spark)
     kind, wanted = alignment_format(head_of(path)), json.dumps(list(regions))
-    if kind == "bam":
+    if kind in ("bam", "raw bam"):
         source = spark.read.format("bam")
         return (source.option("regions", wanted) if regions else source).load(path)
     if kind == "cram":
@@ -124,7 +124,7 @@ def read_variants(spark: SparkSession, path: str, regions: Sequence[str] = ()) -
 
     register(spark)
     kind, wanted = variant_format(head_of(path)), json.dumps(list(regions))
-    if kind == "bcf":
+    if kind in ("bcf", "raw bcf"):
         source = spark.read.format("bcf")
         rows = (source.option("regions", wanted) if regions else source).load(path)
         end = bcf.last_position()
