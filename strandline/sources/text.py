@@ -233,6 +233,52 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, contig, name, start, bases): every sequence line with the 1-based position of its first base.
+
+    Contigs may be of any length: none is a value of its own. What a split
+    hands on to the next is how many contigs and bases it has, and how many
+    bases behind its last definition.
+    """
+    v, head = F.col("value"), F.col("value").startswith(">")
+    bases = F.regexp_replace(v, r"\s", "")
+    r = line_table(spark, path, name=F.when(head, F.regexp_extract(v, r"^>(\S+)", 1)), bases=F.when(~head & (F.length(bases) > 0), bases), head=head.cast("int"))
+    n = F.coalesce(F.length("bases"), F.lit(0)).cast("bigint")
+    upto = Window.partitionBy("path", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("contig", F.sum("head").over(upto)).withColumn("so_far", F.sum(n).over(upto))
+    r = r.withColumn("at_head", F.last(F.when(F.col("head") == 1, F.col("so_far")), ignorenulls=True).over(upto))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = r.groupBy("path", "split").agg(F.sum("head").alias("heads"), F.sum(n).alias("held"), F.max("at_head").alias("last_head"))
+    per = per.withColumn("held_before", F.coalesce(F.sum("held").over(before), F.lit(0))).withColumn("heads_before", F.coalesce(F.sum("heads").over(before), F.lit(0)))
+    # bases of the file before the last definition of the splits before
+    per = per.withColumn("open_at", F.last(F.col("held_before") + F.col("last_head"), ignorenulls=True).over(before))
+    r = r.join(small_side(per.select("path", "split", "held_before", "heads_before", "open_at")), ["path", "split"])
+    contig, from_head = F.col("contig") + F.col("heads_before"), F.coalesce(F.col("held_before") + F.col("at_head"), "open_at")
+    r = r.select("path", contig.alias("contig"), "name", "bases", (F.col("held_before") + F.col("so_far") - n - from_head + 1).alias("start"))
+    names = r.where("name is not null").select("path", "contig", "name")
+    return r.where("bases is not null and contig > 0").drop("name").join(small_side(names), ["path", "contig"]).select("path", "contig", "name", "start", "bases")
+
+
+def subsequences(lines: DataFrame, wanted: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+    """``wanted`` (name, start, end; closed) with ``bases`` from :func:`fasta_lines`; intervals that reach past their contig have none.
+
+    Lines and intervals meet in buckets of positions, so a contig with very
+    many intervals is many keys.
+    """
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor(b / bucket)))
+    pieces = lines.select("name", F.col("start").alias("at"), "bases", buckets(F.col("start"), F.col("start") + F.length("bases") - 1).alias("bucket"))
+    asked = wanted.select("name", "start", "end").distinct().withColumn("bucket", buckets(F.col("start"), F.col("end")))
+    met = asked.join(pieces, ["name", "bucket"]).where((F.col("at") <= F.col("end")) & (F.col("at") + F.length("bases") - 1 >= F.col("start")))
+    low, high = F.greatest("start", "at"), F.least(F.col("end"), F.col("at") + F.length("bases") - 1)
+    # a line that lies in two buckets of an interval counts in the first one it shares with it
+    met = met.where(F.col("bucket") == F.floor(low / bucket))
+    cut = F.substr("bases", (low - F.col("at") + 1).cast("int"), (high - low + 1).cast("int"))
+    found = met.groupBy("name", "start", "end").agg(F.sort_array(F.collect_list(F.struct(low.alias("p"), cut.alias("b")))).alias("x"))
+    bases = F.array_join(F.transform("x", lambda x: x["b"]), "")
+    whole = F.when(F.length(bases) == F.col("end") - F.col("start") + 1, bases)
+    return wanted.join(found.select("name", "start", "end", whole.alias("bases")), ["name", "start", "end"], "left")
+
+
 def fastq_records(rows: DataFrame) -> DataFrame:
     """(path, record, name, description, sequence, quality) of numbered lines; what follows the plus sign is ignored.
 

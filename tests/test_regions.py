@@ -183,3 +183,26 @@ def test_many_samples_and_tags(spark, tmp_path):
     assert len(row["samples"]) == 70_000
     (tags,) = spark.createDataFrame([("XB:B:i," + ",".join(["7"] * 70_000),)], "t string").select(text.sam_tags(F.array("t")).alias("m")).collect()
     assert len(tags["m"]["XB"]["b"]) == 70_000
+
+
+def test_contigs_over_many_splits(spark, tmp_path):
+    r = random.Random(7)
+    contigs = {f"c{k}": "".join(r.choices("ACGT", k=n)) for k, n in enumerate([5000, 1, 60, 61, 12_345, 59])}
+    for part in range(2):
+        body = "".join(f">{n}p{part} text\n" + "".join(s[k : k + 60] + "\n" for k in range(0, len(s), 60)) + "\n" * (part and len(s) == 60) for n, s in contigs.items())
+        (tmp_path / f"{part}.fa").write_text(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = text.fasta_lines(spark, f"file://{tmp_path}")
+        rows = lines.collect()
+        want = [(f"{r.choice(list(contigs))}p{r.randrange(2)}", a, a + r.randrange(400)) for a in (r.randrange(1, 9000) for _ in range(300))]
+        asked = spark.createDataFrame(want, "name string, start bigint, end bigint")
+        got = {(x["name"], x["start"], x["end"]): x["bases"] for bucket in (64,) for x in text.subsequences(lines, asked, bucket).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, s in contigs.items():
+        for part in range(2):
+            mine = sorted((x["start"], x["bases"]) for x in rows if x["name"] == f"{name}p{part}")
+            assert "".join(b for _, b in mine) == s and [a for a, _ in mine] == list(range(1, len(s) + 1, 60))
+    assert got == {(n, a, b): contigs[n[:-2]][a - 1 : b] if b <= len(contigs[n[:-2]]) else None for n, a, b in want}
