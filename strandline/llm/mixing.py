@@ -10,7 +10,7 @@ to the point where the words taken come nearest to the target.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,6 +135,23 @@ def _range() -> Column:
     return F.floor(F.col("q") * RANGES)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it and wherever a filter carries it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _ranked(most: int) -> Column:
+    """(whole, q): certain copies and the order statistic."""
+    u = F.col("u")
+
+    def statistic(p: Column) -> Column:
+        odds = (u / (1 - u)) / (p / (1 - p))
+        return F.when(p > 0, _bound(odds, lambda x: x / (1 + x)))
+
+    whole = lambda d: F.struct(F.floor(d).alias("whole"), _bound(d - F.floor(d), statistic).alias("q"))
+    return _bound(due(F.col("rate"), weight(F.col("size")), most), whole)
+
+
 def with_order(sized: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
     """Rows with their source's figures, their certain copies ``whole`` and the order statistic ``q``; null where nothing is left to take.
 
@@ -142,19 +159,19 @@ def with_order(sized: DataFrame, sources: DataFrame, most: int = MOST) -> DataFr
     """
     s = small_side(sources).alias("s")
     joined = sized.alias("d").join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *[f"s.{c}" for c in sources.columns if c != "source"])
-    joined = joined.withColumn("due", due(F.col("rate"), weight(F.col("size")), most))
-    joined = joined.withColumn("whole", F.floor("due")).withColumn("p", F.col("due") - F.col("whole"))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    return joined.withColumn("x", F.when(F.col("p") > 0, odds)).withColumn("q", F.col("x") / (1 + F.col("x")))
+    return joined.withColumn("ranked", _ranked(most)).select("*", "ranked.whole", "ranked.q").drop("ranked")
 
 
-def copies() -> Column:
+def copies(most: int = MOST) -> Column:
     """How often a row of :func:`with_order` over a finished plan is taken."""
-    here = _range()
-    # ranges before the border are in, the border's rows up to q_in; without a border (nothing over the rest) all are in
-    more = F.when(F.col("q").isNull(), 0).when(F.col("range").isNull() | (here < F.col("range")), 1)
-    more = more.when((here == F.col("range")) & (F.col("q") <= F.col("q_in")), 1).otherwise(0)
-    return F.col("whole") + more
+
+    def taken(r: Column) -> Column:
+        q, here = r["q"], F.floor(r["q"] * RANGES)
+        # ranges before the border are in, the border's rows up to q_in; without a border (nothing over the rest) all are in
+        more = F.when(q.isNull(), 0).when(F.col("range").isNull() | (here < F.col("range")), 1)
+        return r["whole"] + more.when((here == F.col("range")) & (q <= F.col("q_in")), 1).otherwise(0)
+
+    return _bound(_ranked(most), taken)
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
