@@ -8,6 +8,7 @@ are fitted on a bounded sample of them.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -142,26 +143,30 @@ def temperature(logits: np.ndarray, y: np.ndarray, steps: int = 60) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def _document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """In how many rows each feature occurs, and the number of rows; each task sends one vector of sums."""
+def _corpus_counts(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
+    """In how many rows each feature occurs, and the rows of each label, by one pass; each task sends one vector of sums."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        df, total = np.zeros(FEATURES + 1, np.int64), 0
+        df, labels = np.zeros(FEATURES, np.int64), Counter()
         for b in batches:
+            labels.update(b.column(1).to_pylist())
             for t in b.column(0).to_pylist():
                 df[counts(t)[0]] += 1
-                total += 1
-        df[FEATURES] = total
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*at.tolist(), *[None] * len(labels)], pa.int64()), pa.array([*[None] * len(at), *labels], pa.string()), pa.array([*df[at].tolist(), *labels.values()], pa.int64())],
+            names=["feature", "label", "n"],
+        )
 
-    # not grouped by text or document: what is shuffled is bounded by tasks x features
-    found = rows.select(text).mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(FEATURES + 1, np.int64)
-    out[found["feature"].to_numpy()] = found["n"].to_numpy()
-    return out[:FEATURES], int(out[FEATURES])
+    # not grouped by text or document: what is shuffled is bounded by tasks x (features + labels)
+    found = rows.select("text", "label").mapInArrow(run, "feature bigint, label string, n bigint").groupBy("feature", "label").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    out = np.zeros(FEATURES, np.int64)
+    for r in found:
+        if r["feature"] is not None:
+            out[r["feature"]] = r["n"]
+    return out, {r["label"]: r["n"] for r in found if r["feature"] is None}
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
@@ -175,11 +180,10 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(label).isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")
     )
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    languages = sorted(sizes)
+    df, sizes = _corpus_counts(rows)
+    languages, total = sorted(sizes), sum(sizes.values())
     if not languages:
         return LanguageModel([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0))
-    df, total = _document_frequencies(rows, "text")
     idf = np.log((1 + total) / (1 + df)) + 1
 
     limits = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n) * 2**31))])
@@ -223,8 +227,9 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: Sequ
     """``keep`` plus ``lang_pred`` and ``score`` (the calibrated probability) for every whole text.
 
     A null text or one without letters, as the empty one, is ``und`` with score
-    0. Ties go to the first language by name; repeated rows give repeated
-    results; an empty table gives an empty one; other columns are ignored.
+    0; a very long one is counted whole. Ties go to the first language by name;
+    repeated rows give repeated results; an empty table gives an empty one;
+    other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(_compact(model))
 
