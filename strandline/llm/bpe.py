@@ -278,8 +278,9 @@ def bpe_encode(
     Returns ``keep`` plus ``n_tokens``, ``token_ids`` and ``decoded`` (bytes),
     or with ``digests`` the SHA-256 of both in place of them. The vocabulary
     file at ``path`` must be readable on every executor. A null text is taken
-    as empty and gives no tokens; repeated rows give repeated results; an empty
-    table gives an empty one; other columns are ignored.
+    as empty and gives no tokens; a very long one is encoded whole, piece by
+    piece; repeated rows give repeated results; an empty table gives an empty
+    one; other columns are ignored.
     """
 
     def make():

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handed to Python at once. Rows may be long texts, so this bounds worker memory.
+#: Rows handed to Python at once, and bytes after which no more are added. Rows may be long texts: a worker holds so many
+#: bytes and one text at most.
 BATCH_ROWS = 256
+BATCH_BYTES = 16 << 20
 
 ARROW_TYPES = {
     "string": pa.string(),
@@ -30,12 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` unless it is lower already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batches to ``rows`` and ``size`` bytes unless they are lower already.
+
+    Spark reads these settings when a query runs, which is after the operator
+    has returned, so they stay lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        found = spark.conf.get(key).lower().removesuffix("b")
+        now = int(found) if found.lstrip("-").isdigit() else 0  # a size with a unit is none of ours
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def hand_back() -> None:

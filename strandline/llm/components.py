@@ -28,11 +28,12 @@ def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFram
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staging.save(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        large = staging.save(join_skewed(both, least, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        around = staging.save(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = staging.save(join_skewed(both, around, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = staging.save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = join_skewed(large, least, "a", "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = staging.save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        old, edges = edges, staging.save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        staging.drop(old, around, large, least)
         after = _state(edges)
         if after == before:
             break

@@ -379,6 +379,8 @@ def near_duplicates(
     found = staging.save(
         classes.select("print", "id", "copies").join(of_class, "print", "left").select("print", F.coalesce("component_id", "id").alias("component_id"), "copies")
     )
+    # the result is read from ``base`` and ``found``
+    staging.drop(classes, buckets, members, needed, sets, rooted, left, in_links, least)
     # rows that can't be linked must not meet in one task on a null key
     out = join_skewed(usable.select("id", "n", "print"), found, "print", "copies").select("id", "n", "component_id")
     rest = base.where("id is null or print is null").select("id", "n", F.col("id").alias("component_id"))

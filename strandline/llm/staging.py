@@ -23,14 +23,23 @@ class Staging:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.tables = 0
+        self.tables, self.paths = 0, {}
         atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.tables += 1
         path = f"{self.root}/{self.tables}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)  # with the frame itself, so that its id stays its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that :meth:`save` returned and that nothing is to be read from any more."""
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                remove(self.spark, path)
 
     def close(self) -> None:
         remove(self.spark, self.root)
