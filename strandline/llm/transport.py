@@ -135,6 +135,7 @@ class Stream:
 
     programs: dict[int, int] = field(default_factory=dict)  # program number to the PID of its map
     streams: dict[int, int] = field(default_factory=dict)  # PID to stream type
+    carried: dict[int, list[int]] = field(default_factory=dict)  # program number to its streams' PIDs, as its map lists them
     units: list[Unit] = field(default_factory=list)  # in order of their first packet
     packets: int = 0
     continuity_errors: int = 0
@@ -144,6 +145,12 @@ class Stream:
     def payload(self, pid: int) -> bytes:
         return b"".join(u.data for u in self.units if u.pid == pid)
 
+    def first_program(self) -> bytes:
+        """The units of the first program's streams, in order of their first packets."""
+        first = next((n for n in self.programs if n in self.carried), None)
+        pids = set(self.carried.get(first, ()))
+        return b"".join(u.data for u in self.units if u.pid in pids)
+
 
 def _table(s: Stream, pid: int, data: bytes) -> None:
     section = data[1 + data[0] :] if data else b""
@@ -158,8 +165,11 @@ def _table(s: Stream, pid: int, data: bytes) -> None:
                 s.programs[number] = where
     elif section[0] == 0x02:
         at = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+        own = s.carried[int.from_bytes(section[3:5], "big")] = []
         while at + 5 <= length - 4:
-            s.streams[int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF] = section[at]
+            carried = int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF
+            s.streams[carried] = section[at]
+            own.append(carried)
             at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0xFFF)
 
 
@@ -249,8 +259,9 @@ def feature(s: Stream) -> str:
 def store_media(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` plus ``n_bytes`` and ``media``: every whole text as a transport stream.
 
-    A null text is stored as an empty one (192 spaces). Repeated rows give
-    repeated streams; an empty table gives an empty one; other columns are ignored.
+    A null text is stored as an empty one (192 spaces), a very long one whole.
+    Repeated rows give repeated streams; an empty table gives an empty one;
+    other columns are ignored.
     """
 
     def run(texts):
@@ -272,7 +283,7 @@ def read_media(df: DataFrame, media: str = "media", keep: Sequence[str] = ("doc_
         for m in streams:
             m = m or b""
             s = demux(m)
-            back = b"".join(u.data for u in s.units)
+            back = s.first_program()
             rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(s)))
         return list(zip(*rows, strict=True))
 

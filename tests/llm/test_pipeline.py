@@ -7,6 +7,7 @@ import random
 
 import public_tokenizers as vocab
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandline.llm.queries import QUERIES
@@ -66,5 +67,42 @@ def test_run_equals_the_stages(spark, docs, tmp_path):
     assert a == sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) and a
 
 
+def through(spark, now, folder):
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(folder)).write.parquet(f"{folder}/{k}")
+        now = spark.read.parquet(f"{folder}/{k}")
+        out.append(now)
+    return out
+
+
+def test_empty_table(spark, docs, tmp_path):
+    made = docs(documents()[:1], clashing=False).limit(0)
+    got = through(spark, made, tmp_path)
+    assert [x.count() for x in got] == [0] * 5 and all(x.columns == made.columns for x in got[:4])
+
+
+def test_clashing_columns_nulls_and_repeats(spark, docs, tmp_path):
+    rows = documents()[:60]
+    odd = [(None, rows[3][1], "en", None), (None, rows[3][1], "en", None), (7, None, None, None), (8, "", "en", "a"), rows[5], rows[5], (500, "1 2 3", None, None), (501, rows[6][1], None, None)]
+    df = docs([*rows, *odd])
+    for name in ("__before", "lang_pred", "token_ids", "component_id", "kept", "whole", "rate", "boiler", "lines", "due"):
+        df = df.withColumn(name, F.lit("mine"))
+    language, lines, near, mixed, tokens = through(spark, df, tmp_path)
+    assert all(x.columns == df.columns for x in (language, lines, near, mixed))
+    assert {r["doc_id"] for r in language.collect()} == {i for i, t, *_ in [*rows, *odd] if t and any(c.isalpha() for c in t)}
+    assert lines.count() == language.count() and lines.where("kept <> 'mine' or rate <> 'mine'").count() == 0
+    kept = [r["doc_id"] for r in near.collect()]
+    assert kept.count(5) == 1 and None in kept and 501 not in kept
+    assert {r["doc_id"] for r in mixed.collect()} <= set(kept) and tokens.count() == mixed.count()
+    assert mixed.where("text is null").count() == 0
+
+
+def test_a_table_without_lengths(spark, docs, tmp_path):
+    df = docs(documents()[:30], clashing=False).drop("n_chars")
+    got = through(spark, df, tmp_path)
+    assert got[1].columns == df.columns and got[4].count() > 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
