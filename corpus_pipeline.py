@@ -17,12 +17,25 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined."""
+    """Documents whose language is determined, with all their columns.
+
+    Rows with a null text, an empty one or one without letters go, whatever
+    their other columns; repeated rows stay repeated. Labels of the table
+    itself are learnt from; without any only rows without letters go. An empty
+    table gives an empty one; very long texts are read whole.
+    """
     return keep_identified(docs, fit(docs, learning_rows()))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; ``n_chars`` follows the text where it changed."""
+    """Documents without their source's boilerplate lines; ``n_chars``, if there, follows the text where it changed.
+
+    All rows stay. Null sources are one source; a null text stays null; a page
+    of nothing but boilerplate is left whole; repeated rows are pages of their
+    own. An empty table gives an empty one.
+    """
+    if "n_chars" not in docs.columns:
+        return drop_boilerplate(docs)
     before = "__before"
     while before in docs.columns:
         before += "_"
@@ -33,17 +46,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates, the one with the smallest id: five-word shingles, similarity 0.8.
+
+    Rows without id, and texts without words, stay. Of rows that repeat an id
+    and a text one stays. An empty table gives an empty one.
+    """
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, with all their columns.
+
+    Null sources are one source; rows without id are drawn by their text, and
+    rows that repeat both are taken alike. An empty table gives an empty one.
+    """
     return mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the bytes that they decode to."""
+    """Token ids of every document, with the bytes that they decode to, beside ``doc_id`` and ``source``.
+
+    A null text is encoded as the empty one. Rows stay as often as they are;
+    an empty table gives an empty one.
+    """
     return bpe_encode(docs, vocab.path(VOCABULARY), vocab.PATTERN, keep=["doc_id", "source"])
 
 
