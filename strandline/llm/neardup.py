@@ -375,7 +375,7 @@ def near_duplicates(
         roots.select(F.col("node").alias("print"), "root").unionByName(roots.select(F.col("root").alias("print"), "root").distinct()).join(classes.select("print", "id"), "print")
     )
     least = staging.save(in_links.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("classes")))
-    of_class = staging.save(join_skewed(in_links.select("print", "root"), least, "root", "classes").select("print", "component_id"))
+    of_class = join_skewed(in_links.select("print", "root"), least, "root", "classes").select("print", "component_id")
     found = staging.save(
         classes.select("print", "id", "copies").join(of_class, "print", "left").select("print", F.coalesce("component_id", "id").alias("component_id"), "copies")
     )

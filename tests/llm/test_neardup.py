@@ -210,3 +210,26 @@ def test_built_words_are_told_apart():
         a, b = a + b, b + a  # sequences on which polynomials modulo powers of two agree
     (x,), (y,) = shingle_sets([a, b], 3)
     assert x != y and len(a) == 2048
+
+
+def test_links_are_contracted_in_each_task(spark, monkeypatch):
+    from strandline.llm import components as C
+
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(r.integers(1, 60))
+        a, b = r.integers(0, n, 40), r.integers(0, n, 40)
+        got, want = C.roots_of(a, b, n), list(range(n))
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+        assert got.tolist() == want
+    chain = [(f"{k:04d}".encode(), f"{k + 1:04d}".encode()) for k in range(3000)]
+    assert (C.roots_of(np.arange(3000), np.arange(1, 3001), 3001) == 0).all()
+    for chunk in (7, 1 << 19):
+        monkeypatch.setattr(C, "CHUNK_LINKS", chunk)
+        found = components(spark.createDataFrame(chain[::-1], "a binary, b binary").repartition(3), Staging(spark, "t")).collect()
+        assert {bytes(x["root"]) for x in found} == {b"0000"} and len(found) == 3000
+    # every link of a task's chunk leads to the smallest node of its component there
+    one = C._contracted(spark.createDataFrame([(5, 3), (3, 9), (8, 7), (7, 8)], "a bigint, b bigint").coalesce(1)).collect()
+    assert sorted(map(tuple, one)) == [(5, 3), (8, 7), (9, 3)]
