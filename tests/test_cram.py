@@ -87,7 +87,7 @@ def fasta(tmp_path_factory):
     return f"file://{path}"
 
 
-@pytest.mark.parametrize(("mode", "method"), [("none", "gzip"), ("reference", "gzip"), ("embedded", "gzip"), ("reference", "rans1"), ("none", "bzip2"), ("none", "lzma")])
+@pytest.mark.parametrize(("mode", "method"), [("none", "gzip"), ("reference", "gzip"), ("embedded", "gzip"), ("reference", "rans1"), ("none", "bzip2"), ("none", "lzma"), ("none", "nx16+193"), ("reference", "arith+1")])
 def test_records_round_trip(spark, tmp_path, fasta, mode, method):
     rows = make_rows(3)
     df = spark.createDataFrame([tuple(r[k.split()[0]] for k in FIELDS.split(", ")) for r in rows], FIELDS).coalesce(1)
