@@ -64,16 +64,22 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFrame:
     """For ``links`` (a, b) the columns ``node`` and ``root``: the smallest node of its component, for every node but roots.
 
-    Tasks contract what they hold, so that few steps are left over. Each step
-    attaches neighbours to the smallest one around; the number of
+    Links that one task may hold are solved by one task, which leaves no step
+    and writes one file. Of more, tasks contract what they hold, so that few
+    steps are left over. Each step attaches neighbours to the smallest one around; the number of
     rounds grows with the logarithm of the nodes squared at most. Minima are
     aggregated before the shuffle, and the links of a node with very many are
     joined where they are. Links to null or to itself say nothing.
     """
-    edges = staging.save(_contracted(links.where("a != b").select("a", "b")).distinct())
+    links = links.where("a != b").select("a", "b")
+    named = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if links.count() <= CHUNK_LINKS:
+        return named(staging.save(_contracted(links.coalesce(1))))
+    edges = staging.save(_contracted(links).distinct())
     before = _state(edges)
     for _ in range(rounds):
-        if not before[0]:
+        if before[0] <= CHUNK_LINKS:
+            edges = staging.save(_contracted(edges.coalesce(1)))
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         around = staging.save(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
@@ -88,4 +94,4 @@ def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFram
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return named(edges)

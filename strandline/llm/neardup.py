@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import annotate, hand_back, small_batches
 from .components import components
 from .shingles import mix, shingle_sets
-from .staging import Staging, join_skewed, small_side
+from .staging import Staging, join_skewed, small_side, tasks_for
 
 CIRCLE_BITS = 20
 #: Sets of more shingles would fill that circle; they are hashed on one of 2^64 places. Those a little smaller are on both.
@@ -52,6 +52,12 @@ BROADCAST_ROWS = 200_000
 #: Classes and shingles that a block of a larger bucket holds on average at most.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1 << 20
+#: Pairs, and bytes of their shingles, that a task compares, bucket counts and bytes of shingles that it writes, unless
+#: tasks have fewer.
+TASK_PAIRS = 1024
+TASK_PAIR_BYTES = 1 << 22
+TASK_BUCKETS = 1 << 15
+TASK_BYTES = 1 << 20
 #: Columns of the incidence matrix that are held at once.
 MATRIX_COLUMNS = 2048
 
@@ -162,18 +168,18 @@ def _alike_in_size(n: Column, m: Column, percent: int) -> Column:
 
 
 def _small_pivot_pairs(small: DataFrame, percent: int) -> DataFrame:
-    """(class, pivot) for the classes of small buckets whose sizes allow a link; one shuffle."""
+    """(class, pivot, shingles of both) for the classes of small buckets whose sizes allow a link; one shuffle."""
     lists = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(_order().alias("o"), "print", "n"))).alias("m"))
     star = lists.select(F.get("m", F.lit(0)).alias("p"), F.explode(F.slice("m", 2, SMALL_BUCKET)).alias("x"))
-    return star.where(_alike_in_size(F.col("x.n"), F.col("p.n"), percent)).select(F.col("x.print").alias("a"), F.col("p.print").alias("b")).distinct()
+    return star.where(_alike_in_size(F.col("x.n"), F.col("p.n"), percent)).select(F.col("x.print").alias("a"), F.col("p.print").alias("b"), (F.col("x.n") + F.col("p.n")).alias("n")).distinct()
 
 
 def _pivot_pairs(large: DataFrame, percent: int) -> DataFrame:
-    """(class, pivot) for the classes of large buckets whose sizes allow a link."""
+    """(class, pivot, shingles of both) for the classes of large buckets whose sizes allow a link."""
     pivots = large.groupBy("bucket", F.pmod(_order(), F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("print", "n"), _order()).alias("p"))
     pivots = small_side(pivots.select("bucket", F.col("p.print").alias("b"), F.col("p.n").alias("m")), BROADCAST_ROWS)
     sizes = _alike_in_size(F.col("n"), F.col("m"), percent)
-    return large.join(pivots, "bucket").where(sizes & (F.col("print") != F.col("b"))).select(F.col("print").alias("a"), "b").distinct()
+    return large.join(pivots, "bucket").where(sizes & (F.col("print") != F.col("b"))).select(F.col("print").alias("a"), "b", (F.col("n") + F.col("m")).alias("n")).distinct()
 
 
 def _left_pairs(rooted: DataFrame, percent: int) -> DataFrame:
@@ -184,11 +190,14 @@ def _left_pairs(rooted: DataFrame, percent: int) -> DataFrame:
     first = lists.select("m", F.posexplode("m").alias("i", "x")).where("i > 0")
     pairs = first.select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
     pairs = pairs.where((F.col("x.root") != F.col("y.root")) & _alike_in_size(F.col("x.n"), F.col("y.n"), percent))
-    return pairs.select(F.col("x.print").alias("a"), F.col("y.print").alias("b")).distinct()
+    return pairs.select(F.col("x.print").alias("a"), F.col("y.print").alias("b"), (F.col("x.n") + F.col("y.n")).alias("n")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 1) -> DataFrame:
-    """The pairs whose full sets are alike. With ``salts`` the pairs of one ``b`` are dealt over so many tasks."""
+    """The pairs, a table, whose full sets are alike. With ``salts`` the pairs of one ``b`` are dealt over so many tasks."""
+    compared, shingles = pairs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(tasks_for(compared, TASK_PAIRS), tasks_for(8 * shingles, TASK_PAIR_BYTES))
+    pairs = pairs.select("a", "b")
     left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"))
     if salts > 1:
@@ -206,7 +215,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 1) -
                 out.append((p, q))
         return out
 
-    return _with_arrow(joined, "a binary, b binary", rows)
+    return _with_arrow(joined.coalesce(tasks), "a binary, b binary", rows)
 
 
 def block_forest(prints: list[bytes], sets: list[np.ndarray], sides: np.ndarray, same: bool, percent: int) -> list[tuple[bytes, bytes]]:
@@ -315,7 +324,7 @@ def _joined_roots(roots: DataFrame, links: DataFrame, staging: Staging) -> DataF
         return roots
     at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     between = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    between = staging.save(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b").distinct())
+    between = staging.save(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b").distinct(), most=links.count())
     above = components(between, staging)
     moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return staging.save(moved.unionByName(above.select("node", "root")))
@@ -340,27 +349,30 @@ def near_duplicates(
     base = staging.save(describe(docs, key, text, words, percent))
     usable = base.where("id is not null and print is not null")
     classes = staging.save(
-        usable.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+        usable.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")),
+        most=base.count(),
     )
 
     # bucket keys are decoded in the JVM: eight bytes each
     at = F.explode(F.sequence(F.lit(1), F.octet_length("bands") - 7, F.lit(8)))
     rows = classes.select("print", "n", "bands", at.alias("at")).select("print", "n", F.substring("bands", F.col("at"), F.lit(8)).alias("bucket"))
-    buckets = staging.save(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
+    buckets = staging.save(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), most=BANDS * classes.count() // 2, each=TASK_BUCKETS)
     members = staging.save(rows.join(small_side(buckets, BROADCAST_ROWS), "bucket"))
     small, large = members.where(F.col("c") <= SMALL_BUCKET), members.where(F.col("c") > SMALL_BUCKET)
     some_large = not large.isEmpty()
-    needed = staging.save(members.select("print").distinct().join(classes.select("print", "id"), "print"))
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small_side(needed, BROADCAST_ROWS), "id").select("print", "text")
+    n_members = members.count()
+    needed = staging.save(members.select("print", "n").distinct().join(classes.select("print", "id"), "print"), most=n_members)
+    set_bytes = 8 * (needed.agg(F.sum("n")).first()[0] or 0)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small_side(needed.select("print", "id"), BROADCAST_ROWS), "id").select("print", "text")
 
     def shingled(prints, rows):
         sets = shingle_sets(rows, words)
         return [(p, s.tobytes()) for p, s in zip(prints, sets, strict=True) if fingerprint(s) == p]
 
-    sets = staging.save(_with_arrow(texts, "print binary, shingles binary", shingled).dropDuplicates(["print"]))
-    links = _verified(staging.save(_small_pivot_pairs(small, percent)), sets, percent)
+    sets = staging.save(_with_arrow(texts, "print binary, shingles binary", shingled).dropDuplicates(["print"]), most=set_bytes, each=TASK_BYTES)
+    links = _verified(staging.save(_small_pivot_pairs(small, percent), most=n_members), sets, percent)
     if some_large:
-        links = links.unionByName(_verified(staging.save(_pivot_pairs(large, percent)), sets, percent, SALTS))
+        links = links.unionByName(_verified(staging.save(_pivot_pairs(large, percent), most=PIVOTS * n_members), sets, percent, SALTS))
     roots = components(staging.save(links), staging)
     rooted = members.join(roots.select(F.col("node").alias("print"), "root"), "print", "left")
     rooted = staging.save(rooted.select("bucket", "print", "n", "c", F.coalesce("root", "print").alias("root")))
@@ -374,10 +386,11 @@ def near_duplicates(
     in_links = staging.save(
         roots.select(F.col("node").alias("print"), "root").unionByName(roots.select(F.col("root").alias("print"), "root").distinct()).join(classes.select("print", "id"), "print")
     )
-    least = staging.save(in_links.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("classes")))
+    least = staging.save(in_links.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("classes")), most=in_links.count())
     of_class = join_skewed(in_links.select("print", "root"), least, "root", "classes").select("print", "component_id")
     found = staging.save(
-        classes.select("print", "id", "copies").join(of_class, "print", "left").select("print", F.coalesce("component_id", "id").alias("component_id"), "copies")
+        classes.select("print", "id", "copies").join(of_class, "print", "left").select("print", F.coalesce("component_id", "id").alias("component_id"), "copies"),
+        most=classes.count(),
     )
     # the result is read from ``base`` and ``found``
     staging.drop(classes, buckets, members, needed, sets, rooted, left, in_links, least)

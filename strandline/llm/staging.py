@@ -16,6 +16,13 @@ from ..sources.files import remove, shared_folder
 #: Sides of joins with at most so many rows are broadcast; they have a few short columns.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows that a task writes of a table that is known to be small: each task makes a file.
+FILE_ROWS = 4096
+
+
+def tasks_for(most: int, each: int) -> int:
+    return max(1, -(-most // each))
+
 
 class Staging:
     """Tables under one folder of their own, removed when the program ends or :meth:`close` is called."""
@@ -26,7 +33,14 @@ class Staging:
         self.tables, self.paths = 0, {}
         atexit.register(self.close)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, most: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+        """``df`` as a table. With ``most``, the rows or bytes it has at most, it takes no more tasks than have ``each`` of them.
+
+        Each file costs a file system some calls, and a local one some processes. ``most`` is for tables that are
+        dealt evenly; it changes nothing where there are fewer tasks anyway.
+        """
+        if most is not None:
+            df = df.coalesce(tasks_for(most, each))
         self.tables += 1
         path = f"{self.root}/{self.tables}"
         df.write.parquet(path)

@@ -233,3 +233,48 @@ def test_links_are_contracted_in_each_task(spark, monkeypatch):
     # every link of a task's chunk leads to the smallest node of its component there
     one = C._contracted(spark.createDataFrame([(5, 3), (3, 9), (8, 7), (7, 8)], "a bigint, b bigint").coalesce(1)).collect()
     assert sorted(map(tuple, one)) == [(5, 3), (8, 7), (9, 3)]
+
+
+def test_few_links_take_one_task(spark, monkeypatch):
+    from strandline.llm import components as C
+
+    links = [(k, k + 1) for k in range(300)] + [(500 + k, 500) for k in range(1, 100)] + [(7, 7), (None, 3)]
+    want = {**dict.fromkeys(range(1, 301), 0), **dict.fromkeys(range(501, 600), 500)}
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(8)
+    tables = []
+    # all links at once, all links once each task has contracted its own, never
+    for chunk in (399, 398, 50):
+        monkeypatch.setattr(C, "CHUNK_LINKS", chunk)
+        staging = Staging(spark, "t")
+        got = {x["node"]: x["root"] for x in components(df, staging).collect()}
+        assert got == want
+        tables.append(staging.tables)
+    assert tables[0] == 1 and tables[1] > 1 and tables[2] > 3
+
+
+def test_few_files_for_small_tables(spark, docs, monkeypatch):
+    """A file is made by a task, and on a local file system by three processes: with many partitions a small table had thousands."""
+    import os
+
+    files = []
+
+    class Counting(Staging):
+        def save(self, df, *args, **named):
+            out = super().save(df, *args, **named)
+            path = self.paths[id(out)][1].removeprefix("file:")
+            files.append(sum(x.startswith("part-") for x in os.listdir("/" + path.lstrip("/"))))
+            return out
+
+    monkeypatch.setattr("strandline.llm.neardup.Staging", Counting)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in names]
+    rows = some_rows(3)
+    try:
+        for k, v in zip(names, ("60", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs([(*x, "en", "s") for x in rows]), words=3, percent=85).collect()}
+    finally:
+        for k, v in zip(names, before, strict=True):
+            spark.conf.set(k, v)
+    assert got == dict(zip([i for i, _ in rows], brute(rows, 3, 85)[0], strict=True))
+    assert sum(files) < 200
