@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, held_out, small_batches
+from .common import annotate, hand_back, held_out, small_batches
 
 #: n-gram lengths; n-grams are hashed into this many features.
 ORDERS = (1, 2, 3)
@@ -25,6 +25,10 @@ FEATURES = 1 << 16
 SAMPLE_PER_LANGUAGE = 700
 #: One in so many sampled rows serves calibration instead.
 CALIBRATION_SHARE = 5
+#: Characters whose n-grams are counted at once, some 40 bytes each.
+PIECE = 1 << 18
+#: Features of sampled rows after which a worker sends what it holds.
+SEND_FEATURES = 1 << 18
 UNDETERMINED = "und"
 #: Documents whose calibrated score is lower are rejected by :func:`keep_identified`.
 LEAST_SCORE = 0.5
@@ -34,9 +38,9 @@ def _letters(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, occurrences) of the whole text's character n-grams, lower-cased."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _piece_counts(piece: str, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, occurrences) of the n-grams that end behind the first ``before`` characters."""
+    codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
     parts, h = [], np.zeros(len(codes), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(codes) < n:
@@ -45,7 +49,8 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
             h = (h[: len(codes) - n + 1] + codes[n - 1 :]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
         if n in ORDERS:
-            parts.append(((h + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(16)).astype(np.uint16))
+            own = h[max(0, before - n + 1) :]
+            parts.append(((own + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(16)).astype(np.uint16))
     if not parts:
         return np.empty(0, np.int64), np.empty(0)
     keys = np.sort(np.concatenate(parts), kind="stable")  # radix sort: linear in the text
@@ -54,6 +59,24 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts].astype(np.int64), np.diff(np.append(starts, len(keys))).astype(float)
 
 
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, occurrences) of the whole text's character n-grams, lower-cased.
+
+    A long text is counted a piece at a time; beside it there is only its
+    lower-cased form, which depends on what stands around a letter.
+    """
+    low = text.lower()
+    if len(low) <= PIECE:
+        return _piece_counts(low, 0)
+    total = np.zeros(FEATURES)
+    for at in range(0, len(low), PIECE):
+        before = min(at, max(ORDERS) - 1)
+        f, n = _piece_counts(low[at - before : at + PIECE], before)
+        total[f] += n
+    f = np.flatnonzero(total)
+    return f, total[f]
+
+
 @dataclass
 class LanguageModel:
     """Weights for each feature and language, with the idf and the temperature."""
@@ -154,6 +177,7 @@ def _corpus_counts(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
             labels.update(b.column(1).to_pylist())
             for t in b.column(0).to_pylist():
                 df[counts(t)[0]] += 1
+        hand_back()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array([*at.tolist(), *[None] * len(labels)], pa.int64()), pa.array([*[None] * len(at), *labels], pa.string()), pa.array([*df[at].tolist(), *labels.values()], pa.int64())],
@@ -169,6 +193,27 @@ def _corpus_counts(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
     return out, {r["label"]: r["n"] for r in found if r["feature"] is None}
 
 
+def featurised(batches) -> Iterator:
+    """Rows of (label, text, calibrate) with the text's features and occurrences in its place.
+
+    What has been counted is sent after ``SEND_FEATURES`` features, however many rows a batch has.
+    """
+    import pyarrow as pa
+
+    for b in batches:
+        first, got, held = 0, [], 0
+        for i, t in enumerate(b.column(1), 1):
+            f, n = counts(t.as_py())
+            got.append((f.astype(np.int32), n.astype(np.float32)))
+            held += len(f)
+            if held >= SEND_FEATURES or i == b.num_rows:
+                ends = pa.array(np.cumsum([0, *(len(x) for x, _ in got)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in got]))) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:i], b.column(2)[first:i], *lists], names=["label", "calibrate", "feature", "n"])
+                first, got, held = i, [], 0
+    hand_back()
+
+
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from the rows of ``docs`` for which ``learn`` holds, with a text and a label.
 
@@ -192,17 +237,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         "label", "text", (F.pmod(F.xxhash64(F.lit("calibrate"), "key"), F.lit(CALIBRATION_SHARE)) == 0).alias("calibrate")
     )
 
-    def featurise(batches) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            got = [counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([f.tolist() for f, _ in got], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in got], pa.list_(pa.float32()))],
-                names=["label", "calibrate", "feature", "n"],
-            )
-
-    sent = sample.mapInArrow(featurise, "label string, calibrate boolean, feature array<int>, n array<float>")
+    sent = sample.mapInArrow(featurised, "label string, calibrate boolean, feature array<int>, n array<float>")
     model = LanguageModel(languages, idf, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)))
     fitted, held, taken = [], [], dict.fromkeys(languages, 0)
     for r in sent.limit(2 * per_language * len(languages)).toArrow().to_pylist():

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from strandline.llm import langid
 from strandline.llm.common import held_out
 from strandline.llm.langid import FEATURES, UNDETERMINED, LanguageModel, counts, fit, ftrl, identify, keep_identified, learning_rows, temperature
 
@@ -78,3 +82,41 @@ def test_nothing_to_learn_from(docs):
     empty = df.limit(0)
     assert identify(empty, fit(empty, learning_rows())).count() == 0
     assert isinstance(model, LanguageModel)
+
+
+def most_held(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64])
+def test_pieces_of_a_text_count_as_the_whole(monkeypatch, piece):
+    # a capital sigma's small form depends on its neighbours, and \u0130 becomes two characters
+    texts = ["ab" * 40 + "c", "\u039f\u03a3 \u03a3\u039f\u03a3 " * 30, "\u0130x\U0001f600" * 30, "abc", "a" * 129, "\ud800b" * 50]
+    whole = [counts(t) for t in texts]
+    monkeypatch.setattr(langid, "PIECE", piece)
+    for t, (f, n) in zip(texts, whole, strict=True):
+        got = counts(t)
+        assert got[0].tolist() == f.tolist() and got[1].tolist() == n.tolist()
+        assert got[0].dtype == f.dtype and got[1].dtype == n.dtype
+
+
+def test_long_text_takes_little_beside_itself():
+    text = "Word and another " * 250_000
+    assert most_held(lambda: counts(text)) < 6 * len(text)
+
+
+def test_batch_of_long_texts_is_sent_bit_by_bit():
+    r = np.random.default_rng(3)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9FA5, 8000))) for _ in range(200)] + ["", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"l{i}" for i in range(202)]), pa.array(texts), pa.array([i % 3 == 0 for i in range(202)])], names=["label", "text", "calibrate"])
+    assert most_held(lambda: [None for _ in langid.featurised([batch])]) < 30_000_000
+    rows = pa.Table.from_batches(langid.featurised([batch, batch.slice(200)])).to_pylist()
+    assert len(rows) == 204
+    for i, row in zip([*range(202), 200, 201], rows, strict=True):
+        f, n = counts(texts[i])
+        assert row == {"label": f"l{i}", "calibrate": i % 3 == 0, "feature": f.tolist(), "n": n.tolist()}
