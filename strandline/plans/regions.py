@@ -14,30 +14,31 @@ from ..sources import bam, bcf, detect, indexes, sinks, text
 from .alignments import AEND
 from .formats import SAM_HEADER, VCF_HEADER
 from .registry import query
-from .scratch import folder
+from .scratch import file_count, folder
 from .variants import END_SQL, vcf_line
 from .views import REFERENCES, references, sql, view
 
 AR = sql("alignments", "refs")
 SORTED_HEADER = ["@HD\tVN:1.6\tSO:coordinate", *SAM_HEADER[1:]]
-#: Files that a table is written to.
+#: Files that a table is written to at least.
 FILES = 3
 
 
-def _in_order(rows: DataFrame, *order: Column) -> DataFrame:
-    """Rows sorted over a few files: ranges of rows, each in order."""
-    return rows.repartitionByRange(FILES, *order).sortWithinPartitions(*order)
+def _in_order(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """Rows sorted over ``n`` files: ranges of rows, each in order. Rows of one place may lie in several files, as many as they fill."""
+    spread = F.xxhash64(*[f.name for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    return rows.repartitionByRange(n, *order, spread).sortWithinPartitions(*order)
 
 
-def _sorted_alignments(rows: DataFrame) -> DataFrame:
-    return _in_order(rows, F.col("ref_id").asc_nulls_last(), F.col("pos").asc_nulls_last())
+def _sorted_alignments(rows: DataFrame, n: int) -> DataFrame:
+    return _in_order(rows, n, F.col("ref_id").asc_nulls_last(), F.col("pos").asc_nulls_last())
 
 
 def sorted_bam(spark: SparkSession, d: str, header: list[str] = SORTED_HEADER) -> str:
     path = folder(spark, "sorted-bam")
     rows = view(spark, d, "alignments").withColumn("tags", F.create_map(F.lit("NH"), F.concat(F.lit("i:"), "nh"), F.lit("RG"), F.concat(F.lit("Z:"), "rg")))
     columns = ["name", "flags", "ref_id", "pos", "mapq", "cigar", "mate_ref_id", "mate_pos", "tlen", "sequence", "quality", "tags"]
-    bam.write_bam(_sorted_alignments(rows.select(columns)), path, bam.Header("\n".join(header) + "\n", [(n, k) for _, n, k in REFERENCES]))
+    bam.write_bam(_sorted_alignments(rows.select(columns), file_count(spark, d, "lineitem", FILES)), path, bam.Header("\n".join(header) + "\n", [(n, k) for _, n, k in REFERENCES]))
     detect.register(spark)
     return path
 
@@ -64,7 +65,7 @@ def any_alignment_region(spark: SparkSession, d: str) -> DataFrame:
 @query("qry02_src35_sam_region_files", AR + REGION_SQL, python=True)
 def sam_region(spark: SparkSession, d: str) -> DataFrame:
     path, named = folder(spark, "sorted-sam"), ops.with_references(view(spark, d, "alignments"), references(spark))
-    lines = _sorted_alignments(named).select(ops.sam_line(named).alias("value"))
+    lines = _sorted_alignments(named, file_count(spark, d, "lineitem", FILES)).select(ops.sam_line(named).alias("value"))
     sinks.write_bgzf(lines, path, SORTED_HEADER)
     detect.register(spark)
     written = spark.read.format("bgzf_lines").option("offsets", "true").load(path)
@@ -83,7 +84,7 @@ VARIANT_REGION = sql("variants") + f"SELECT chrom, pos, ref FROM variants WHERE
 
 def _sorted_vcf(spark: SparkSession, d: str) -> str:
     path = folder(spark, "sorted-vcf")
-    sinks.write_bgzf(_in_order(view(spark, d, "variants"), F.col("chrom"), F.col("pos")).select(vcf_line().alias("value")), path, VCF_HEADER)
+    sinks.write_bgzf(_in_order(view(spark, d, "variants"), file_count(spark, d, "orders", FILES), F.col("chrom"), F.col("pos")).select(vcf_line().alias("value")), path, VCF_HEADER)
     detect.register(spark)
     return path
 
@@ -106,15 +107,15 @@ def bcf_region(spark: SparkSession, d: str) -> DataFrame:
     info = F.map_filter(F.create_map(F.lit("DP"), fields.info_value(F.col("info"), "DP"), F.lit("END"), end), lambda _, v: v.isNotNull())
     number = F.regexp_extract("chrom", r"(\d+)$", 1).cast("int")
     rows = rows.select("chrom", "pos", "ids", "ref", "alts", "qual", "filters", info.alias("info"), F.col("samples").alias("gts"))
-    bcf.write_bcf(_in_order(rows, number, F.col("pos")), path, VCF_HEADER)
+    bcf.write_bcf(_in_order(rows, file_count(spark, d, "orders", FILES), number, F.col("pos")), path, VCF_HEADER)
     detect.register(spark)
     indexes.build(bcf.indexable(spark, path), "csi")
     return detect.read_variants(spark, path, ["chr7:2000-2200"]).select("chrom", "pos", "ref")
 
 
-def _lines_region(spark: SparkSession, rows: DataFrame, line: Column, roles: dict[str, int], kind: str, region: str, order: tuple[str, str], header: list[str]) -> DataFrame:
+def _lines_region(spark: SparkSession, rows: DataFrame, n: int, line: Column, roles: dict[str, int], kind: str, region: str, order: tuple[str, str], header: list[str]) -> DataFrame:
     path = folder(spark, "sorted-lines")
-    sinks.write_bgzf(_in_order(rows, *map(F.col, order)).select(line.alias("value")), path, header)
+    sinks.write_bgzf(_in_order(rows, n, *map(F.col, order)).select(line.alias("value")), path, header)
     detect.register(spark)
     written = spark.read.format("bgzf_lines").option("offsets", "true").load(path)
     r = text.indexed_rows(written, roles["name"], roles["start"], roles["end"], chr(roles["comment"]), bool(roles["zero_based"]), "path", "voffset", "vend")
@@ -126,14 +127,14 @@ def _lines_region(spark: SparkSession, rows: DataFrame, line: Column, roles: dic
 @query("qry06_src30_bed_region_files", sql("bed") + "SELECT chrom, start_, end_ FROM bed WHERE chrom = 'click' AND start_ <= 600 AND end_ >= 500", python=True)
 def bed_region(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws("\t", "chrom", (F.col("start_") - 1).cast("string"), F.col("end_").cast("string"), "name", "score", "strand")
-    found = _lines_region(spark, view(spark, d, "bed"), line, indexes.ROLES["bed"], "tbi", "click:500-600", ("chrom", "start_"), ["# made"])
+    found = _lines_region(spark, view(spark, d, "bed"), file_count(spark, d, "events", FILES), line, indexes.ROLES["bed"], "tbi", "click:500-600", ("chrom", "start_"), ["# made"])
     return found.select(F.col("ref_name").alias("chrom"), F.col("start").alias("start_"), F.col("end").alias("end_"))
 
 
 @query("qry07_agg11_gff_region_files", sql("features") + "SELECT seqid, start_, end_, type FROM features WHERE seqid = 'chr2' AND start_ <= 900 AND end_ >= 400", python=True)
 def gff_region(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws("\t", "seqid", F.lit("x"), "type", "start_", "end_", "score", "strand", "phase", "attributes")
-    found = _lines_region(spark, view(spark, d, "features"), line, indexes.ROLES["gff"], "csi", "chr2:400-900", ("seqid", "start_"), ["##gff-version 3"])
+    found = _lines_region(spark, view(spark, d, "features"), file_count(spark, d, "part", FILES), line, indexes.ROLES["gff"], "csi", "chr2:400-900", ("seqid", "start_"), ["##gff-version 3"])
     rows = text.gff_fields(found)
     return rows.select("seqid", F.col("start").alias("start_"), F.col("end").alias("end_"), "type")
 
@@ -143,7 +144,7 @@ def table_region(spark: SparkSession, d: str) -> DataFrame:
     # names and positions stand in other columns than any format's: the index says in which
     line = F.concat_ws("\t", "name", "chrom", F.lit("x"), "start_", "end_")
     roles = {"format": 0, "zero_based": 0, "name": 2, "start": 4, "end": 5, "comment": ord("%"), "skip": 0}
-    found = _lines_region(spark, view(spark, d, "bed"), line, roles, "tbi", "view:600-700", ("chrom", "start_"), ["% made"])
+    found = _lines_region(spark, view(spark, d, "bed"), file_count(spark, d, "events", FILES), line, roles, "tbi", "view:600-700", ("chrom", "start_"), ["% made"])
     return found.select(F.col("ref_name").alias("chrom"), F.col("start").alias("start_"), F.col("end").alias("end_"), F.split("value", "\t")[0].alias("name"))
 
 
@@ -169,7 +170,7 @@ def sorted_files(spark: SparkSession, d: str) -> DataFrame:
         return per.join(n, "path").agg(F.bool_and("sorted").alias("sorted"), F.sum("n").alias("n")).select(F.lit(kind).alias("header"), F.lit(declared).alias("declared"), "sorted", "n")
 
     backwards = folder(spark, "unsorted-bam")
-    rows = view(spark, d, "alignments").select("name", "flags", "ref_id", "pos").repartition(FILES).sortWithinPartitions(F.col("pos").desc())
+    rows = view(spark, d, "alignments").select("name", "flags", "ref_id", "pos").repartition(file_count(spark, d, "lineitem", FILES)).sortWithinPartitions(F.col("pos").desc())
     bam.write_bam(rows, backwards, bam.Header("\n".join(SAM_HEADER) + "\n", [(n, k) for _, n, k in REFERENCES]))
     return checked("coordinate", sorted_bam(spark, d)).unionByName(checked("unsorted", backwards))
 

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.coords import Region
 from ..functions.records import BASE_CODES, CIGAR_CODES
 from . import bgzf, files, indexes, sinks
+from .columns import binaries, cigar_ops, flat, gathered, mapped, offsets, side_by_side, strings, summed
 
 MAGIC = b"BAM\x01"
 CORE = struct.Struct("<iiBBHHHiiii")
@@ -25,6 +26,8 @@ SCHEMA = {
 }
 #: Compressed bytes of a file that a task takes.
 SPLIT_BYTES = 64 << 20
+#: Inflated bytes of records that are decoded at once, about.
+RUN_BYTES = 1 << 20
 #: Where a record stands in its file, and where its file is: only if asked for.
 PLACES = ("voffset", "vend", "path")
 #: Columns that stand at fixed places of a record.
@@ -252,6 +255,88 @@ def encode(row: dict) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+_BASE_CODE = np.full(256, 15, np.uint8)
+for _i, _c in enumerate(BASE_CODES):
+    _BASE_CODE[ord(_c)] = _BASE_CODE[ord(_c.lower())] = _i
+_SPANS, _USES = (np.isin(np.arange(16), [CIGAR_CODES.index(k) for k in kinds]) for kinds in ("MDN=X", "MIS=X"))
+
+
+def encode_batch(batch) -> bytes:
+    """The records of an Arrow batch one after another, as :func:`encode` makes them, without a step for each; odd ones are left to it."""
+    quick = _encoded(batch)
+    if quick is not None:
+        return quick
+    out = []
+    for row in batch.to_pylist():
+        if isinstance(row.get("tags"), list):
+            row["tags"] = dict(row["tags"])
+        out.append(encode(row))
+    return b"".join(out)
+
+
+def _encoded(batch) -> bytes | None:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    given = dict(zip(batch.schema.names, batch.columns, strict=True))
+    texts = lambda c: given[c] if c in given else pa.nulls(n, pa.string())
+    numbers = lambda c, missing: pc.fill_null(given[c].cast(pa.int64()), missing).to_numpy(zero_copy_only=False) if c in given else np.full(n, missing)
+    ops = cigar_ops(pc.replace_with_mask(texts("cigar"), pc.fill_null(pc.equal(texts("cigar"), "*"), False), pa.scalar("", pa.string())))
+    seq, seq_at = flat(texts("sequence"))
+    qual, qual_at = flat(texts("quality"))
+    if ops is None or (seq > 127).any() or (qual > 127).any() or (qual < 33).any() or given["flags"].null_count:
+        return None
+    n_ops, op_sizes, op_codes = ops
+    length, scored = np.diff(seq_at), np.diff(qual_at)
+    known = np.asarray(texts("quality").is_valid())
+    span, used = (summed(op_sizes * of[op_codes], n_ops) for of in (_SPANS, _USES))
+    if (n_ops > 65535).any() or (op_sizes >> 28).any() or ((n_ops > 0) & (length > 0) & (used != length)).any() or (known & (scored != length)).any():
+        return None
+    # bases in pairs, a last one alone with nothing
+    pairs = (length + 1) // 2
+    codes = np.zeros(2 * int(pairs.sum()), np.uint8)
+    codes[np.repeat(2 * offsets(pairs)[:-1] - seq_at[:-1], length) + np.arange(len(seq))] = _BASE_CODE[seq]
+    scores = np.full(int(length.sum()), 255, np.uint8)
+    scores[np.repeat(known, length)] = qual - 33
+    tags = given.get("tags")
+    if tags is None or tags.null_count == n:
+        tagged, tag_sizes = b"", np.zeros(n, np.int64)
+    elif tags.items.null_count or tags.keys.null_count:
+        return None
+    else:
+        at = np.asarray(tags.offsets)
+        items = slice(int(at[0]), int(at[-1]))
+        values = mapped(side_by_side(tags.keys.slice(items.start, items.stop - items.start), b"=", tags.items.slice(items.start, items.stop - items.start)), lambda x: encode_tag(*x.decode().split("=", 1)))
+        if len(at) != n + 1 or tags.null_count:
+            return None
+        every, item_at = flat(values)
+        tag_sizes = np.diff(item_at[at - at[0]])
+        tagged = binaries(every, tag_sizes)
+    name = side_by_side(pc.fill_null(pc.replace_with_mask(texts("name").cast(pa.string()), pc.fill_null(pc.equal(texts("name"), ""), False), pa.scalar("*")), "*"), b"\0")
+    name_sizes = np.diff(flat(name)[1])
+    begin = numbers("pos", 0) - 1
+    first = np.maximum(begin, 0)
+    last, number = first + np.maximum(span, 1) - 1, np.zeros(n, np.int64)
+    for level in range(1, 6):
+        shift = 14 + 3 * (5 - level)
+        number = np.where(first >> shift == last >> shift, ((1 << 3 * level) - 1) // 7 + (first >> shift), number)
+    core = np.zeros(n, _CORE_TYPE)
+    values = {
+        "size": 32 + name_sizes + 4 * n_ops + pairs + length + tag_sizes, "ref": numbers("ref_id", -1), "pos": begin, "l_name": name_sizes, "mapq": numbers("mapq", 255), "bin": np.where(begin >= 0, number, 4680),
+        "n_ops": n_ops, "flags": numbers("flags", 0), "bases": length, "mate": numbers("mate_ref_id", -1), "mate_pos": numbers("mate_pos", 0) - 1, "tlen": numbers("tlen", 0),
+    }
+    for field, v in values.items():
+        kind = np.iinfo(_CORE_TYPE[field])
+        if (v < kind.min).any() or (v > kind.max).any():
+            return None
+        core[field] = v
+    fixed = binaries(core.view(np.uint8), np.full(n, _CORE_TYPE.itemsize))
+    cigars = binaries((op_sizes << 4 | op_codes).astype("<u4").view(np.uint8), 4 * n_ops)
+    packed = binaries(codes[::2] << 4 | codes[1::2], pairs)
+    return flat(side_by_side(fixed, name, cigars, packed, binaries(scores, length), tagged))[0].tobytes()
+
+
 def fixed_columns(data: bytes, starts: np.ndarray, header: Header, columns: Sequence[str]) -> dict:
     """Arrow arrays of the wanted fixed columns of the records that start at given places, without a step for each record."""
     import pyarrow as pa
@@ -284,6 +369,68 @@ def fixed_columns(data: bytes, starts: np.ndarray, header: Header, columns: Sequ
     return out
 
 
+_PAIR_BYTES = np.array([list((a + b).encode()) for a in BASE_CODES for b in BASE_CODES], np.uint8)
+
+
+def other_columns(data: bytes, starts: np.ndarray, ends: np.ndarray, header: Header, columns: Sequence[str]) -> dict:
+    """Arrow arrays or lists of columns that have no fixed place, as :func:`decode` has them, without a step for each record; odd records are left to it."""
+    quick = _decoded(data, starts, ends, columns) if columns else {}
+    if quick is not None:
+        return quick
+    rows = [decode(data, a, b, header, columns) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return dict(zip(columns, zip(*rows, strict=True), strict=True))
+
+
+def _decoded(data: bytes, starts: np.ndarray, ends: np.ndarray, columns: Sequence[str]) -> dict | None:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat_bytes = np.frombuffer(data, np.uint8)
+    core = flat_bytes[starts[:, None] + np.arange(_CORE_TYPE.itemsize)].reshape(-1).view(_CORE_TYPE)
+    bases, n_ops, name = (core[k].astype(np.int64) for k in ("bases", "n_ops", "l_name"))
+    a = starts + 36
+    b = a + name
+    c = b + 4 * n_ops
+    d = c + (bases + 1) // 2
+    e = d + bases
+    if (e > ends).any() or (bases < 0).any() or (name < 1).any():
+        return None
+    out = {}
+    if "name" in columns:
+        out["name"] = strings(gathered(flat_bytes, a, name - 1), name - 1, (name == 2) & (flat_bytes[a] == ord("*")))
+    if "cigar" in columns or "tags" in columns:
+        ops = gathered(flat_bytes, b, 4 * n_ops).view("<u4")
+        first = offsets(n_ops)[:-1]
+        two = np.flatnonzero(n_ops == 2)
+        if ((ops[first[two]] == bases[two] << 4 | 4) & (ops[first[two] + 1] & 15 == 3)).any():
+            return None  # what stands for a long CIGAR
+    if "cigar" in columns:
+        kinds, which = np.unique(ops, return_inverse=True)
+        if (kinds & 15 >= len(CIGAR_CODES)).any():
+            return None
+        texts = pa.array([f"{x >> 4}{CIGAR_CODES[x & 15]}" for x in kinds.tolist()], pa.string()).take(pa.array(which))
+        told = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets(n_ops), pa.int32()), texts), "")
+        out["cigar"] = pc.if_else(pa.array(n_ops > 0), told, pa.scalar(None, pa.string()))
+    if "sequence" in columns:
+        pairs = (bases + 1) // 2
+        letters = _PAIR_BYTES[gathered(flat_bytes, c, pairs)].reshape(-1)
+        whole = np.ones(len(letters), bool)
+        whole[(2 * offsets(pairs)[1:] - 1)[bases % 2 == 1]] = False
+        out["sequence"] = strings(letters[whole], bases, bases == 0)
+    if "quality" in columns:
+        scores, none = gathered(flat_bytes, d, bases), bases == 0
+        none = none | (summed(scores == 255, bases) == bases)
+        scores = scores[~np.repeat(none, bases)]
+        if (scores > 94).any():
+            return None
+        out["quality"] = strings(scores + 33, np.where(none, 0, bases), none)
+    if "tags" in columns:
+        coded = binaries(gathered(flat_bytes, e, ends - e), ends - e).dictionary_encode()
+        told = [[(k, tag_text(*v)) for k, v in parse_tags(x).items()] for x in coded.dictionary.to_pylist()]
+        out["tags"] = pa.array(told, pa.map_(pa.string(), pa.string())).take(coded.indices)
+    return {k: out[k] for k in columns}
+
+
 @dataclass
 class Split(InputPartition):
     path: str
@@ -297,7 +444,8 @@ class BamSource(DataSource):
 
     Options: ``columns`` (comma list of what is decoded; the default is all but
     ``voffset``, ``vend`` and ``path``, where a record begins and ends and in
-    which file), ``split_bytes`` (64 MiB; 0: a task a file), ``regions``
+    which file), ``split_bytes`` (64 MiB; smaller ones are enlarged where
+    they would make more than some thousand tasks; 0: a task a file), ``regions``
     (a region or a JSON list of them, for files with an index beside them: only
     the blocks that may hold their records are read, and only records that meet
     one come). With splits a task finds the first record in its blocks as the
@@ -353,15 +501,14 @@ class _BamReader(DataSourceReader):
         return filters
 
     def partitions(self):
-        out = []
-        for path, size in files.list_files(self.path):
-            if path.endswith(indexes.SUFFIXES):
-                continue
+        out, listed = [], [(p, n) for p, n in files.list_files(self.path) if not p.endswith(indexes.SUFFIXES)]
+        split = self.split and bgzf.split_size(self.split, sum(n for _, n in listed))
+        for path, size in listed:
             chunks = self._chunks_of(path)
             if chunks is not None:
                 out += [Split(path, 0, size, c) for c in bgzf.by_size(chunks, self.split or self.CHUNK_BYTES)]
                 continue
-            step = self.split or max(size, 1)
+            step = split or max(size, 1)
             out += [Split(path, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
         return out or [Split(self.path, 0, 0, [])]
 
@@ -384,17 +531,17 @@ class _BamReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(self.fields)
-        file = files.open_file(part.path) if part.end else None
-        header = read_header(file) if file else None
         fixed = [c for c in self.wanted if c in FIXED]
         others = [c for c in self.wanted if c not in FIXED and c not in PLACES]
+        file = files.open_file(part.path) if part.end else None
+        header = read_header(file) if file else None
         for data, starts, ends, begins, afters in self._runs(part, file, header):
             for at in range(0, len(starts), 4096):
                 s, e = starts[at : at + 4096], ends[at : at + 4096]
-                got = fixed_columns(data, np.array(s), header[0], fixed)
-                rows = [decode(data, a, b, header[0], others) for a, b in zip(s, e, strict=True)] if others else []
-                got |= dict(zip(others, zip(*rows, strict=True), strict=True)) if others else {}
-                got |= {"voffset": begins[at : at + 4096], "vend": afters[at : at + 4096], "path": [part.path] * len(s)}
+                got = fixed_columns(data, s, header[0], fixed) | other_columns(data, s, e, header[0], others)
+                got |= {"voffset": begins[at : at + 4096], "vend": afters[at : at + 4096]}
+                if "path" in self.wanted:
+                    got["path"] = pa.repeat(part.path, len(s))
                 yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=f.type) for f in schema], schema=schema)
 
     def _records(self, part: Split) -> Iterator[tuple]:
@@ -402,23 +549,22 @@ class _BamReader(DataSourceReader):
         file = files.open_file(part.path)
         header = read_header(file)
         for data, starts, ends, *_ in self._runs(part, file, header):
-            for a, b in zip(starts, ends, strict=True):
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 yield decode(data, a, b, header[0], self.wanted)
 
-    def _runs(self, part: Split, file, read) -> Iterator[tuple[bytes, list[int], list[int], list[int], list[int]]]:
-        """(bytes, where records start and end in them, their virtual offsets and those after them), a run a block or so."""
+    def _runs(self, part: Split, file, read) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes, where records start and end in them, their virtual offsets and those after them), a run some blocks."""
         if part.chunks is not None:
             for begin, end in part.chunks:
                 c = bgzf.Contents(file, begin >> 16)
                 if c.more():
-                    for run in self._walk(c, begin & 0xFFFF, lambda v, end=end: v < end):
+                    for run in self._walk(c, begin & 0xFFFF, end):
                         if self.regions:
                             run = self._meeting(run, read[0])
-                        if run[1]:
+                        if len(run[1]):
                             yield run
             return
         header, begin, within = read
-        own = lambda v: v >> 16 < part.end
         if part.begin == 0:
             c, at = bgzf.Contents(file, begin), within
         else:
@@ -443,34 +589,27 @@ class _BamReader(DataSourceReader):
                 need = len(c.data) + self.PROOF
         while len(c.data) <= at and c.more():
             pass
-        yield from self._walk(c, min(at, len(c.data)), own)
+        yield from self._walk(c, min(at, len(c.data)), part.end << 16)
 
-    def _walk(self, c: bgzf.Contents, at: int, own) -> Iterator[tuple[bytes, list[int], list[int], list[int], list[int]]]:
-        """Runs of whole records from a place on, as long as ``own`` of a record's virtual offset is true."""
-        places = any(x in PLACES for x in self.wanted) or self.regions
+    def _walk(self, c: bgzf.Contents, at: int, stop: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of whole records from a place on, of those that begin before a virtual offset."""
         while True:
-            starts, ends, begins, afters, over = [], [], [], [], False
-            while True:
-                if at < len(c.data) and not own(c.virtual(at)):
-                    over = True
-                    break
-                size = record_size(c.data, at)
-                if size is None or at + size > len(c.data):
-                    break
-                starts.append(at)
-                ends.append(at + size)
-                if places:
-                    begins.append(c.virtual(at))
-                    afters.append(c.virtual(at + size))
-                at += size
-            if starts:
-                yield bytes(c.data[:at]), starts, ends, begins or [0] * len(starts), afters or [0] * len(starts)
-            if over:
+            while len(c.data) - at < RUN_BYTES and c.after << 16 < stop and c.more():
+                pass
+            data = bytes(c.data)
+            starts, at = _chain(data, at)
+            starts = np.array([*starts, at])
+            places = c.virtuals(starts)
+            # a record belongs to the task if it begins before the offset; so do all before it
+            n = min(len(starts) - 1, int(np.searchsorted(places, stop)))
+            if n:
+                yield data, starts[:n], starts[1 : n + 1], places[:n], places[1 : n + 1]
+            if n < len(starts) - 1 or (at < len(data) and places[-1] >= stop):
                 return
             # a place past what is held: the block that is read next decides
             c.drop(at)
             at = 0
-            if not c.data and not own(c.after << 16):
+            if not c.data and c.after << 16 >= stop:
                 return
             if not c.more():
                 if c.data:
@@ -483,14 +622,28 @@ class _BamReader(DataSourceReader):
         ids = {n: i for i, (n, _) in enumerate(header.references)}
         wanted = [(ids[r.name], r.start or 1, r.end or 1 << 62) for r in self.regions if r.name in ids]
         keep = []
-        for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             ref, pos = struct.unpack_from("<ii", data, a + 4)
             near = [(s, e) for r, s, e in wanted if r == ref and pos >= 0 and pos + 1 <= e]
             if near:
                 last = pos + max(1, _span(data, a, b))
                 if any(last >= s for s, _ in near):
                     keep.append(i)
-        return data, *([x[i] for i in keep] for x in (starts, ends, begins, afters))
+        return data, *(x[keep] if keep else x[:0] for x in (starts, ends, begins, afters))
+
+
+def _chain(data: bytes, at: int) -> tuple[list[int], int]:
+    """(where the whole records from a place on start, where the last one ends)."""
+    starts, size_at, held = [], struct.Struct("<i").unpack_from, len(data)
+    while at + 4 <= held:
+        n = size_at(data, at)[0] + 4
+        if n < 36:
+            raise BamError(f"record of {n - 4} bytes")
+        if at + n > held:
+            break
+        starts.append(at)
+        at += n
+    return starts, at
 
 
 def _span(data: bytes, at: int, end: int) -> int:
@@ -535,16 +688,10 @@ def read_header(file) -> tuple[Header, int, int]:
     raise BamError("no BAM header")
 
 
-def write_bam(df: DataFrame, folder: str, header: Header) -> list[str]:
-    """One whole BAM file a partition, in the rows' order; tags are map<tag, TYPE:VALUE>. Returns the paths."""
-
-    def records(batch):
-        for row in batch.to_pylist():
-            if isinstance(row.get("tags"), list):
-                row["tags"] = dict(row["tags"])
-            yield encode(row)
+def write_bam(df: DataFrame, folder: str, header: Header, into: int | None = None) -> list[str]:
+    """One whole BAM file a partition, or ``into`` files, in the rows' order; tags are map<tag, TYPE:VALUE>. Returns the paths."""
 
-    return sinks.write_blocks(df, folder, "bam", header_bytes(header), records)
+    return sinks.write_blocks(df, folder, "bam", header_bytes(header), lambda batch: [encode_batch(batch)], into)
 
 
 def quickcheck(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.coords import Region, parse_region
@@ -196,6 +197,14 @@ class Contents:
         k = bisect_right(self._places, at) - 1
         return self._offsets[k] << 16 | at - self._places[k]
 
+    def virtuals(self, at: np.ndarray) -> np.ndarray:
+        """:meth:`virtual` of many places."""
+        if not self._places:
+            return np.full(len(at), self.after << 16)
+        places, starts = np.array(self._places), np.array(self._offsets)
+        k = np.searchsorted(places, at, "right") - 1
+        return np.where(at >= len(self.data), self.after << 16, starts[k] << 16 | at - places[k])
+
     def held_before(self, offset: int) -> int:
         """How much of what is held lies in blocks that begin before a file offset."""
         k = bisect_left(self._offsets, offset)
@@ -239,6 +248,33 @@ def read_from(file, offset: int, n: int, index: Sequence[tuple[int, int]] = ((0,
     return bytes(out)
 
 
+class Reads:
+    """Many reads of a file's contents by the index of all its blocks; the block that was read last is kept inflated."""
+
+    def __init__(self, file, index: Sequence[tuple[int, int]]):
+        self.file, self.starts, self.places = file, [c for c, _ in index], [u for _, u in index]
+        self.held, self.data = -1, b""
+
+    def _block(self, k: int) -> bytes:
+        if k != self.held:
+            end = self.starts[k + 1] if k + 1 < len(self.starts) else self.file.size()
+            raw = self.file.read_at(end - self.starts[k], self.starts[k])
+            spans, used = discover(raw)
+            if used != len(raw):
+                raise BgzfError(f"file ends within the block at {self.starts[k] + used}")
+            self.held, self.data = k, b"".join(inflate(raw[s.offset : s.offset + s.size], s) for s in spans)
+        return self.data
+
+    def read(self, offset: int, n: int) -> bytes:
+        """``n`` bytes from an uncompressed offset on, less at the end."""
+        k, out = bisect_right(self.places, offset) - 1, b""
+        while len(out) < n and k < len(self.starts):
+            at = offset + len(out) - self.places[k]
+            out += self._block(k)[at : at + n - len(out)]
+            k += 1
+        return out
+
+
 def read_last(file, n: int, index: Sequence[tuple[int, int]]) -> bytes:
     """The last ``n`` bytes of the contents, by the blocks' offsets."""
     start, size = index[-1]
@@ -270,6 +306,15 @@ class FileRange(InputPartition):
     chunks: list[tuple[int, int]] | None = None
 
 
+#: Splits that small ``split_bytes`` make at most, about, and the size up to which they are enlarged for that.
+SPLITS, ENLARGED_BYTES = 1000, 64 << 20
+
+
+def split_size(wanted: int, total: int) -> int:
+    """Compressed bytes of a split: as wanted, but larger where files are so large that tasks would be too many to start."""
+    return max(wanted, min(-(-total // SPLITS), ENLARGED_BYTES))
+
+
 def by_size(chunks: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
     """Chunks in groups of some ``size`` compressed bytes."""
     out: list[list[tuple[int, int]]] = []
@@ -296,7 +341,8 @@ class BgzfLines(DataSource):
 
     A task owns the lines that begin after a line break in its blocks (the
     first task the first line too) and reads on to finish its last one.
-    Options: ``split_bytes`` (default 16 MiB of compressed bytes); ``offsets``
+    Options: ``split_bytes`` (default 16 MiB of compressed bytes; enlarged where
+    that would make more than some thousand tasks); ``offsets``
     (true: also ``voffset`` and ``vend``, the virtual offsets where a line
     begins and where the next one does); ``regions``, for files with a tabix or
     CSI index beside them, whose blocks alone are read. Lines that share a
@@ -323,7 +369,8 @@ class _LineReader(DataSourceReader):
 
         listed = [(p, n) for p, n in list_files(self.path) if not p.endswith(indexes.SUFFIXES)]
         if not self.regions:
-            return [FileRange(p, at, min(at + self.split, n)) for p, n in listed for at in range(0, max(n, 1), self.split)]
+            split = split_size(self.split, sum(n for _, n in listed))
+            return [FileRange(p, at, min(at + split, n)) for p, n in listed for at in range(0, max(n, 1), split)]
         out = []
         for p, n in listed:
             index = indexes.beside(p)

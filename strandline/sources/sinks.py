@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import wrap
-from . import bgzf
+from . import bgzf, columns
 from .files import filesystem
 
 
@@ -82,11 +82,15 @@ def write_parts(df: DataFrame, folder: str, suffix: str, body: Callable[[Iterabl
     return paths
 
 
-def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: Callable[[object], Iterable[bytes]]) -> list[str]:
-    """Blocked-gzip files by :func:`write_parts`: ``head``, then what ``encode`` makes of each Arrow batch, then the end block."""
+def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: Callable[[object], Iterable[bytes]], into: int | None = None) -> list[str]:
+    """Blocked-gzip files by :func:`write_parts`: ``head``, then what ``encode`` makes of each Arrow batch, then the end block.
 
-    def body(batches) -> Iterable[bytes]:
-        held = bytearray(head)
+    ``into`` makes so many files, whatever the number of partitions: each
+    partition's blocks are written by a task of its own, then joined by copying
+    bytes, the partitions in their order.
+    """
+
+    def blocks(batches, held: bytearray) -> Iterable[bytes]:
         for b in batches:
             for piece in encode(b):
                 held += piece
@@ -95,18 +99,43 @@ def write_blocks(df: DataFrame, folder: str, suffix: str, head: bytes, encode: C
                     del held[: bgzf.PAYLOAD]
         if held:
             yield bgzf.frame(bytes(held))
+
+    def whole(batches) -> Iterable[bytes]:
+        yield from blocks(batches, bytearray(head))
         yield bgzf.END_BLOCK
 
-    return write_parts(df, folder, suffix, body)
+    if into is None:
+        return write_parts(df, folder, suffix, whole)
+    import uuid
+
+    pieces = f"{folder.rstrip('/')}/_pieces-{uuid.uuid4().hex}"
+    parts = write_parts(df, pieces, "part", lambda batches: blocks(batches, bytearray()))
+
+    def joined(batches) -> Iterable[bytes]:
+        for k in (k for b in batches for k in b.column(0).to_pylist()):
+            yield from blocks([], bytearray(head))
+            for part in parts[len(parts) * k // into : len(parts) * (k + 1) // into]:
+                system, inner = filesystem(part)
+                with system.open_input_stream(inner, compression=None) as given:
+                    while piece := given.read(1 << 22):
+                        yield piece
+            yield bgzf.END_BLOCK
+
+    paths = write_parts(df.sparkSession.range(0, into, 1, into), folder, suffix, joined)
+    system, inner = filesystem(pieces)
+    system.delete_dir(inner)
+    return paths
 
 
-def write_bgzf(records: DataFrame, folder: str, header: list[str] = (), suffix: str = "gz") -> list[str]:
-    """Blocked-gzip files of the one column's records, a file a partition, each with header and end block; their paths."""
+def write_bgzf(records: DataFrame, folder: str, header: list[str] = (), suffix: str = "gz", into: int | None = None) -> list[str]:
+    """Blocked-gzip files of the one column's records, a file a partition or ``into`` files, each with header and end block; their paths."""
 
     def encode(batch):
-        return (v.encode() + b"\n" for v in batch.column(0).to_pylist())
+        if batch.column(0).null_count:
+            raise ValueError("a line is null")
+        yield columns.flat(columns.side_by_side(batch.column(0), b"\n"))[0].tobytes()
 
-    return write_blocks(records, folder, suffix, "".join(f"{x}\n" for x in header).encode(), encode)
+    return write_blocks(records, folder, suffix, "".join(f"{x}\n" for x in header).encode(), encode, into)
 
 
 def reheader(spark: SparkSession, path: str, folder: str, header: bytes, suffix: str) -> list[str]:
