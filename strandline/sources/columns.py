@@ -94,3 +94,25 @@ def mapped(values, f: Callable[[object], bytes]):
 
     coded = values.dictionary_encode()
     return pa.array([f(v) for v in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+
+
+def itf8s(values: np.ndarray):
+    """Each of many 32-bit integers in one to five bytes, as :func:`codecs.itf8` writes them, as large binaries."""
+    v = np.asarray(values, np.int64) & 0xFFFFFFFF
+    more = np.select([v < 1 << 7, v < 1 << 14, v < 1 << 21, v < 1 << 28], [0, 1, 2, 3], 4)
+    out = np.zeros((len(v), 5), np.uint8)
+    for n, mark in enumerate((0, 0x80, 0xC0, 0xE0)):
+        rows = more == n
+        if rows.any():
+            w = v[rows]
+            for k in range(n + 1):
+                out[rows, k] = w >> 8 * (n - k) & 0xFF
+            out[rows, 0] |= mark
+    rows = more == 4
+    if rows.any():
+        w = v[rows]
+        for k, shift in enumerate((28, 20, 12, 4)):
+            out[rows, k] = w >> shift & 0xFF
+        out[rows, 0] |= 0xF0
+        out[rows, 4] = w & 0x0F
+    return binaries(out[np.arange(5) <= more[:, None]], more + 1)
