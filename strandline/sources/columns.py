@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 from ..functions.records import CIGAR_CODES
+from .codecs import CodecError
 
 _OPERATION = np.full(256, 255, np.uint8)
 _OPERATION[np.frombuffer(CIGAR_CODES.encode(), np.uint8)] = np.arange(len(CIGAR_CODES))
@@ -116,3 +117,41 @@ def itf8s(values: np.ndarray):
         out[rows, 0] |= 0xF0
         out[rows, 4] = w & 0x0F
     return binaries(out[np.arange(5) <= more[:, None]], more + 1)
+
+
+def itf8_bytes(values: np.ndarray) -> bytes:
+    """The bytes of :func:`itf8s`, one integer after another."""
+    v = np.asarray(values)
+    if not len(v) or (v.min() >= 0 and v.max() < 1 << 7):
+        return v.astype(np.uint8).tobytes()
+    if v.min() >= 0 and v.max() < 1 << 14:
+        two = v >= 1 << 7
+        out = np.stack((np.where(two, 0x80 | v >> 8, 0), v & 0xFF), 1).astype(np.uint8)
+        return out[np.stack((two, np.ones(len(v), bool)), 1)].tobytes()
+    return flat(itf8s(v))[0].tobytes()
+
+
+_SIZES = bytes(1 if b < 0x80 else 2 if b < 0xC0 else 3 if b < 0xE0 else 4 if b < 0xF0 else 5 for b in range(256))
+
+
+def read_itf8s(data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """(the first ``n`` integers that :func:`itf8s` wrote, signed; where the next one begins)."""
+    if n <= len(data) and not (data[:n] & 0x80).any():
+        return data[:n].astype(np.int64), n
+    sizes, starts, at = data.tobytes().translate(_SIZES), [], 0
+    for _ in range(n):
+        if at >= len(sizes):
+            raise CodecError("data end early")
+        starts.append(at)
+        at += sizes[at]
+    if at > len(data):
+        raise CodecError("data end early")
+    where = np.array(starts, np.int64)
+    padded = np.concatenate((data, np.zeros(4, np.uint8))).astype(np.int64)
+    b0, b1, b2, b3, b4 = (padded[where + k] for k in range(5))
+    v = np.select(
+        [b0 < 0x80, b0 < 0xC0, b0 < 0xE0, b0 < 0xF0],
+        [b0, (b0 & 0x3F) << 8 | b1, (b0 & 0x1F) << 16 | b1 << 8 | b2, (b0 & 0x0F) << 24 | b1 << 16 | b2 << 8 | b3],
+        (b0 & 0x0F) << 28 | b1 << 20 | b2 << 12 | b3 << 4 | b4 & 0x0F,
+    )
+    return np.where(v >= 1 << 31, v - (1 << 32), v), at

@@ -11,7 +11,7 @@ import pytest
 
 from strandline.plans import scratch
 from strandline.plans.genomic import QUERIES
-from strandline.sources import bam, bgzf, files, sinks
+from strandline.sources import bam, bgzf, cram, files, sinks
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables aren't here")
@@ -103,3 +103,46 @@ def test_many_reads_inflate_a_block_once(tmp_path, monkeypatch):
     reads = bgzf.Reads(opened, indexes.offsets_of(opened))
     assert b"".join(reads.read(10 * i, 10) for i in range(40_000)) == data and reads.read(len(data) - 4, 10) == data[-4:] and reads.read(len(data), 10) == b""
     assert len(inflated) < 20
+
+
+HEADER = bam.Header("@HD\tVN:1.6\n@RG\tID:AF\n@SQ\tSN:a\tLN:400\n@SQ\tSN:b\tLN:400\n", [("a", 400), ("b", 400)])
+
+
+def mapped_reads(n: int, seed: int) -> list[dict]:
+    r, out = random.Random(seed), []
+    for i in range(n):
+        ops = [(r.randrange(1, 9), r.choice("MIDNSHP=X")) for _ in range(r.randrange(1, 4))]
+        k = sum(size for size, op in ops if op in "MIS=X")
+        out.append(
+            {
+                "name": r.choice([None, f"n{i // 3}"]), "flags": r.choice([0, 4, 97, 145, 2064]), "ref_id": r.choice([0, 1]), "pos": r.choice([1, 5, 395, 500]), "mapq": r.choice([None, 3]),
+                "cigar": "".join(f"{size}{op}" for size, op in ops), "mate_ref_id": r.choice([None, 0]), "mate_pos": r.choice([None, 5]), "tlen": r.choice([None, 0, -9]), "sequence": "".join(r.choice("ACGTNRa") for _ in range(k)),
+                "quality": r.choice([None, "".join(chr(33 + r.randrange(50)) for _ in range(k))]), "tags": r.choice([[], [("NH", "i:3"), ("RG", "Z:AF")], [("RG", "Z:other"), ("NH", "i:300")]]),
+            }
+        )
+    for a, b in zip(out[::5], out[1::5], strict=False):  # mates that tell of each other
+        for x, y, flags in ((a, b, 97), (b, a, 145)):
+            x.update(name=f"p{id(a)}", flags=flags, ref_id=0, pos=5, cigar="5M", sequence="ACGTA", quality=None, mate_ref_id=0, mate_pos=5, tlen=5 if flags == 97 else -5)
+    return out
+
+
+@pytest.mark.parametrize("bases", [None, {"a": "ACGTNacRGT" * 40, "b": "GATTACACCA" * 40}])
+def test_cram_containers_are_written_and_read_by_columns(bases, monkeypatch):
+    references = lambda: cram.References((), dict(bases)) if bases else None
+    columns = [c for c in bam.SCHEMA if c not in (*bam.PLACES, "bin")]
+    for seed in range(30):
+        rows = mapped_reads(40, seed)
+        batch = pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+        want = cram._Writer(HEADER, references(), seed % 2 == 0, "raw").container([{**x, "tags": dict(x["tags"])} for x in rows])
+        with monkeypatch.context() as m:
+            m.setattr(cram._Writer, "container", None)  # no step for each record
+            data = cram._Writer(HEADER, references(), seed % 2 == 0, "raw").batch(batch)
+        assert data == want
+        _, at = cram.read_container_header(data)
+        for compression, head, blocks, _, _ in cram.slices_of(data[at:]):
+            for some in (columns, ["flags"], ["tlen"], ["cigar", "pos"]):
+                given = compression, head, blocks, HEADER, references() or cram.References()
+                got = cram.slice_columns(*given, ["AF"], set(some), True)
+                plain = cram.read_slice(*given, set(some))
+                assert list(zip(*(got[c].to_pylist() for c in some), strict=True)) == [cram.row(r, HEADER, ["AF"], some) for r in plain]
+                assert got["_end"].tolist() == [r.end for r in plain]
