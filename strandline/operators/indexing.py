@@ -31,19 +31,24 @@ def bin_chunks(records: DataFrame, keys: tuple[str, ...] = ("ref_id",), min_shif
 def folded_bins(chunks: DataFrame, keys: tuple[str, ...] = ("ref_id",), depth: int = coords.DEPTH, least: int = LEAST_BIN_BYTES, tile: int = TILE) -> DataFrame:
     """Chunks with those of bins that span fewer than ``least`` compressed bytes in the parent bin, if there is one, from the deepest level up.
 
-    ``begin`` and ``end`` are virtual offsets. Rows here are bins and chunks, not records.
+    ``begin`` and ``end`` are virtual offsets. Where a bin goes is worked out on
+    one row a bin, which says how far it spans; chunks are joined with it once.
     """
     rows = chunks.select(*keys, "bin", "begin", "end")
+    bins = rows.groupBy(*keys, "bin").agg(coords.virtual_block(F.min("begin")).alias("first"), coords.virtual_block(F.max("end")).alias("last")).withColumn("own", F.col("bin"))
     for level in range(depth, 0, -1):
         first, above, after = coords.level_offset(level), coords.level_offset(level - 1), coords.level_offset(level + 1)
         here = (F.col("bin") >= first) & (F.col("bin") < after)
         # bins of this level meet at their parent; no other bin meets anything
         parent = F.shiftright(F.col("bin") - 1, 3)
-        rows = rows.withColumn("at", F.when(here, parent).when((F.col("bin") >= above) & (F.col("bin") < first), F.col("bin")).otherwise(-1 - F.col("bin")))
-        bins, families = Window.partitionBy(*keys, "bin"), Window.partitionBy(*keys, "at")
-        span = F.max(coords.virtual_block(F.col("end"))).over(bins) - F.min(coords.virtual_block(F.col("begin"))).over(bins)
-        rows = rows.withColumn("span", span).withColumn("headed", F.max(F.col("bin") == F.col("at")).over(families))
-        rows = rows.withColumn("bin", F.when(here & F.col("headed") & (F.col("span") < least), F.col("at")).otherwise(F.col("bin"))).drop("at", "span", "headed")
+        bins = bins.withColumn("at", F.when(here, parent).when((F.col("bin") >= above) & (F.col("bin") < first), F.col("bin")).otherwise(-1 - F.col("bin")))
+        same, families = Window.partitionBy(*keys, "bin"), Window.partitionBy(*keys, "at")
+        span = F.max("last").over(same) - F.min("first").over(same)
+        bins = bins.withColumn("span", span).withColumn("headed", F.max(F.col("bin") == F.col("at")).over(families))
+        bins = bins.withColumn("bin", F.when(here & F.col("headed") & (F.col("span") < least), F.col("at")).otherwise(F.col("bin"))).drop("at", "span", "headed")
+    moved = bins.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("own").alias("__own"), F.col("bin").alias("__bin"))
+    same = [rows[k].eqNullSafe(moved[f"__{k}"]) for k in keys] + [rows["bin"] == moved["__own"]]
+    rows = rows.join(moved, same).select(*[rows[k] for k in keys], F.col("__bin").alias("bin"), "begin", "end")
     return coalesce_intervals(rows, [*keys, "bin"], "begin", "end", tile=tile)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coords, fields, records
 from ..operators import alignment as ops
 from ..operators import indexing
-from ..sources import bam, bcf, detect, indexes, sinks, text
+from ..sources import bam, bcf, detect, files, indexes, sinks, text
 from .alignments import AEND
 from .formats import SAM_HEADER, VCF_HEADER
 from .registry import query
@@ -160,7 +160,6 @@ def counts_in_index(spark: SparkSession, d: str) -> DataFrame:
 @query("flt19_sorted_files", AR + "SELECT 'coordinate' AS header, true AS declared, true AS sorted, count(*) AS n FROM alignments UNION ALL SELECT 'unsorted', false, false, count(*) FROM alignments", python=True)
 def sorted_files(spark: SparkSession, d: str) -> DataFrame:
     """What headers declare, and whether records stand in that order in their files."""
-    from ..sources import files
 
     def checked(kind: str, path: str) -> DataFrame:
         declared = all(bam.coordinate_sorted(bam.read_header(files.open_file(p))[0].text) for p, _ in files.list_files(path))
@@ -205,7 +204,8 @@ def folded_bins(spark: SparkSession, d: str) -> DataFrame:
     end = records.alignment_end(F.col("pos"), F.col("cigar"))
     byte = F.col("l_orderkey") * 64
     rows = rows.select("ref_id", ((F.col("pos") - 1) * 40000 + 1).alias("pos"), (end * 40000).alias("aend"), coords.pack_virtual(byte, F.lit(0)).alias("begin"), coords.pack_virtual(byte + 64, F.lit(0)).alias("end"))
-    chunks = indexing.folded_bins(indexing.bin_chunks(rows, tile=1 << 34), tile=1 << 34)
+    # read twice: for the bins, and to be moved into them
+    chunks = indexing.folded_bins(files.staged(indexing.bin_chunks(rows, tile=1 << 34).select("ref_id", "bin", "begin", "end")), tile=1 << 34)
     b = coords.virtual_block
     return chunks.groupBy("ref_id", "bin").agg(F.count("*").alias("chunks"), b(F.min("begin")).alias("first_byte"), b(F.max("end")).alias("last_byte"))
 
