@@ -157,11 +157,15 @@ def modified_positions(seq: Column, base: str, skips: Column, reverse: Column) -
     end, on the complement.
     """
     other = dict(zip(COMPLEMENT_FROM[:16], COMPLEMENT_TO[:16], strict=True))[base]
-    wanted = F.when(reverse, F.lit(other)).otherwise(F.lit(base))
-    letters = F.filter(F.split(seq, ""), lambda c: c != "")
-    indexed = F.transform(letters, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    at = F.transform(F.filter(indexed, lambda x: (wanted == F.lit("N")) | (x["c"] == wanted)), lambda x: x["i"])
-    at = F.when(reverse, F.reverse(at)).otherwise(at)
     # the k-th modified base is the (sum of skips up to k + k)-th of its kind
     ranks = F.transform(skips, lambda _, k: F.aggregate(F.slice(skips, F.lit(1), k + 1), F.lit(0), lambda a, s: a + s + 1) - 1)
-    return F.transform(ranks, lambda r: F.get(at, r))
+    size = F.length(seq)
+    if base == "N":
+        at = lambda r: F.when((r >= 0) & (r < size), r)
+    else:
+        # bases lie between pieces of the read; what is behind the last one that is asked for isn't cut
+        ahead = F.when(reverse, F.reverse(seq)).otherwise(seq)
+        wanted = F.when(reverse, F.lit(other)).otherwise(F.lit(base))
+        pieces = F.split(ahead, wanted, F.coalesce(F.array_max(ranks), F.lit(0)) + 2)
+        at = lambda r: F.when((r >= 0) & (r < F.size(pieces) - 1), F.aggregate(F.slice(pieces, F.lit(1), r + 1), r, lambda a, x: a + F.length(x)))
+    return F.transform(ranks, lambda r: F.when(reverse, size - 1 - at(r)).otherwise(at(r)))
