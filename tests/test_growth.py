@@ -146,3 +146,47 @@ def test_cram_containers_are_written_and_read_by_columns(bases, monkeypatch):
                 plain = cram.read_slice(*given, set(some))
                 assert list(zip(*(got[c].to_pylist() for c in some), strict=True)) == [cram.row(r, HEADER, ["AF"], some) for r in plain]
                 assert got["_end"].tolist() == [r.end for r in plain]
+
+
+def test_bit_codes_take_no_step_for_each_bit(monkeypatch):
+    from strandline.sources import bits
+
+    values = [k * k % 300 for k in range(500)]
+    monkeypatch.setattr(bits.BitReader, "bit", None)
+    for e in (bits.Beta(3, 16), bits.Gamma(1), bits.Subexponential(0, 3), bits.GolombRice(0, 4), bits.Huffman(sorted(set(values)), [9] * len(set(values)))):
+        assert bits.decoded(e, bits.coded(e, values), len(values)) == values
+    with pytest.raises(bits.CodecError):
+        bits.decoded(bits.Beta(0, 16), b"\0", 1)
+
+
+@needs_data
+def test_bins_are_folded_on_rows_of_bins(spark):
+    """Chunks are joined once with where their bins go: nothing of theirs passes the windows that fold bins."""
+    plan = QUERIES["agg16_folded_bins"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    folding = next(i for i, x in enumerate(plan) if "Window" in x and " at#" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    below = next(x for x in plan[folding:] if "Aggregate" in x)
+    assert "first#" in below and "last#" in below and depth(below) > depth(plan[folding])
+
+
+@needs_data
+def test_texts_are_coded_by_many_tasks(spark):
+    for name in ("cdc02_cdc03_adaptive_codecs", "cdc01_cdc06_block_codecs"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("base", ["C", "N"])
+def test_modified_positions_by_letters(spark, base):
+    from pyspark.sql import functions as F
+
+    from strandline.functions import records
+
+    rows = [("",), ("CCGGACGNCGT",), ("C" * 9,), ("G",), ("é" + "CG" * 6,)]
+    skips = [1, 0, 2]
+    df = spark.createDataFrame(rows, "s string")
+    both = df.select("s", *(records.modified_positions(F.col("s"), base, F.array(*map(F.lit, skips)), F.lit(turned)).alias(k) for k, turned in (("f", False), ("r", True)))).collect()
+    for r in both:
+        for k, letter, order in (("f", base, 1), ("r", {"C": "G", "N": "N"}[base], -1)):
+            at = [i for i, c in enumerate(r["s"]) if letter in (c, "N")][::order]
+            assert r[k] == [at[n] if n < len(at) else None for n in (1, 2, 5)]
